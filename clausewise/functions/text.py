@@ -62,6 +62,11 @@ def lookup(key: Column, values: dict[str, str], default: Column | None = None) -
     return found if default is None else F.coalesce(found, default)
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``, which may refer to it many times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def drop_first_match(col: Column, pattern: str, flags: str = UNI_LINES) -> Column:
     """Remove only the first match of ``pattern`` (which may use line anchors)."""
     return F.regexp_replace(col, flags + r"\A([\s\S]*?)(?:" + pattern + ")", "$1")
@@ -91,8 +96,13 @@ def tokenize(col: Column, particles: list[str] | None = None) -> Column:
     """Distinct words of two or more characters together with their stems."""
     words = F.lit(f"[{_WORD}]{{2,}}")
     plain = F.regexp_extract_all(col, words, F.lit(0))
-    stems = F.regexp_extract_all(strip_particles(col, particles), words, F.lit(0))
-    return F.array_union(plain, stems)
+    known = fv.PARTICLES if particles is None else particles
+    if not known:
+        return F.array_distinct(plain)
+    # a text without any particle's last character has no stems to look for
+    last = "".join(sorted({p[-1] for p in known}))
+    stems = F.regexp_extract_all(strip_particles(col, known), words, F.lit(0))
+    return F.when(col.rlike(f"[{last}]"), F.array_union(plain, stems)).otherwise(F.array_distinct(plain))
 
 
 # --- splitting -----------------------------------------------------------------------

@@ -20,7 +20,7 @@ from clausewise import fixed_values as fv
 from clausewise.functions.scoring import bm25_similarity, length_norm
 from clausewise.functions.text import tokenize
 from clausewise.operators.skew import hot_keys, salted_join, top_n
-from clausewise.session import write_shared
+from clausewise.session import spread, write_shared
 
 COMMON = "common"
 WHOLE = "*"  # index over every document, used by queries without a type
@@ -60,7 +60,10 @@ def document_terms(
     kb: DataFrame, particles: list[str] | None = None, types: list[str] | None = None, whole: bool = True
 ) -> DataFrame:
     """(id, index types, distinct tokens, their number): one row per document."""
-    tokens = kb.select("id", index_types(types, whole).alias("types"), tokenize(F.col("text"), particles).alias("tokens"))
+    rows = spread(kb.select("id", "text", "contract_type"))
+    tokens = rows.select(
+        "id", index_types(types, whole).alias("types"), tokenize(F.col("text"), particles).alias("tokens")
+    )
     return tokens.withColumn("dl", F.size("tokens"))
 
 

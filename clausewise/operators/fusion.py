@@ -64,9 +64,9 @@ def _category_rank(category: Column) -> Column:
 
 
 def select_by_quota(
-    hits: DataFrame, k: int = fv.TOP_K, quota: list[tuple[str, int]] | None = None
+    hits: DataFrame, k: int = fv.TOP_K, quota: list[tuple[str, int]] | None = None, fill: bool = True
 ) -> DataFrame:
-    """Quota selection, then fill to ``k``: adds ``pos`` in output order.
+    """Quota selection, then fill to ``k``: adds ``pos`` in output order and ``filled``.
 
     The pool of one query is bounded (two retriever pools), so it is gathered into one
     sorted array and folded once: a row is taken when its category still has room and its
@@ -134,10 +134,12 @@ def select_by_quota(
         )
 
     pools = hits.groupBy("query_id").agg(F.collect_list(row).alias("pool"))
-    quoted = pools.withColumn("state", F.aggregate(F.array_sort("pool", by_category), start, by_quota))
-    filled = quoted.withColumn("state", F.aggregate(F.array_sort("pool", best_first), F.col("state"), by_score))
+    quoted = pools.withColumn("quoted", F.aggregate(F.array_sort("pool", by_category), start, by_quota))
+    state = F.aggregate(F.array_sort("pool", best_first), F.col("quoted"), by_score) if fill else F.col("quoted")
+    filled = quoted.withColumn("state", state)
     chosen = filled.select(
         "query_id",
+        F.col("quoted.ids").alias("by_quota"),
         F.posexplode(
             F.array_sort(
                 F.filter("pool", lambda x: F.array_contains(F.col("state.ids"), x["id"])), output_order
@@ -148,6 +150,7 @@ def select_by_quota(
         "query_id",
         (F.col("at") + 1).alias("pos"),
         "hit.id", "hit.source", "hit.category", "hit.similarity", "hit.rrf_score",
+        (~F.array_contains("by_quota", F.col("hit.id"))).alias("filled"),
     )
 
 

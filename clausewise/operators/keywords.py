@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
-from clausewise.functions.text import contains_any, count_literal
+from clausewise.functions.text import contains_any, count_literal, let
 
 
 def keyword_score(text: Column, words: list[str]) -> Column:
@@ -33,7 +33,9 @@ def label_scores(text: Column, keywords: dict[str, list[str]]) -> Column:
 def best_label(text: Column, keywords: dict[str, list[str]], min_score: int = 0) -> Column:
     """Highest-scoring label; the first declared wins ties; null below ``min_score``."""
     best = F.array_max(label_scores(text, keywords))
-    return F.when(best["score"] >= min_score, best["label"])
+    if min_score <= 0:
+        return best["label"]
+    return let(best, lambda b: F.when(b["score"] >= min_score, b["label"]))
 
 
 def contract_type(text: Column, keywords: dict[str, list[str]] | None = None) -> Column:
@@ -48,11 +50,12 @@ def dominant_label(
     text: Column, first: tuple[str, list[str]], second: tuple[str, list[str]], ratio: int = 2
 ) -> Column:
     """Label whose score is at least ``ratio`` times the other's; null if close or both 0."""
-    a, b = keyword_score(text, first[1]), keyword_score(text, second[1])
-    return (
-        F.when((a == 0) & (b == 0), F.lit(None).cast("string"))
-        .when(a >= b * ratio, first[0])
-        .when(b >= a * ratio, second[0])
+    scores = F.struct(keyword_score(text, first[1]).alias("a"), keyword_score(text, second[1]).alias("b"))
+    return let(
+        scores,
+        lambda s: F.when((s["a"] == 0) & (s["b"] == 0), F.lit(None).cast("string"))
+        .when(s["a"] >= s["b"] * ratio, first[0])
+        .when(s["b"] >= s["a"] * ratio, second[0]),
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise import dims
@@ -39,7 +39,7 @@ def _best_of_tile(k: int):
         names = left["query_id"].to_numpy()
         out: list[pd.DataFrame] = []
         for start in range(0, len(asked), _SLICE):
-            scores = np.round(asked[start : start + _SLICE] @ kb.T, 6)
+            scores = np.round(asked[start : start + _SLICE] @ kb.T, 6) + 0.0
             for row, name in zip(scores, names[start : start + _SLICE]):
                 # one extra, because a query may meet itself and drop that pair later
                 keep = min(k + 1, len(row))
@@ -52,6 +52,10 @@ def _best_of_tile(k: int):
     return run
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def search(
     queries: DataFrame,
     kb: DataFrame,
@@ -76,15 +80,17 @@ def search(
         F.array("contract_type", F.lit(COMMON))
     )
     asked = (
-        queries.select("query_id", "embedding", F.explode(seen).alias("shelf"))
+        queries.select("query_id", F.col("embedding").alias("embedding"), F.explode(seen).alias("shelf"))
         .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
-        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(kb_blocks - 1))).cast("long"))
+        .withColumn("_b", F.explode(_numbers(kb_blocks)))
     )
     stored = (
         kb.filter(F.col("contract_type").isin(shelves))
-        .select("id", "embedding", F.col("contract_type").alias("shelf"))
+        .select(
+            F.col("id").alias("id"), F.col("embedding").alias("embedding"), F.col("contract_type").alias("shelf")
+        )
         .withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(kb_blocks)))
-        .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long"))
+        .withColumn("_q", F.explode(_numbers(query_blocks)))
     )
     tile = ["shelf", "_q", "_b"]
     schema = (

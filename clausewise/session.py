@@ -53,3 +53,13 @@ def write_shared(df: DataFrame, label: str, partition_by: list[str] | None = Non
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores when the input has fewer splits than there are cores.
+
+    A small file arrives as one split and would keep one core busy; inputs with enough
+    splits are returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
