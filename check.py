@@ -49,8 +49,9 @@ def compare(spark, con, name, fn, sql, sf):
     left, right = _rows(df.columns, got), _rows(names, want)
     note = f"{len(left)} rows (duckdb {took_sql:.1f}s)"
     if left != right:
-        a = [r for r in left if r not in set(right)][:3] if len(left) < 300000 else []
-        b = [r for r in right if r not in set(left)][:3] if len(right) < 300000 else []
+        in_left, in_right = set(left), set(right)
+        a = [r for r in left if r not in in_right][:3]
+        b = [r for r in right if r not in in_left][:3]
         return False, f"{len(left)} vs {len(right)} rows\n    spark  {str(a)[:900]}\n    duckdb {str(b)[:900]}", took
     return True, note, took
 

@@ -67,6 +67,15 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def computed(**columns: Column) -> Column:
+    """Columns worked out once per row, for use as the last item of a ``select``.
+
+    They pass through a generator of one row, which later filters are not pushed through;
+    otherwise a filter on an expensive column would evaluate it a second time.
+    """
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
 def drop_first_match(col: Column, pattern: str, flags: str = UNI_LINES) -> Column:
     """Remove only the first match of ``pattern`` (which may use line anchors)."""
     return F.regexp_replace(col, flags + r"\A([\s\S]*?)(?:" + pattern + ")", "$1")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
 from clausewise.functions import responses as R
-from clausewise.functions.text import head, is_blank, lookup
+from clausewise.functions.text import computed, head, is_blank, lookup
 from clausewise.operators import rules
 
 KEYS = ["document_id", "clause_pos"]
@@ -116,17 +116,21 @@ def rewrite_requests(analyses: DataFrame, references: DataFrame) -> DataFrame:
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Add ``verdict`` (first object, or null) and the status each attempt really had."""
     said = responses.withColumn("_said", R.strip_reasoning(F.coalesce("raw_text", F.lit(""))))
-    parsed = said.withColumn("_list", F.when(F.col("status") == "ok", R.parse_verdicts(F.col("_said"))))
-    return (
-        parsed.withColumn("verdict", F.try_element_at("_list", F.lit(1)))
-        .withColumn(
-            "outcome",
-            F.when(F.col("status") != "ok", F.col("status"))
-            .when(is_blank(F.col("_said")), "empty")
-            .when(F.col("_list").isNull(), "parse_failed")
-            .otherwise("ok"),
-        )
-        .drop("_said", "_list")
+    parsed = said.select(
+        *responses.columns,
+        computed(
+            _list=F.when(F.col("status") == "ok", R.parse_verdicts(F.col("_said"))),
+            _blank=is_blank(F.col("_said")),
+        ),
+    )
+    return parsed.select(
+        *responses.columns,
+        F.try_element_at("_list", F.lit(1)).alias("verdict"),
+        F.when(F.col("status") != "ok", F.col("status"))
+        .when(F.col("_blank"), "empty")
+        .when(F.col("_list").isNull(), "parse_failed")
+        .otherwise("ok")
+        .alias("outcome"),
     )
 
 

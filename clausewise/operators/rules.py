@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clausewise import dims
 from clausewise import fixed_values as fv
 from clausewise.functions.responses import RISK
-from clausewise.functions.text import UNI, collapse, contains_any, lookup
+from clausewise.functions.text import UNI, collapse, computed, contains_any, lookup
 
 
 def vetoed(body: Column, contract_type: Column, vetoes: list[tuple[str, str]]) -> Column:
@@ -70,21 +70,21 @@ def apply_rules(
     Safe is tried before high, so a clause that matches both is safe; a clause that
     matches neither is left for the model.
     """
-    body = clauses.withColumn("_body", collapse(F.col(content_col)))
-    matched = body.withColumn("_safe", safe_rule(F.col("_body"), F.col(type_col), safe, vetoes)).withColumn(
-        "_high", high_rule(F.col("_body"), F.col(type_col), high)
+    bodies = clauses.withColumn("_body", collapse(F.col(content_col)))
+    body, kind = F.col("_body"), F.col(type_col)
+    matched = bodies.select(
+        *clauses.columns,
+        computed(_safe=safe_rule(body, kind, safe, vetoes), _high=high_rule(body, kind, high)),
     )
-    return (
-        matched.withColumn("safe_reason", F.col("_safe.reason"))
-        .withColumn("high_reason", F.col("_high.reason"))
-        .withColumn("high_risk_type", F.col("_high.risk_type"))
-        .withColumn(
-            "verdict_source",
-            F.when(F.col("safe_reason").isNotNull(), "rule_safe")
-            .when(F.col("high_reason").isNotNull(), "rule_high")
-            .otherwise("model"),
-        )
-        .drop("_body", "_safe", "_high")
+    return matched.select(
+        *clauses.columns,
+        F.col("_safe.reason").alias("safe_reason"),
+        F.col("_high.reason").alias("high_reason"),
+        F.col("_high.risk_type").alias("high_risk_type"),
+        F.when(F.col("_safe.reason").isNotNull(), "rule_safe")
+        .when(F.col("_high.reason").isNotNull(), "rule_high")
+        .otherwise("model")
+        .alias("verdict_source"),
     )
 
 

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from clausewise.operators import evaluation, exchange, rules
 
 
-def predict(items: DataFrame, responses: DataFrame | None = None, contract_type: str = "lease", size: int = 500) -> DataFrame:
-    """Predicted level of each labelled clause (its first ``size`` characters are judged).
+def predict(items: DataFrame, responses: DataFrame | None = None, contract_type: str = "lease", size: int | None = 500) -> DataFrame:
+    """Predicted level of each labelled clause.
+
+    The first ``size`` characters are judged, or the whole text when ``size`` is None.
 
     ``items(document_id, clause_pos, clause_text, ground_truth)``.  Without responses a
     clause no rule decides counts as 'medium', the level of an unread answer.
     """
-    clauses = items.withColumn("content", F.substring("clause_text", 1, size)).withColumn(
+    judged = F.col("clause_text") if size is None else F.substring("clause_text", 1, size)
+    clauses = items.withColumn("content", judged).withColumn(
         "contract_type", F.lit(contract_type)
     )
     ruled = rules.apply_rules(clauses)
@@ -31,8 +34,10 @@ def predict(items: DataFrame, responses: DataFrame | None = None, contract_type:
     )
 
 
-def evaluate(items: DataFrame, responses: DataFrame | None = None, contract_type: str = "lease") -> DataFrame:
+def evaluate(
+    items: DataFrame, responses: DataFrame | None = None, contract_type: str = "lease", size: int | None = 500
+) -> DataFrame:
     """One row of metrics."""
-    return evaluation.metrics(predict(items, responses, contract_type))
+    return evaluation.metrics(predict(items, responses, contract_type, size))
 
 

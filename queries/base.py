@@ -86,7 +86,7 @@ _PARTIES = (
 _SECOND = (
     f"CASE {_KIND} WHEN 0 THEN '차임은 연 ' || CAST(o_orderkey % 40 AS STRING) || '% 이내에서 증액한다.' "
     "WHEN 1 THEN '대금은 ' || CAST(30 + o_orderkey % 70 AS STRING) || '일 이내 지급한다.' "
-    "ELSE '이자율은 연 ' || CAST(1 + o_orderkey % 30 AS STRING) || '%로 한다.' END"
+    "ELSE '약정 이자율은 연 ' || CAST(1 + o_orderkey % 30 AS STRING) || '%로 한다.' END"
 )
 _THIRD = (
     "CASE o_orderstatus WHEN 'F' THEN '사전 통보 없이 임대인은 출입할 수 있다.' "

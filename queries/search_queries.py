@@ -134,10 +134,10 @@ def bm25_similarity(spark, sf):
 
 _VECTOR_PART = """
 vec AS (SELECT CAST(vec_id AS STRING) AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-near0 AS (SELECT q.query_id, kb.id, round(list_inner_product(qv.e, kv.e), 6) + 0 AS cosine
+near0 AS (SELECT q.query_id, kb.id, round(list_inner_product(qv.e, kv.e), 6) AS cosine
   FROM q JOIN vec qv ON qv.id = q.query_id, kb JOIN vec kv ON kv.id = kb.id
   WHERE (q.contract_type IS NULL OR kb.contract_type IN (q.contract_type, 'common')) AND q.query_id <> kb.id),
-near AS (SELECT query_id, id, cosine, round(1 - (2 - 2 * cosine) / sqrt(2), 4) AS similarity,
+near AS (SELECT query_id, id, cosine, CASE WHEN abs(round(1 - (2 - 2 * cosine) / sqrt(2), 4)) = 0 THEN 0 ELSE round(1 - (2 - 2 * cosine) / sqrt(2), 4) END AS similarity,
   row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS pos FROM near0)"""
 VECTOR_CTES = f"{KB_CTE}, {QUERY_CTE}, {_VECTOR_PART}"
 
