@@ -47,7 +47,7 @@ def range_routing(spark, sf):
     )
 
 
-@query("w6_cap_per_type", f"""WITH {KB_CTE} SELECT id, contract_type, pos FROM (SELECT id, contract_type,
+@query("w6_cap_per_type", f"""WITH {KB_CTE} SELECT id, contract_type, CAST(pos AS INT) AS pos FROM (SELECT id, contract_type,
     row_number() OVER (PARTITION BY contract_type ORDER BY id) AS pos FROM kb) WHERE pos <= 1500""")
 def cap_per_type(spark, sf):
     rows = kb(spark, sf).select("id", "contract_type")

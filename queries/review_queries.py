@@ -181,7 +181,7 @@ def _top(n: int, levels: str) -> str:
     return f"SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY {_ORDER}) AS pos FROM a WHERE risk_level IN ({levels}) QUALIFY pos <= {n}"
 
 
-@query("t3_top3_risky", f"WITH {ANALYSES_CTE} SELECT document_id, clause_pos, risk_level, confidence, pos FROM ({_top(3, quote('high') + ', ' + quote('medium'))})")
+@query("t3_top3_risky", f"WITH {ANALYSES_CTE} SELECT document_id, clause_pos, risk_level, confidence, CAST(pos AS INT) AS pos FROM ({_top(3, quote('high') + ', ' + quote('medium'))})")
 def top3_risky(spark, sf):
     return rollups.top_risky(analyses(spark, sf), 3, ["high", "medium"]).select("document_id", "clause_pos", "risk_level", "confidence", "pos")
 
@@ -275,7 +275,7 @@ def citations(spark, sf):
 
 
 @query("t6_top_references", f"""WITH {DETAILS_CTE}, g AS (SELECT document_id, category, text AS ref_key, max(similarity) AS similarity, min(clause_pos) AS first_cited_by FROM details GROUP BY 1, 2, 3)
-    SELECT document_id, category, ref_key, row_number() OVER (PARTITION BY document_id, category ORDER BY similarity DESC, first_cited_by, ref_key) AS pos FROM g QUALIFY pos <= 10""")
+    SELECT document_id, category, ref_key, CAST(row_number() OVER (PARTITION BY document_id, category ORDER BY similarity DESC, first_cited_by, ref_key) AS INT) AS pos FROM g QUALIFY pos <= 10""")
 def top_references(spark, sf):
     best = rollups.reference_order(rollups.aggregate_references(details(spark, sf)), 10)
     return best.select("document_id", "category", "ref_key", "pos")
@@ -398,7 +398,7 @@ def confusion(spark, sf):
 
 @query("t8_worst_cases", f"""WITH {_PRED}, k AS (SELECT *, CASE WHEN ground_truth = 'risky' AND prediction IN ('safe', 'low') THEN 'missed_risk'
     WHEN ground_truth = 'safe' AND prediction IN ('high', 'medium') THEN 'false_alarm' END AS kind FROM pred)
-    SELECT doc_id, ground_truth, prediction, kind, row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS pos FROM k WHERE kind IS NOT NULL QUALIFY pos <= 5""")
+    SELECT doc_id, ground_truth, prediction, kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS INT) AS pos FROM k WHERE kind IS NOT NULL QUALIFY pos <= 5""")
 def worst_cases(spark, sf):
     return evaluation.worst_cases(predictions(spark, sf), ["doc_id"])
 

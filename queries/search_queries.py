@@ -111,12 +111,12 @@ def query_postings(spark, sf):
     )
 
 
-@query("h1_a7_bm25_top5", f"WITH {BM25_CTES} SELECT query_id, id, score, similarity, pos FROM bm WHERE pos <= 5")
+@query("h1_a7_bm25_top5", f"WITH {BM25_CTES} SELECT query_id, id, score, similarity, CAST(pos AS INT) AS pos FROM bm WHERE pos <= 5")
 def bm25_top5(spark, sf):
     return bm25.search(benchmark_queries(spark, sf), _index(spark, sf), 5)
 
 
-@query("h1_bm25_pruned", f"WITH {BM25_CTES} SELECT query_id, id, score, similarity, pos FROM bm WHERE pos <= {POOL}")
+@query("h1_bm25_pruned", f"WITH {BM25_CTES} SELECT query_id, id, score, similarity, CAST(pos AS INT) AS pos FROM bm WHERE pos <= {POOL}")
 def bm25_pruned(spark, sf):
     """The same search through the plan for query sets too large to broadcast."""
     return bm25.search(benchmark_queries(spark, sf), _index(spark, sf), POOL, strategy="pruned")
@@ -146,7 +146,7 @@ def _vectors(spark, sf):
     return table(spark, sf, "embeddings").selectExpr("CAST(vec_id AS STRING) AS id", "embedding")
 
 
-@query("h2_j7_vector_top5", f"WITH {VECTOR_CTES} SELECT query_id, id, cosine, similarity, pos FROM near WHERE pos <= 5")
+@query("h2_j7_vector_top5", f"WITH {VECTOR_CTES} SELECT query_id, id, cosine, similarity, CAST(pos AS INT) AS pos FROM near WHERE pos <= 5")
 def vector_top5(spark, sf):
     vec = _vectors(spark, sf)
     asked = benchmark_queries(spark, sf).join(vec.withColumnRenamed("id", "query_id"), "query_id")
@@ -263,7 +263,7 @@ def fill(spark, sf):
     return fusion.select_by_quota(scarce, 5).filter("filled").select("query_id", "id", "category", "rrf_score")
 
 
-@query("h4_h3_t1_hybrid_top5", f"WITH {SELECTED_CTES} SELECT query_id, pos, id, source, category, similarity, rrf_score FROM final WHERE pos <= 5")
+@query("h4_h3_t1_hybrid_top5", f"WITH {SELECTED_CTES} SELECT query_id, CAST(pos AS INT) AS pos, id, source, category, similarity, rrf_score FROM final WHERE pos <= 5")
 def hybrid_top5(spark, sf):
     asked = benchmark_queries(spark, sf)
     vec = _vectors(spark, sf)
