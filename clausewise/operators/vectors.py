@@ -28,26 +28,35 @@ _SLICE = 256  # queries multiplied at once inside a task
 
 def _best_of_tile(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "id": [], "cosine": []})
-        if left.empty or right.empty:
-            return empty
-        kb = np.stack(right["embedding"].to_numpy()).astype(np.float64)
-        ids = right["id"].to_numpy()
-        by_id = np.argsort(ids.astype(str), kind="stable")
-        kb, ids = kb[by_id], ids[by_id]
-        asked = np.stack(left["embedding"].to_numpy()).astype(np.float64)
-        names = left["query_id"].to_numpy()
-        out: list[pd.DataFrame] = []
-        for start in range(0, len(asked), _SLICE):
-            scores = np.round(asked[start : start + _SLICE] @ kb.T, 6) + 0.0
-            for row, name in zip(scores, names[start : start + _SLICE]):
-                # one extra, because a query may meet itself and drop that pair later
-                keep = min(k + 1, len(row))
-                limit = np.partition(row, len(row) - keep)[len(row) - keep]
-                picked = np.flatnonzero(row >= limit)
-                order = picked[np.argsort(-row[picked], kind="stable")][:keep]
-                out.append(pd.DataFrame({"query_id": name, "id": ids[order], "cosine": row[order]}))
-        return pd.concat(out) if out else empty
+        query_ids: list = []
+        kb_ids: list = []
+        cosines: list = []
+        if not left.empty and not right.empty:
+            kb = np.stack(right["embedding"].to_numpy()).astype(np.float64)
+            ids = right["id"].to_numpy(dtype=object)
+            by_id = np.argsort(ids.astype(str), kind="stable")
+            kb, ids = kb[by_id], ids[by_id]
+            asked = np.stack(left["embedding"].to_numpy()).astype(np.float64)
+            names = left["query_id"].to_numpy(dtype=object)
+            # one more than k, because a query may meet itself and drop that pair later
+            keep = min(k + 1, len(ids))
+            for start in range(0, len(asked), _SLICE):
+                scores = np.round(asked[start : start + _SLICE] @ kb.T, 6) + 0.0
+                for row, name in zip(scores, names[start : start + _SLICE]):
+                    limit = np.partition(row, len(row) - keep)[len(row) - keep]
+                    picked = np.flatnonzero(row >= limit)
+                    order = picked[np.argsort(-row[picked], kind="stable")][:keep]
+                    query_ids.extend([name] * keep)
+                    kb_ids.extend(ids[order])
+                    cosines.extend(row[order])
+        # plain object columns: concatenated string columns reach Arrow in several chunks
+        return pd.DataFrame(
+            {
+                "query_id": pd.Series(query_ids, dtype=object),
+                "id": pd.Series(kb_ids, dtype=object),
+                "cosine": pd.Series(cosines, dtype=np.float64),
+            }
+        )
 
     return run
 
