@@ -127,7 +127,7 @@ def paragraphs(col: Column, separator: str = r"\n\s*\n") -> Column:
 
 def mark(col: Column, pattern: str, replacement: str, flags: str) -> Column:
     """Insert the private markers around every match of ``pattern``."""
-    clean = F.translate(col, MARK + MARK_END, "")
+    clean = F.replace(F.replace(col, F.lit(MARK), F.lit("")), F.lit(MARK_END), F.lit(""))
     return F.regexp_replace(clean, flags + pattern, replacement)
 
 

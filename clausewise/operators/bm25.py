@@ -1,11 +1,15 @@
 """BM25 index and search as tables.
 
 Documents count a term once (tokens are distinct), so the score of a document is
-``norm(length) * sum(idf of the query terms it contains)``.  The index is three tables:
+``norm(length) * sum(idf of the query terms it contains)``.
 
-* ``postings(contract_type, term, id, dl)``
-* ``terms(contract_type, term, df, idf, min_dl, kth_dl)``
-* ``stats(contract_type, n_docs, avgdl)``, one row per contract type
+A query of one contract type searches that type and the common rows, a query without a
+type searches everything.  Postings are stored once, on the shelf of their own type;
+statistics of an index are added up from its shelves, so common rows are never copied.
+
+* ``postings(shelf, term, id, dl)``
+* ``terms(contract_type, term, df, idf[, min_dl, kth_dl])``, one row per index and term
+* ``stats(contract_type, n_docs, avgdl)``, one row per index
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from clausewise.session import spread, write_shared
 
 COMMON = "common"
 WHOLE = "*"  # index over every document, used by queries without a type
+OTHER = "-"  # shelf of rows whose type has no index of its own
 LENGTH_STEPS = [8, 16, 32, 64, 128, 256, 512, 1024, 4096]
 # query rows small enough to send to every executor (about 100 bytes each)
 BROADCAST_ROWS = 200_000
@@ -34,21 +39,35 @@ class Bm25Index:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    types: tuple[str, ...]
 
 
-def index_types(types: list[str] | None = None, whole: bool = True) -> Column:
-    """Indexes a row of ``contract_type`` belongs to: its own, or all for common rows."""
-    known = dims.contract_types() if types is None else types
-    every = [F.lit(WHOLE)] if whole else []
-    ct = F.col("contract_type")
-    own = F.when(ct.isin(known), F.array(ct)).otherwise(F.array().cast("array<string>"))
-    placed = F.when(ct == COMMON, F.array(*[F.lit(t) for t in known])).otherwise(own)
-    return F.concat(F.coalesce(placed, F.array().cast("array<string>")), F.array(*every).cast("array<string>"))
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def indexes_of(shelf: Column, types: list[str], whole: bool = True) -> Column:
+    """Indexes a shelf belongs to: its own type, every type for common, and the whole."""
+    every = [WHOLE] if whole else []
+    out = F.when(shelf == COMMON, _strings([*types, *every])).otherwise(_strings(every))
+    for ct in types:
+        out = F.when(shelf == ct, _strings([ct, *every])).otherwise(out)
+    return out
+
+
+def shelves_of(index: Column, types: list[str]) -> Column:
+    """Shelves an index reads."""
+    return F.when(index == WHOLE, _strings([*types, COMMON, OTHER])).otherwise(F.array(index, F.lit(COMMON)))
+
+
+def shelf_of(contract_type: Column, types: list[str]) -> Column:
+    return F.when(contract_type.isin([*types, COMMON]), contract_type).otherwise(OTHER)
 
 
 def replicate_common(kb: DataFrame, types: list[str] | None = None, whole: bool = False) -> DataFrame:
     """One row per index a KB row belongs to; common rows go to every type."""
-    return kb.withColumn("contract_type", F.explode(index_types(types, whole)))
+    known = dims.contract_types() if types is None else types
+    return kb.withColumn("contract_type", F.explode(indexes_of(shelf_of(F.col("contract_type"), known), known, whole)))
 
 
 def kb_types(kb: DataFrame) -> DataFrame:
@@ -56,14 +75,11 @@ def kb_types(kb: DataFrame) -> DataFrame:
     return kb.filter(F.col("contract_type") != COMMON).select("contract_type").distinct()
 
 
-def document_terms(
-    kb: DataFrame, particles: list[str] | None = None, types: list[str] | None = None, whole: bool = True
-) -> DataFrame:
-    """(id, index types, distinct tokens, their number): one row per document."""
-    rows = spread(kb.select("id", "text", "contract_type"))
-    tokens = rows.select(
-        "id", index_types(types, whole).alias("types"), tokenize(F.col("text"), particles).alias("tokens")
-    )
+def document_terms(kb: DataFrame, particles: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """(id, shelf, distinct tokens, their number): one row per document."""
+    known = dims.contract_types() if types is None else types
+    rows = spread(kb.select("id", "text", shelf_of(F.col("contract_type"), known).alias("shelf")))
+    tokens = rows.select("id", "shelf", tokenize(F.col("text"), particles).alias("tokens"))
     return tokens.withColumn("dl", F.size("tokens"))
 
 
@@ -73,39 +89,58 @@ def build_index(
     types: list[str] | None = None,
     whole: bool = True,
     epsilon: float = fv.BM25_EPSILON,
-    pool: int = fv.POOL_MIN,
+    bounds_for: int | None = None,
     materialize: bool = True,
 ) -> Bm25Index:
     """Index of ``kb(id, text, contract_type)``.
 
     Tokens are extracted once and written to the shared folder, because statistics and
     postings both read them.  ``types`` may be fewer than the supported ones.
+    ``bounds_for=k`` adds per-term length bounds that let a pruned search skip lists for
+    the best ``k``; worth it for an index that is stored.
     """
-    docs = document_terms(kb, particles, types, whole)
+    known = dims.contract_types() if types is None else types
+    docs = document_terms(kb, particles, known)
     if materialize:
         docs = write_shared(docs, "document-terms")
-    placed = docs.select("id", "dl", "tokens", F.explode("types").alias("contract_type"))
-    stats = placed.groupBy("contract_type").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = placed.select("contract_type", F.explode("tokens").alias("term"), "id", "dl")
-    steps = [F.count_if(F.col("dl") <= s).alias(f"_le{s}") for s in LENGTH_STEPS]
-    counted = postings.groupBy("contract_type", "term").agg(
-        F.count("*").alias("df"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl"), *steps
+    shelves = docs.groupBy("shelf").agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
+    stats = (
+        shelves.select("n", "length", F.explode(indexes_of(F.col("shelf"), known, whole)).alias("contract_type"))
+        .groupBy("contract_type")
+        .agg(F.sum("n").alias("n_docs"), (F.sum("length") / F.sum("n")).alias("avgdl"))
+    )
+    postings = docs.select("shelf", F.explode("tokens").alias("term"), "id", "dl")
+    local, total = [F.count("*").alias("df")], [F.sum("df").alias("df")]
+    if bounds_for:
+        local += [F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl")]
+        local += [F.count_if(F.col("dl") <= s).alias(f"_le{s}") for s in LENGTH_STEPS]
+        total += [F.min("min_dl").alias("min_dl"), F.max("max_dl").alias("max_dl")]
+        total += [F.sum(f"_le{s}").alias(f"_le{s}") for s in LENGTH_STEPS]
+    counted = (
+        postings.groupBy("shelf", "term")
+        .agg(*local)
+        .withColumn("contract_type", F.explode(indexes_of(F.col("shelf"), known, whole)))
+        .groupBy("contract_type", "term")
+        .agg(*total)
     )
-    # a length that at least ``pool`` documents with the term do not exceed
-    kth = F.when(F.col("df") >= pool, F.col("max_dl"))
-    for s in reversed(LENGTH_STEPS):
-        kth = F.when(F.col(f"_le{s}") >= pool, F.least(F.lit(s), F.col("max_dl"))).otherwise(kth)
+    bounds = []
+    if bounds_for:
+        # a length that at least ``bounds_for`` documents with the term do not exceed
+        kth = F.when(F.col("df") >= bounds_for, F.col("max_dl"))
+        for s in reversed(LENGTH_STEPS):
+            kth = F.when(F.col(f"_le{s}") >= bounds_for, F.least(F.lit(s), F.col("max_dl"))).otherwise(kth)
+        bounds = [F.col("min_dl"), kth.alias("kth_dl")]
     n, df = F.col("n_docs"), F.col("df")
     raw = counted.join(F.broadcast(stats), "contract_type").select(
-        "contract_type", "term", "df", "min_dl", kth.alias("kth_dl"),
-        (F.log(n - df + 0.5) - F.log(df + 0.5)).alias("raw_idf"),
+        "contract_type", "term", "df", *bounds, (F.log(n - df + 0.5) - F.log(df + 0.5)).alias("raw_idf")
     )
     mean = raw.groupBy("contract_type").agg((F.avg("raw_idf") * epsilon).alias("floor"))
+    kept = ["min_dl", "kth_dl"] if bounds_for else []
     terms = raw.join(F.broadcast(mean), "contract_type").select(
-        "contract_type", "term", "df", "min_dl", "kth_dl",
+        "contract_type", "term", "df", *kept,
         F.when(F.col("raw_idf") < 0, F.col("floor")).otherwise(F.col("raw_idf")).alias("idf"),
     )
-    return Bm25Index(postings, terms, stats)
+    return Bm25Index(postings, terms, stats, tuple(known))
 
 
 def query_terms(queries: DataFrame, particles: list[str] | None = None) -> DataFrame:
@@ -130,11 +165,18 @@ def _score(k1: float, b: float) -> Column:
 
 def _lists(index: Bm25Index, weighted: DataFrame, small: bool) -> DataFrame:
     """Posting lists of the query terms; hot terms are spread over salts."""
-    wanted = weighted.select("contract_type", "term", "query_id", "idf", "avgdl")
+    shelves = shelves_of(F.col("contract_type"), list(index.types))
+    wanted = weighted.select(F.explode(shelves).alias("shelf"), "term", "query_id", "idf", "avgdl")
     if small:
-        return index.postings.join(F.broadcast(wanted), ["contract_type", "term"])
-    hot = hot_keys(index.terms, ["contract_type", "term"], "df")
-    return salted_join(index.postings, wanted, ["contract_type", "term"], hot, ["id"])
+        return index.postings.join(F.broadcast(wanted), ["shelf", "term"])
+    # a list is at most as long as the term's list over the whole index
+    hot = (
+        hot_keys(index.terms, ["contract_type", "term"], "df")
+        .select(F.explode(shelves).alias("shelf"), "term", "_salts")
+        .groupBy("shelf", "term")
+        .agg(F.max("_salts").alias("_salts"))
+    )
+    return salted_join(index.postings, wanted, ["shelf", "term"], hot, ["id"])
 
 
 def _rank(scored: DataFrame, k: int) -> DataFrame:
@@ -191,6 +233,8 @@ def _pruned_scores(index: Bm25Index, weighted: DataFrame, k: int, k1: float, b:
         (F.col("idf") > 0) & (F.col("df") >= k),
         F.col("idf") * length_norm(F.col("kth_dl"), F.col("avgdl"), k1, b),
     )
+    if "kth_dl" not in weighted.columns:  # an index without bounds: every list counts
+        weighted = weighted.withColumn("min_dl", F.lit(0)).withColumn("kth_dl", F.lit(None).cast("int"))
     whole = Window.partitionBy("query_id")
     rising = whole.orderBy("upper", "term").rowsBetween(Window.unboundedPreceding, 0)
     bounded = (
@@ -220,10 +264,11 @@ def _pruned_scores(index: Bm25Index, weighted: DataFrame, k: int, k1: float, b:
         F.col("kth").isNull() | (F.col("score") + F.col("gain") >= F.col("kth") + F.col("loss") - slack)
     )
     within = write_shared(within.select("query_id", "id", "score"), "candidates")
-    rest = bounded.filter("optional").select("query_id", "contract_type", "term", "idf", "avgdl")
+    shelves = shelves_of(F.col("contract_type"), list(index.types))
+    rest = bounded.filter("optional").select("query_id", F.explode(shelves).alias("shelf"), "term", "idf", "avgdl")
     completed = (
         within.join(rest, "query_id")
-        .join(index.postings, ["contract_type", "term", "id"])
+        .join(index.postings, ["shelf", "term", "id"])
         .select("query_id", "id", _score(k1, b).alias("score"))
     )
     return (

@@ -11,7 +11,7 @@ from clausewise.functions.text import (
     MARK_END,
     UNI,
     UNI_LINES,
-    is_blank,
+    let,
     mark,
     non_blank_parts,
     paragraphs,
@@ -50,19 +50,26 @@ def special_terms(
     The section runs from its header line to the first signature or date line; the text
     after it returns to the main text.  Without usable items the text stays whole.
     """
-    upto_header = F.regexp_extract(text, UNI_LINES + r"\A([\s\S]*?)(?:" + header + ")", 0)
-    before = F.regexp_extract(text, UNI_LINES + r"\A([\s\S]*?)(?:" + header + ")", 1)
-    rest = F.substring(text, F.length(upto_header) + 1, F.length(text))
-    to_end = UNI_LINES + r"\A([\s\S]*?)(?:" + end_pattern + ")"
-    section = F.when(rest.rlike(to_end), F.regexp_extract(rest, to_end, 1)).otherwise(rest)
-    tail = F.substring(rest, F.length(section) + 1, F.length(rest))
-    items = special_items(strip(section))
-    found = text.rlike(UNI_LINES + header)
-    usable = found & ~is_blank(section) & (F.size(items) > 0)
-    return F.struct(
-        F.when(usable, F.concat(before, tail)).otherwise(text).alias("main_text"),
-        F.when(usable, items).otherwise(_none("array<string>")).alias("items"),
-    )
+    whole = F.struct(text.alias("main_text"), _none("array<string>").alias("items"))
+
+    def cut(parts: Column) -> Column:
+        before, rest = parts[0], parts[1]
+        # the section and what follows it; without an end line the rest is all section
+        ended = mark(rest, r"\A([\s\S]*?)(" + end_pattern + ")", "$1" + MARK + "$2", UNI_LINES)
+        return let(F.split(ended, MARK, 2), lambda pieces: with_items(before, pieces))
+
+    def with_items(before: Column, pieces: Column) -> Column:
+        tail = F.coalesce(F.get(pieces, F.lit(1)), F.lit(""))
+
+        def result(items: Column) -> Column:
+            found = F.struct(F.concat(before, tail).alias("main_text"), items.alias("items"))
+            return F.when(F.size(items) > 0, found).otherwise(whole)
+
+        return let(strip(pieces[0]), lambda section: let(special_items(section), result))
+
+    # most contracts have no such section and pay for one search only
+    marked = mark(text, r"\A([\s\S]*?)(?:" + header + ")", "$1" + MARK, UNI_LINES)
+    return F.when(text.rlike(UNI_LINES + header), let(F.split(marked, MARK, 2), cut)).otherwise(whole)
 
 
 def headed_clauses(text: Column, header_pattern: str = fv.CLAUSE_HEADER) -> Column:

@@ -7,6 +7,8 @@ rules the way a join on RLIKE would make them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ from clausewise.functions.responses import RISK
 from clausewise.functions.text import UNI, collapse, computed, contains_any, lookup
 
 
+def _flags(pattern: str) -> str:
+    """Unicode classes cost time, and collapsed text has no blank but the plain one."""
+    return UNI if re.search(r"\\[dDwWbB]", pattern) else "(?d)"
+
+
 def vetoed(body: Column, contract_type: Column, vetoes: list[tuple[str, str]]) -> Column:
     """True when a phrase in scope appears; it cancels any safe verdict."""
     out = F.lit(False)
@@ -35,7 +42,7 @@ def first_rule(body: Column, contract_type: Column, rules: list[dims.Rule]) -> C
                 F.lit(rule.reason).alias("reason"),
                 F.lit(rule.risk_type).cast("string").alias("risk_type"),
             )
-            chain = F.when(body.rlike(UNI + rule.pattern), hit).otherwise(chain)
+            chain = F.when(body.rlike(_flags(rule.pattern) + rule.pattern), hit).otherwise(chain)
         out = F.when(contract_type == ct, chain).otherwise(out)
     return out
 

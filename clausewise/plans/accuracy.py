@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.operators import evaluation, exchange, rules
+from clausewise.session import write_shared
 
 
 def predict(items: DataFrame, responses: DataFrame | None = None, contract_type: str = "lease", size: int | None = 500) -> DataFrame:
@@ -21,15 +22,19 @@ def predict(items: DataFrame, responses: DataFrame | None = None, contract_type:
         "contract_type", F.lit(contract_type)
     )
     ruled = rules.apply_rules(clauses)
-    decided = rules.rule_verdicts(ruled).select(*exchange.KEYS, "risk_level", "explanation")
-    rest = rules.unresolved(ruled)
     if responses is None:
-        open_part = rest.select(*exchange.KEYS, F.lit("medium").alias("risk_level"), F.lit("").alias("explanation"))
-    else:
-        best = exchange.best_attempts(exchange.parse_responses(responses))
-        open_part = exchange.fold_responses(rest, best).select(*exchange.KEYS, "risk_level", "explanation")
-    predicted = decided.unionByName(open_part)
-    return items.join(predicted, exchange.KEYS).withColumn(
+        decided = ruled.withColumn(
+            "risk_level",
+            F.when(F.col("verdict_source") == "rule_safe", "safe")
+            .when(F.col("verdict_source") == "rule_high", "high")
+            .otherwise("medium"),
+        )
+        return decided.withColumn("prediction", F.col("risk_level"))
+    ruled = write_shared(ruled, "ruled-clauses")  # read twice below
+    by_rule = rules.rule_verdicts(ruled).select(*exchange.KEYS, "risk_level", "explanation")
+    best = exchange.best_attempts(exchange.parse_responses(responses))
+    by_model = exchange.fold_responses(rules.unresolved(ruled), best).select(*exchange.KEYS, "risk_level", "explanation")
+    return items.join(by_rule.unionByName(by_model), exchange.KEYS).withColumn(
         "prediction", F.lower(F.trim("risk_level"))
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewise import fixed_values as fv
 from clausewise.operators.bm25 import build_index
 from clausewise.operators.dedup import dedup_corpus
 from clausewise.sources import kb_files, stores
@@ -60,5 +61,5 @@ def build(
     kept = dedup_corpus(rows, ORDER, scope=dedup_scope)
     stores.write_kb(kept.drop("src_ord"), f"{out}/kb")
     kb = spark.read.parquet(f"{out}/kb")
-    stores.write_index(build_index(kb), f"{out}/index")
+    stores.write_index(build_index(kb, bounds_for=fv.POOL_MIN), f"{out}/index")
     return kb

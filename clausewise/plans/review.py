@@ -16,6 +16,7 @@ from clausewise.functions import responses as R
 from clausewise.operators import analysis, clauses, exchange, keywords, parties, rollups, rules
 from clausewise.operators.bm25 import Bm25Index
 from clausewise.plans.retrieval import clause_retrieval
+from clausewise.session import write_shared
 from clausewise.sources import contracts as door
 
 FACTS = ["filename", "contract_type", "sub_type", "party_a", "party_b"]
@@ -49,7 +50,8 @@ def split_and_rule(contracts: DataFrame) -> DataFrame:
 def prepare(contracts: DataFrame, kb: DataFrame | None = None, index: Bm25Index | None = None, k: int = fv.TOP_K) -> Prepared:
     """Everything up to the request table."""
     detected = detect(door.accepted(contracts))
-    ruled = split_and_rule(detected)
+    # clauses and rule verdicts feed the search, the requests and the final join
+    ruled = write_shared(split_and_rule(detected), "ruled-clauses")
     open_clauses = rules.unresolved(ruled)
     if kb is None or index is None:
         hits = None

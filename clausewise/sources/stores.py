@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewise import dims
 from clausewise.operators.analysis import latest_overrides, revised_lines
-from clausewise.operators.bm25 import Bm25Index
+from clausewise.operators.bm25 import COMMON, Bm25Index
 from clausewise.operators.exchange import KEYS
 
-POSTINGS_SCHEMA = "term string, id string, dl int, contract_type string"
+POSTINGS_SCHEMA = "term string, id string, dl int, shelf string"
 TERMS_SCHEMA = "term string, df long, min_dl int, kth_dl int, idf double, contract_type string"
 STATS_SCHEMA = "contract_type string, n_docs long, avgdl double"
 
@@ -62,19 +63,26 @@ def upsert_kb(spark: SparkSession, path: str, batch: DataFrame) -> None:
 
 
 def write_index(index: Bm25Index, path: str) -> None:
-    """Partitioned by contract type, so a search reads only the types it asks for."""
-    index.postings.write.mode("overwrite").partitionBy("contract_type").parquet(f"{path}/postings")
+    """Partitioned by shelf and type, so a search reads only the types it asks for."""
+    index.postings.write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").partitionBy("contract_type").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def read_index(spark: SparkSession, path: str, types: list[str] | None = None) -> Bm25Index:
-    """``types`` prunes partitions; a type that was never indexed is an empty scan."""
+def read_index(spark: SparkSession, path: str, only: list[str] | None = None, types: list[str] | None = None) -> Bm25Index:
+    """``only`` prunes partitions; a type that was never indexed is an empty scan.
+
+    ``types`` are the types the index was built for.
+    """
+    known = dims.contract_types() if types is None else types
     tables = []
-    for name, schema in (("postings", POSTINGS_SCHEMA), ("terms", TERMS_SCHEMA), ("stats", STATS_SCHEMA)):
+    for name, key, schema in (
+        ("postings", "shelf", POSTINGS_SCHEMA), ("terms", "contract_type", TERMS_SCHEMA), ("stats", "contract_type", STATS_SCHEMA)
+    ):
         table = spark.read.schema(schema).parquet(f"{path}/{name}")
-        tables.append(table if types is None else table.filter(F.col("contract_type").isin(types)))
-    return Bm25Index(*tables)
+        wanted = only if only is None or key == "contract_type" else [*only, COMMON]
+        tables.append(table if wanted is None else table.filter(F.col(key).isin(wanted)))
+    return Bm25Index(*tables, tuple(known))
 
 
 # --- analyses --------------------------------------------------------------------------------

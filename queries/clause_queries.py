@@ -10,6 +10,7 @@ from clausewise.functions import text as X
 from clausewise.operators import clauses as C
 from clausewise.operators import exchange, expansion, rules
 from clausewise.plans import retrieval
+from clausewise.session import write_shared
 from queries.base import (
     CLAUSES_CTE, CONTRACT_TYPE, HIGH_REASON_SQL, HIGH_TYPE_SQL, KB_TYPES, RULED_CTE, SAFE_SQL, VETO_SQL,
     BODY_SQL, contracts, kb, query, quote, sql_map, table,
@@ -184,8 +185,9 @@ def model_requests(spark, sf):
 
     texts = contracts(spark, sf, typed=True).withColumn("_p", parties(F.col("text"), F.col("contract_type"))).select("*", "_p.*")
     texts = texts.withColumn("sub_type", F.expr(_SUB))
-    open_clauses = rules.unresolved(
-        rules.apply_rules(C.split_clauses(texts, keep=["contract_type", "sub_type", "party_a", "party_b"]))
+    facts = ["contract_type", "sub_type", "party_a", "party_b"]
+    open_clauses = write_shared(
+        rules.unresolved(rules.apply_rules(C.split_clauses(texts, keep=facts))), "open-clauses"
     )
     hits = open_clauses.filter(F.col("document_id") % 2 == 0).select(
         *exchange.KEYS,

@@ -8,7 +8,7 @@ from clausewise import fixed_values as fv
 from clausewise.functions import responses as R
 from clausewise.operators import analysis, evaluation, exchange, rollups
 from clausewise.plans import accuracy
-from clausewise.session import spread
+from clausewise.session import spread, write_shared
 from clausewise.sources import stores
 from queries.base import CLAUSES_CTE, RULED_CTE, query, quote, sql_map, table
 from queries.clause_queries import ruled, split
@@ -104,7 +104,7 @@ def fold_responses(spark, sf):
 def attach_verdicts(spark, sf):
     from clausewise.plans.review import verdicts
 
-    clauses = ruled(spark, sf)
+    clauses = write_shared(ruled(spark, sf), "ruled-clauses")
     return analysis.attach_verdicts(
         clauses.select("document_id", "clause_pos", "title"), verdicts(clauses, responses(spark, sf))
     ).select("document_id", "clause_pos", "risk_level", "confidence", "explanation", "analysis_status")

@@ -68,7 +68,7 @@ def corpus(spark):
     kb, asked = make_corpus()
     kb_df = spark.createDataFrame(kb, "id string, text string, contract_type string").repartition(3)
     asked_df = spark.createDataFrame(asked, "query_id string, text string, contract_type string")
-    return kb, asked, kb_df, asked_df, bm25.build_index(kb_df, types=TYPES, pool=5)
+    return kb, asked, kb_df, asked_df, bm25.build_index(kb_df, types=TYPES, bounds_for=5)
 
 
 @pytest.mark.parametrize("strategy", ["auto", "broadcast", "pruned"])
@@ -78,6 +78,12 @@ def test_bm25_equals_a_loop(spark, corpus, strategy):
     assert {(r.query_id, r.id, round(r.score, 5), r.pos) for r in rows} == loop_bm25(kb, asked, 5)
 
 
+def test_pruned_search_without_bounds(spark, corpus):
+    kb, asked, kb_df, asked_df, _ = corpus
+    rows = bm25.search(asked_df, bm25.build_index(kb_df, types=TYPES), 5, strategy="pruned").collect()
+    assert {(r.query_id, r.id, round(r.score, 5), r.pos) for r in rows} == loop_bm25(kb, asked, 5)
+
+
 def test_bm25_batch_equals_single(spark, corpus):
     _, asked, _, asked_df, index = corpus
     batch = {(r.query_id, r.id, r.pos) for r in bm25.search(asked_df, index, 3).collect()}
