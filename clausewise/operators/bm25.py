@@ -24,7 +24,7 @@ from clausewise import fixed_values as fv
 from clausewise.functions.scoring import bm25_similarity, length_norm
 from clausewise.functions.text import tokenize
 from clausewise.operators.skew import hot_keys, salted_join, top_n
-from clausewise.session import spread, write_shared
+from clausewise.session import write_shared
 
 COMMON = "common"
 WHOLE = "*"  # index over every document, used by queries without a type
@@ -78,8 +78,8 @@ def kb_types(kb: DataFrame) -> DataFrame:
 def document_terms(kb: DataFrame, particles: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
     """(id, shelf, distinct tokens, their number): one row per document."""
     known = dims.contract_types() if types is None else types
-    rows = spread(kb.select("id", "text", shelf_of(F.col("contract_type"), known).alias("shelf")))
-    tokens = rows.select("id", "shelf", tokenize(F.col("text"), particles).alias("tokens"))
+    shelf = shelf_of(F.col("contract_type"), known).alias("shelf")
+    tokens = kb.select("id", shelf, tokenize(F.col("text"), particles).alias("tokens"))
     return tokens.withColumn("dl", F.size("tokens"))
 
 

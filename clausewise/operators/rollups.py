@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
 from clausewise.functions import responses as R
-from clausewise.functions.text import head, strip
+from clausewise.functions.text import head, lookup, strip
 from clausewise.operators.exchange import KEYS, ordered_text
 from clausewise.operators.fusion import report_category
 from clausewise.operators.skew import top_n
@@ -136,12 +136,15 @@ def reference_counts(aggregated: DataFrame) -> DataFrame:
 
 
 def reference_order(aggregated: DataFrame, n: int | None = None) -> DataFrame:
-    """References of each category by falling similarity (``n`` keeps only the best)."""
+    """References of each category by falling similarity.
+
+    With ``n`` the best per category and their ``pos``; without it a range-partitioned
+    sort of everything, which no single contract can overload.
+    """
     order = [F.desc("similarity"), F.asc("first_cited_by"), F.asc("ref_key")]
-    if n is not None:
-        return top_n(aggregated, ["document_id", "category"], order, n)
-    window = Window.partitionBy("document_id", "category").orderBy(*order)
-    return aggregated.withColumn("pos", F.row_number().over(window))
+    if n is None:
+        return aggregated.orderBy("document_id", "category", *order)
+    return top_n(aggregated, ["document_id", "category"], order, n)
 
 
 def top_risky(analyses: DataFrame, n: int, levels: list[str]) -> DataFrame:
@@ -259,8 +262,6 @@ def choose_summary(distribution: DataFrame, responses: DataFrame) -> DataFrame:
 
 def summary_requests(analyses: DataFrame, contracts: DataFrame, n: int = 8) -> DataFrame:
     """Request table of contract summaries.  ``contracts(document_id, contract_type)``."""
-    from clausewise.functions.text import lookup
-
     counts = risk_distribution(analyses)
     label = lookup(F.col("contract_type"), fv.SUMMARY_TYPE_LABELS, F.col("contract_type"))
     risky = F.col("high") + F.col("medium") + F.col("low")

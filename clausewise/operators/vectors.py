@@ -73,15 +73,17 @@ def search(
     exclude_self: bool = False,
     kb_block: int = KB_BLOCK,
     query_block: int = QUERY_BLOCK,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Top-k KB rows per query: (query_id, id, cosine, similarity, pos).
 
     ``queries(query_id, contract_type, embedding)``; a query with a type sees that type
     and common rows, one without sees everything.  ``exclude_self`` drops the pair where
-    query and KB row are the same vector.
+    query and KB row are the same vector.  ``sizes`` are upper limits of both row counts
+    (queries, KB), for callers that know them without running the inputs.
     """
     known = dims.contract_types() if types is None else types
-    n_kb, n_queries = kb.count(), queries.count()
+    n_queries, n_kb = sizes or (queries.count(), kb.count())
     kb_blocks = max(1, math.ceil(n_kb / kb_block))
     query_blocks = max(1, math.ceil(n_queries / query_block))
     shelves = [*known, COMMON]

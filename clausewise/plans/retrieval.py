@@ -38,7 +38,9 @@ def hybrid_search(
     else:
         typed_queries = query_vectors.join(queries.select("query_id", "contract_type"), "query_id")
         typed_kb = kb_vectors.join(kb.select("id", "contract_type"), "id")
-        near = vectors.search(typed_queries, typed_kb, pool, types, exclude_self)
+        # counting the vector tables reads file footers only; the joins are not run for it
+        sizes = (query_vectors.count(), kb_vectors.count())
+        near = vectors.search(typed_queries, typed_kb, pool, types, exclude_self, sizes=sizes)
     hits = fusion.fuse(near, words, kb, k)
     return hits if min_score is None else hits.filter(F.col("similarity") >= min_score)
 

@@ -56,10 +56,11 @@ def write_shared(df: DataFrame, label: str, partition_by: list[str] | None = Non
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows over all cores when the input has fewer splits than there are cores.
+    """Deal the rows of a table just read over all cores when it has fewer splits than that.
 
-    A small file arrives as one split and would keep one core busy; inputs with enough
-    splits are returned as they are, without a shuffle.
+    A small file arrives as one split and would keep one core busy; tables with enough
+    splits are returned as they are, without a shuffle.  Only for plain scans: asking a
+    plan with shuffles for its partitions would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

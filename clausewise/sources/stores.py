@@ -9,6 +9,7 @@ from clausewise import dims
 from clausewise.operators.analysis import latest_overrides, revised_lines
 from clausewise.operators.bm25 import COMMON, Bm25Index
 from clausewise.operators.exchange import KEYS
+from clausewise.session import write_shared
 
 POSTINGS_SCHEMA = "term string, id string, dl int, shelf string"
 TERMS_SCHEMA = "term string, df long, min_dl int, kth_dl int, idf double, contract_type string"
@@ -42,8 +43,6 @@ def upsert_kb(spark: SparkSession, path: str, batch: DataFrame) -> None:
     The result is first written beside the table, because Spark cannot overwrite files it
     is still reading.
     """
-    from clausewise.session import write_shared
-
     known = spark.read.parquet(path)
     touched = batch.select("contract_type").distinct()
     same = known.join(F.broadcast(touched), "contract_type", "left_semi")
@@ -132,17 +131,17 @@ def write_quarantine(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def write_revised(analyses: DataFrame, path: str) -> None:
-    """Revised contracts as text files, lines in order, one folder per document.
+def write_revised(analyses: DataFrame, path: str, per_document: bool = False) -> None:
+    """Revised contracts as lines in reading order.
 
-    Documents are spread over tasks by range; each task sorts only its own lines.
+    Contracts are spread over tasks by range and each task sorts only its own lines.  The
+    default is one parquet table; ``per_document`` writes a text folder per contract, which
+    suits the export of a few contracts, not of millions.
     """
     lines = revised_lines(analyses)
-    (
-        lines.repartitionByRange("document_id")
-        .sortWithinPartitions("document_id", "clause_pos", "line_no")
-        .select(F.col("text").alias("value"), "document_id")
-        .write.mode("overwrite")
-        .partitionBy("document_id")
-        .text(path)
-    )
+    order = ["document_id", "clause_pos", "line_no"]
+    if per_document:
+        placed = lines.repartitionByRange("document_id").sortWithinPartitions(*order)
+        placed.select(F.col("text").alias("value"), "document_id").write.mode("overwrite").partitionBy("document_id").text(path)
+    else:
+        lines.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)

@@ -28,8 +28,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, deal: bool = False) -> DataFrame:
+    """A driver table; ``deal`` spreads a single-split file over the cores."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if deal else df
 
 
 def quote(text: str) -> str:
@@ -62,8 +64,8 @@ QUERIES = [
 ]
 
 
-def kb(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr(*KB)
+def kb(spark: SparkSession, sf: str, deal: bool = False) -> DataFrame:
+    return table(spark, sf, "documents", deal).selectExpr(*KB)
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +116,7 @@ CONTRACT_TYPE = f"CASE {_KIND} WHEN 0 THEN 'lease' WHEN 1 THEN 'service' ELSE 'l
 def contracts(spark: SparkSession, sf: str, typed: bool = False) -> DataFrame:
     """Contract texts; ``typed`` adds the type the text was written for."""
     extra = [f"{CONTRACT_TYPE} AS contract_type"] if typed else []
-    return spread(table(spark, sf, "orders")).selectExpr(*CONTRACTS, *extra)
+    return table(spark, sf, "orders", deal=True).selectExpr(*CONTRACTS, *extra)
 
 
 def _clause(pos: int, index: int, title: str, body: str, where: str = "") -> str:

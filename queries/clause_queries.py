@@ -99,9 +99,7 @@ _LINE_CLAUSES = f"SELECT l_orderkey, l_partkey, l_linenumber, {_TYPE_OF_LINE} AS
 @query("r1_r2_rules_all_types", f"""WITH clauses AS ({_LINE_CLAUSES}), bodies AS (SELECT *, {BODY_SQL} AS body FROM clauses)
     SELECT l_orderkey, l_partkey, l_linenumber, {SAFE_SQL} AS safe_reason, {HIGH_REASON_SQL} AS high_reason, {HIGH_TYPE_SQL} AS high_risk_type FROM bodies""")
 def rules_all_types(spark, sf):
-    from clausewise.session import spread
-
-    lines = spread(table(spark, sf, "lineitem")).selectExpr(
+    lines = table(spark, sf, "lineitem", deal=True).selectExpr(
         "l_orderkey", "l_partkey", "l_linenumber", f"{_TYPE_OF_LINE} AS contract_type", f"{_TEXT_OF_LINE} AS content"
     )
     return rules.apply_rules(lines).select(
@@ -163,7 +161,7 @@ def clause_hits(spark, sf):
         "concat('① ', regexp_replace(text, '\\\\. ', '. ② ')) AS content",
     )
     base = kb(spark, sf)
-    index = bm25.build_index(base, types=KB_TYPES)
+    index = bm25.build_index(kb(spark, sf, deal=True), types=KB_TYPES)
     return retrieval.clause_retrieval(items, exchange.KEYS, base, index)
 
 

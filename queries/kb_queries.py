@@ -67,12 +67,12 @@ def _dedup_sql(scope: str) -> str:
 
 @query("w7_a22_corpus_dedup", _dedup_sql(""))
 def corpus_dedup(spark, sf):
-    return dedup_corpus(kb(spark, sf), ["id"]).select("id", "source", "contract_type")
+    return dedup_corpus(kb(spark, sf, deal=True), ["id"]).select("id", "source", "contract_type")
 
 
 @query("w7_corpus_dedup_per_type", _dedup_sql("type"))
 def corpus_dedup_per_type(spark, sf):
-    return dedup_corpus(kb(spark, sf), ["id"], scope="per_type").select("id", "source", "contract_type")
+    return dedup_corpus(kb(spark, sf, deal=True), ["id"], scope="per_type").select("id", "source", "contract_type")
 
 
 @query("so1_h6_united_build", f"""WITH {KB_CTE}, u AS (SELECT id, text, source, contract_type, 0 AS src_ord FROM kb

@@ -8,7 +8,7 @@ from clausewise import fixed_values as fv
 from clausewise.functions import responses as R
 from clausewise.operators import analysis, evaluation, exchange, rollups
 from clausewise.plans import accuracy
-from clausewise.session import spread, write_shared
+from clausewise.session import write_shared
 from clausewise.sources import stores
 from queries.base import CLAUSES_CTE, RULED_CTE, query, quote, sql_map, table
 from queries.clause_queries import ruled, split
@@ -29,7 +29,7 @@ RESPONSES = [
 
 
 def responses(spark, sf):
-    twice = spread(table(spark, sf, "orders")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
+    twice = table(spark, sf, "orders", deal=True).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
     return twice.selectExpr(*RESPONSES)
 
 
@@ -125,7 +125,7 @@ _RAW_CLEAN = "CASE o_custkey % 3 WHEN 0 THEN '<think>생각</think>' ELSE '' END
 
 @query("x25_r7_clean_rewrites", "SELECT o_orderkey AS document_id, 1 AS clause_pos, '본문 ' || o_orderkey AS suggested_rewrite FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 7 <> 0")
 def clean_rewrites(spark, sf):
-    said = spread(table(spark, sf, "orders")).selectExpr(
+    said = table(spark, sf, "orders", deal=True).selectExpr(
         "o_orderkey AS document_id", "1 AS clause_pos", f"CASE WHEN o_custkey % 7 = 0 THEN '  ' ELSE {_RAW_CLEAN} END AS raw_text",
         "CASE o_orderstatus WHEN 'P' THEN 'timeout' ELSE 'ok' END AS status",
     )

@@ -43,7 +43,7 @@ BM25_CTES = f"{KB_CTE}, {QUERY_CTE}, {INDEX_CTE}, {ASKED_CTE}, {SCORE_CTE}"
 
 
 def _index(spark, sf, bounds_for=None):
-    return bm25.build_index(kb(spark, sf), types=KB_TYPES, bounds_for=bounds_for)
+    return bm25.build_index(kb(spark, sf, deal=True), types=KB_TYPES, bounds_for=bounds_for)
 
 
 @query(
