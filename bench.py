@@ -11,7 +11,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "h1_a7_bm25_top5",
-    "h1_bm25_pruned",
     "h2_j7_vector_top5",
     "h4_h3_t1_hybrid_top5",
     "a5_a23_term_statistics",
