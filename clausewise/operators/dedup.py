@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
-from clausewise.functions.text import corpus_norm
+from clausewise.functions.text import computed, corpus_norm
 from clausewise.session import write_shared
 
 
@@ -36,8 +36,9 @@ def dedup_corpus(
     """
     scoped = [F.col("contract_type")] if scope == "per_type" else []
     ranked = items.withColumn("_rank", F.struct(source_priority(F.col("source")).alias("p"), *order))
-    norm = corpus_norm(F.col("text"))
-    keyed = ranked.select(
+    norm = F.col("_norm")
+    normed = ranked.select("_rank", "id", *scoped, computed(_norm=corpus_norm(F.col("text"))))
+    keyed = normed.select(
         "_rank",
         F.sha2(F.concat_ws("\u0001", *scoped, "id"), 256).alias("i"),
         F.when(F.length(norm) >= min_chars, F.sha2(F.concat_ws("\u0001", *scoped, norm), 256)).alias("t"),

@@ -224,7 +224,7 @@ def rewrites(responses: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or KEYS
     return (
         responses.filter(F.col("status") == "ok")
-        .select(*keys, R.clean_rewrite(F.coalesce("raw_text", F.lit(""))).alias("suggested_rewrite"))
+        .select(*keys, computed(suggested_rewrite=R.clean_rewrite(F.coalesce("raw_text", F.lit("")))))
         .filter(F.col("suggested_rewrite") != "")
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
 from clausewise.functions import responses as R
+from clausewise.functions.text import computed
 from clausewise.operators import analysis, clauses, exchange, keywords, parties, rollups, rules
 from clausewise.operators.bm25 import Bm25Index
 from clausewise.plans.retrieval import clause_retrieval
@@ -32,13 +33,10 @@ class Prepared:
 
 def detect(contracts: DataFrame) -> DataFrame:
     """Add contract type, lease sub-type and party roles."""
-    typed = contracts.withColumn("contract_type", keywords.contract_type(F.col("text")))
-    return (
-        typed.withColumn("sub_type", F.when(F.col("contract_type") == "lease", keywords.lease_subtype(F.col("text"))))
-        .withColumn("_p", parties.parties(F.col("text"), F.col("contract_type")))
-        .select("*", "_p.*")
-        .drop("_p")
-    )
+    typed = contracts.select("*", computed(contract_type=keywords.contract_type(F.col("text"))))
+    sub_type = F.when(F.col("contract_type") == "lease", keywords.lease_subtype(F.col("text")))
+    facts = typed.select("*", computed(sub_type=sub_type, _p=parties.parties(F.col("text"), F.col("contract_type"))))
+    return facts.select("*", "_p.*").drop("_p")
 
 
 def split_and_rule(contracts: DataFrame) -> DataFrame:

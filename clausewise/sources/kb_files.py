@@ -125,16 +125,19 @@ def judgment_rows(cases: DataFrame, size: int = 1500, overlap: int = 150) -> Dat
     info = F.col("info")
     base = cases.select(
         "src_path",
-        F.coalesce(info["caseNm"], F.lit("")).alias("case_name"),
-        F.coalesce(info["caseNo"], F.lit("")).alias("case_no"),
-        F.coalesce(info["courtNm"], F.lit("")).alias("court"),
-        F.array_join(string_list(info["relateLaword"]), " ").alias("_laws"),
-        F.array_join(nested_lists(F.col("facts")), "\n").alias("_facts"),
-        F.array_join(nested_lists(F.col("dcss")), "\n").alias("_dcss"),
+        X.computed(
+            case_name=F.coalesce(info["caseNm"], F.lit("")),
+            case_no=F.coalesce(info["caseNo"], F.lit("")),
+            court=F.coalesce(info["courtNm"], F.lit("")),
+            _laws=F.array_join(string_list(info["relateLaword"]), " "),
+            _facts=F.array_join(nested_lists(F.col("facts")), "\n"),
+            _dcss=F.array_join(nested_lists(F.col("dcss")), "\n"),
+        ),
+    )
+    everything = base.withColumn("_all", F.concat_ws(" ", "case_name", "_laws", "_facts", "_dcss"))
+    routed = everything.select("*", X.computed(contract_type=K.judgment_type(F.col("_all")))).filter(
+        F.col("contract_type").isNotNull()
     )
-    routed = base.withColumn(
-        "contract_type", K.judgment_type(F.concat_ws(" ", "case_name", "_laws", "_facts", "_dcss"))
-    ).filter(F.col("contract_type").isNotNull())
     header = F.concat(
         F.lit("[판결문] "), F.col("court"), F.lit(" "), F.col("case_no"), F.lit(" - "), F.col("case_name")
     )
@@ -200,7 +203,9 @@ def route_articles(
 def law_rows(files: DataFrame) -> DataFrame:
     """KB rows of statute files.  ``files(md, law_name, law_kind, src_path)``."""
     block = F.col("_fm")
-    parsed = files.withColumn("_fm", M.front_matter(F.col("md"))).filter(block.isNotNull() & M.is_in_force(block))
+    parsed = files.select("*", X.computed(_fm=M.front_matter(F.col("md")))).filter(
+        block.isNotNull() & M.is_in_force(block)
+    )
     articles = parsed.select(
         "law_name", "law_kind", "src_path",
         F.coalesce(M.value(block, "시행일자"), F.lit("")).alias("siheng_date"),
@@ -240,24 +245,25 @@ def read_laws(spark: SparkSession, path: str) -> DataFrame:
 
 def precedent_rows(files: DataFrame, per_type_cap: int = 1500) -> DataFrame:
     """KB rows of precedents, at most ``per_type_cap`` per type in path order (0 = all)."""
-    parsed = files.withColumn("_fm", M.front_matter(F.col("md"))).filter(F.col("_fm").isNotNull())
-    sections = parsed.withColumn("_s", M.named_sections(M.after_front_matter(F.col("md"))))
-    named = sections.select(
+    # each step is computed once; plain columns would be evaluated again by every filter
+    parsed = files.select(
         "src_path",
-        *[
-            F.coalesce(M.value(F.col("_fm"), key), F.lit("")).alias(name)
-            for key, name in (("사건명", "case_name"), ("사건번호", "case_no"), ("법원명", "court"), ("선고일자", "date"))
-        ],
-        M.section(F.col("_s"), "판시사항").alias("_head"),
-        M.section(F.col("_s"), "판결요지").alias("_gist"),
-        M.section(F.col("_s"), "참조조문").alias("_ref"),
+        X.computed(_fm=M.front_matter(F.col("md")), _s=M.named_sections(M.after_front_matter(F.col("md")))),
+    ).filter(F.col("_fm").isNotNull())
+    fields = (("사건명", "case_name"), ("사건번호", "case_no"), ("법원명", "court"), ("선고일자", "date"))
+    named = parsed.select(
+        "src_path",
+        X.computed(
+            **{name: F.coalesce(M.value(F.col("_fm"), key), F.lit("")) for key, name in fields},
+            _head=M.section(F.col("_s"), "판시사항"),
+            _gist=M.section(F.col("_s"), "판결요지"),
+            _ref=M.section(F.col("_s"), "참조조문"),
+        ),
     )
-    composite = F.concat_ws("\n", "_head", "_gist", "_ref")
-    typed = (
-        named.withColumn("_all", composite)
-        .filter(F.length(X.strip(F.col("_all"))) >= 50)
-        .withColumn("contract_type", K.precedent_type(F.col("_all")))
-        .filter(F.col("contract_type").isNotNull())
+    composite = named.withColumn("_all", F.concat_ws("\n", "_head", "_gist", "_ref"))
+    long_enough = composite.filter(F.length(X.strip(F.col("_all"))) >= 50)
+    typed = long_enough.select("*", X.computed(contract_type=K.precedent_type(F.col("_all")))).filter(
+        F.col("contract_type").isNotNull()
     )
     if per_type_cap > 0:
         typed = top_n(typed, ["contract_type"], [F.asc("src_path")], per_type_cap, spread_by=["src_path"]).drop("pos")

@@ -63,12 +63,14 @@ def tokenize(spark, sf):
 
 
 @query("x9_strip_particle", f"""WITH w AS (
-    SELECT o_orderkey, unnest(['근로자' || p, 'x' || p, '갑' || p]) AS w FROM orders,
+    SELECT unnest([regexp_extract(p_name, '^[a-z]+', 0) || p, substring(p_name, 1, 1) || p]) AS w FROM part,
       (SELECT unnest([{", ".join(f"'{p}'" for p in fv.PARTICLES)}]) AS p))
     SELECT w AS word, {_STEM} AS stem, count(*) AS n FROM w GROUP BY 1, 2""")
 def strip_particle(spark, sf):
-    forms = F.array(*[F.concat(F.lit(stem), F.lit(p)) for p in fv.PARTICLES for stem in ("근로자", "x", "갑")])
-    words = table(spark, sf, "orders").select(F.explode(forms).alias("word"))
+    """Every particle behind the first word and behind the first letter of each part name."""
+    stems = (F.regexp_extract("p_name", "^[a-z]+", 0), F.substring("p_name", 1, 1))
+    forms = F.array(*[F.concat(stem, F.lit(p)) for p in fv.PARTICLES for stem in stems])
+    words = table(spark, sf, "part").select(F.explode(forms).alias("word"))
     return words.select("word", X.strip_particles(F.col("word")).alias("stem")).groupBy("word", "stem").agg(
         F.count("*").alias("n")
     )
