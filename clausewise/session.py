@@ -34,10 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
     Only a session without that setting (local tests) gets a temporary folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "clausewise-scratch")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or os.path.join(tempfile.gettempdir(), "clausewise-scratch")
 
 
 def write_shared(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
