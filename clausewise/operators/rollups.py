@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clausewise import fixed_values as fv
 from clausewise.functions import responses as R
 from clausewise.functions.text import head, lookup, strip
-from clausewise.operators.exchange import KEYS, ordered_text
+from clausewise.operators.exchange import ordered_text
 from clausewise.operators.fusion import report_category
 from clausewise.operators.skew import top_n
 

@@ -8,7 +8,6 @@ from clausewise import fixed_values as fv
 from clausewise.functions import scoring
 from clausewise.functions import text as X
 from clausewise.operators import bm25, fusion, vectors
-from clausewise.operators.expansion import clause_queries
 from clausewise.plans import retrieval
 from queries.base import (
     KB_CTE, KB_TYPES, QUERY_CTE, benchmark_queries, kb, query, sql_map, table,
