@@ -350,7 +350,7 @@ def find_analysis(spark, sf):
     return stores.find_analysis(results, 4711)
 
 
-@query("s11_nested_result", f"""WITH {ANALYSES_CTE} SELECT document_id, count(*) AS n_clauses, string_agg(risk_level, ',' ORDER BY clause_pos, clause_index) AS levels FROM a GROUP BY 1""")
+@query("s11_nested_result", f"""WITH {ANALYSES_CTE} SELECT document_id, count(*) AS n_clauses, string_agg(risk_level, ',' ORDER BY clause_pos, clause_index, title, risk_level) AS levels FROM a GROUP BY 1""")
 def nested_result(spark, sf):
     rows = analyses(spark, sf)
     nested = rollups.nested_result(rows, rollups.contract_totals(rows))
