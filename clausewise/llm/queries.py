@@ -11,6 +11,7 @@ from clausewise.llm import (
     chat_format,
     decontaminate,
     license_scan,
+    near_dedup,
     packing,
     quality_classifier,
     quality_rules,
@@ -136,6 +137,35 @@ def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "log_weight", "sample_key", drawn.alias("kept"))
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') AS s
+  FROM doc, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS t(i) WHERE len(w) > 0
+), size AS (SELECT doc_id, count(*)::BIGINT AS n FROM shingle GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingle a JOIN shingle b USING (s)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM shared JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y
+  WHERE 100 * shared.n >= 80 * (p.n + q.n - shared.n)
+), reach AS (
+  SELECT doc_id, doc_id AS c FROM doc UNION SELECT y, c FROM reach JOIN link ON x = doc_id
+), component AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM component LEFT JOIN size USING (doc_id)
+"""
+
+
+@query("op8_minhash_near_dedup", NEAR_SQL)
+def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.groups(table(spark, sf_dir, "documents"), words=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op9_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
