@@ -163,10 +163,10 @@ def contamination(
     windows = matched.filter(F.size("backs") > 0).select("row", "item", "width", "pos", F.explode("backs").alias("back"))
     start = (F.col("pos") - F.col("back")).cast("long")
     hits = windows.groupBy("row").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_set(F.struct(start.alias("start"), (start + F.col("width")).alias("end")))
         ).alias("hits"),
-        F.array_sort(F.collect_set("item")).alias("items"),
+        F.sort_array(F.collect_set("item")).alias("items"),
     )
     return marked.drop("marks").join(hits, "row", "left").select(
         F.col("id").alias("doc_id"),

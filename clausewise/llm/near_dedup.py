@@ -79,12 +79,20 @@ def _sketched(documents: DataFrame, doc_id: str, text: str, words: int) -> DataF
                 keys.append(set_key(items) if len(items) else None)
                 signatures.append(signature(items).tobytes() if len(items) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "signature"],
+                [
+                    batch.column("doc_id"),
+                    batch.column("text_key"),
+                    pa.array(counts, pa.int64()),
+                    pa.array(keys, pa.binary()),
+                    pa.array(signatures, pa.binary()),
+                ],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "signature"],
             )
 
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    made = rows.mapInArrow(run, f"doc_id {id_type}, n_shingles long, set_key binary, signature binary")
+    rows = documents.select(
+        F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).cast("binary").alias("text")
+    )
+    made = rows.mapInArrow(run, f"doc_id {id_type}, text_key long, n_shingles long, set_key binary, signature binary")
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -351,7 +359,7 @@ def groups(
     leaf: int = LEAF,
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key, component_id, kept.
+    """Per row: doc_id, text_key (xxhash64 of the text), n_shingles, component_id, kept.
 
     Two documents are linked when 100 * shared shingles >= ``percent`` * all shingles of both; a group is
     what links connect, and component_id the smallest doc_id in it. Rows with an empty set (null
@@ -391,8 +399,8 @@ def groups(
     )
     heads = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = placed.join(heads, "component").select("set_key", "component_id")
-    told = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
+    told = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return told.select("doc_id", "n_shingles", "set_key", component_id.alias("component_id")).withColumn(
+    return told.select("doc_id", "text_key", "n_shingles", component_id.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

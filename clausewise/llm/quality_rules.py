@@ -43,7 +43,7 @@ def runs(words: Column, hashes: Column, width: int = REPEAT) -> Column:
 
 def by_hash(windows: Column) -> Column:
     """The hashes in order, each with its place (from 0): equal ones stand side by side."""
-    return F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
 
 def statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,7 +73,7 @@ def statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "text")
         near = [F.get(F.col("placed"), i + step)["h"] for step in (-1, 1)]
         return reduce(lambda a, b: a | b, [F.coalesce(h == x["h"], F.lit(False)) for h in near])
 
-    starts = F.array_sort(F.transform(F.filter("placed", beside), lambda x: x["i"]))
+    starts = F.sort_array(F.transform(F.filter("placed", beside), lambda x: x["i"]))
     under = F.aggregate(
         starts,
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),

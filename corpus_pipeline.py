@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import decontaminate, packing, quality_classifier
+from clausewise.llm import decontaminate, line_dedup, near_dedup, packing, quality_classifier
 from clausewise.llm.common import free_name, staged, table
 
 
@@ -15,17 +15,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.filter(F.lit(False) if cut is None else key >= cut)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that resemble an earlier one; a document that loses its last proper line goes."""
+    found, _, has_lines = line_dedup.deduplicate(docs)
+    return found.filter(has_lines).select(*docs.columns)
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` less the (doc_id, text_key) of ``found``; a null id is an id of its own."""
+    out_id, out_text = free_name("out_id", docs.columns), free_name("out_text", docs.columns)
+    out = found.select(F.col("doc_id").alias(out_id), F.col("text_key").alias(out_text)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(out_id)) & (F.xxhash64("text") == F.col(out_text))
+    return docs.join(out, same, "left_anti").select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of every group of near duplicates."""
+    return _without(docs, near_dedup.groups(docs).filter("not kept"))
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item. A null id counts as an id of its own."""
+    """Documents that hold no window of a benchmark item."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit_id, hit_text = free_name("hit_id", docs.columns), free_name("hit_text", docs.columns)
-    hit = (
-        found.filter(F.size("hits") > 0)
-        .select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_text))
-        .distinct()
-    )
-    same = F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(hit_text))
-    return docs.join(hit, same, "left_anti").select(*docs.columns)
+    return _without(docs, found.filter(F.size("hits") > 0))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +47,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
+    ("line dedup", lines),
+    ("MinHash near-dedup", near),
     ("benchmark decontamination", decontaminated),
     ("packing", packed),
 ]
