@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -44,6 +45,7 @@ def main() -> None:
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": cpus,
         "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(),
     }
     spark = get_spark("clausewise-bench", f"local[{cpus}]", conf)
     spark.sparkContext.setLogLevel("ERROR")

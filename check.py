@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -63,7 +64,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     parts = sys.argv[2:]
     base = os.environ.get("TESTDATA", "/root/testdata") + f"/sf{sf}"
-    conf = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+    conf = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": tempfile.mkdtemp()}
     spark = get_spark(master="local[8]", conf=conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()

@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clausewise import fixed_values as fv
 
-MAX_DIM_ROWS = 10_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -41,10 +39,8 @@ def vetoes() -> list[tuple[str, str]]:
 def rules_from_table(table: DataFrame) -> list[Rule]:
     """Rules kept in a table (kind, contract_type, ord, pattern, risk_type, reason).
 
-    A rule set is configuration, so its size is checked before it leaves the cluster.
+    A rule set is configuration: every rule becomes a branch of one expression.
     """
-    if table.limit(MAX_DIM_ROWS + 1).count() > MAX_DIM_ROWS:
-        raise ValueError(f"a rule table may hold at most {MAX_DIM_ROWS} rows")
     rows = table.orderBy("kind", "contract_type", "ord").collect()
     return [Rule(r["kind"], r["contract_type"], r["pattern"], r["reason"], r["risk_type"]) for r in rows]
 
@@ -53,35 +49,6 @@ def contract_types() -> list[str]:
     return [key for key, _, _ in fv.CONTRACT_TYPES]
 
 
-def contract_type_dim(spark: SparkSession) -> DataFrame:
-    rows = [(i, *row) for i, row in enumerate(fv.CONTRACT_TYPES)]
-    return spark.createDataFrame(rows, "ord int, contract_type string, name string, perspective string")
-
-
 def risk_type_dim(spark: SparkSession) -> DataFrame:
     rows = [(ct, i, r) for ct, types in fv.RISK_TYPES.items() for i, r in enumerate(types)]
     return spark.createDataFrame(rows, "contract_type string, ord int, risk_type string")
-
-
-def law_map_dim(spark: SparkSession) -> DataFrame:
-    rows = [(law, ct) for law, types in fv.LAW_CONTRACT_TYPES.items() for ct in types]
-    return spark.createDataFrame(rows, "law_name string, contract_type string")
-
-
-def law_range_dim(spark: SparkSession) -> DataFrame:
-    rows = [(fv.CIVIL_CODE, ct, lo, hi) for ct, (lo, hi) in fv.CIVIL_CODE_RANGES.items()]
-    return spark.createDataFrame(rows, "law_name string, contract_type string, lo int, hi int")
-
-
-def category_dim(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(mapping.items()), "source string, category string")
-
-
-def expansion_dim(spark: SparkSession) -> DataFrame:
-    rows = [(ct, i, t, e) for i, (ct, t, e) in enumerate(fv.QUERY_EXPANSIONS)]
-    return spark.createDataFrame(rows, "contract_type string, ord int, trigger string, extra string")
-
-
-def subtype_hint_dim(spark: SparkSession) -> DataFrame:
-    rows = [("lease", sub, hint) for sub, hint in fv.SUBTYPE_HINTS.items()]
-    return spark.createDataFrame(rows, "contract_type string, sub_type string, hint string")

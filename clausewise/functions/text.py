@@ -213,12 +213,13 @@ def corpus_norm(col: Column) -> Column:
     return F.lower(collapse(drop_first_match(col, fv.CORPUS_HEADER_LABEL)))
 
 
-def content_key(col: Column) -> Column:
-    """Form compared when hits of one query are deduplicated, 120 characters."""
+def content_key(col: Column, size: int | None = None) -> Column:
+    """Form compared when hits of one query are deduplicated: digest of the whole, or the first ``size`` characters."""
     text = drop_first_match(col, fv.HIT_HEADER_LABEL)
     text = drop_first_match(text, fv.HIT_INLINE_HEADER)
     text = F.regexp_replace(text, fv.HIT_MARKDOWN, " ")
-    return head(F.lower(F.regexp_replace(text, UNI + r"\s+", "")), 120)
+    norm = F.lower(F.regexp_replace(text, UNI + r"\s+", ""))
+    return F.md5(norm) if size is None else head(norm, size)
 
 
 def law_key(

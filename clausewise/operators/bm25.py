@@ -179,6 +179,11 @@ def _lists(index: Bm25Index, weighted: DataFrame, small: bool) -> DataFrame:
     return salted_join(index.postings, wanted, ["shelf", "term"], hot, ["id"])
 
 
+def query_postings(queries: DataFrame, index: Bm25Index, particles: list[str] | None = None) -> DataFrame:
+    """(query_id, term, id, idf, dl, ...): every posting that a query's terms reach."""
+    return _lists(index, _weights(index, query_terms(queries, particles), False), False)
+
+
 def _rank(scored: DataFrame, k: int) -> DataFrame:
     rounded = scored.select("query_id", "id", F.round("score", 6).alias("score")).filter(F.col("score") > 0)
     return top_n(rounded, ["query_id"], [F.desc("score"), F.asc("id")], k)

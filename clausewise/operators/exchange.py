@@ -30,8 +30,8 @@ def parties_text(party_a: Column, party_b: Column) -> Column:
     return F.concat(F.lit(start), party_a, F.lit(middle), party_b, F.lit(end))
 
 
-def reference_texts(hits: DataFrame, keys: list[str] | None = None, top: int = 5, size: int = 300) -> DataFrame:
-    """(keys, reference_text): the first ``top`` hits of a clause as labelled lines.
+def reference_texts(hits: DataFrame, keys: list[str] | None = None, top: int = 5, size: int | None = None) -> DataFrame:
+    """(keys, reference_text): the first ``top`` hits of a clause as labelled lines, whole or cut at ``size``.
 
     The position filter bounds each group before anything is gathered.
     """
@@ -40,7 +40,7 @@ def reference_texts(hits: DataFrame, keys: list[str] | None = None, top: int = 5
         *keys,
         F.struct(
             F.col("pos"),
-            F.concat(F.lit("[참고"), F.col("pos"), F.lit("] "), head(F.col("text"), size)).alias("line"),
+            F.concat(F.lit("[참고"), F.col("pos"), F.lit("] "), F.col("text") if size is None else head(F.col("text"), size)).alias("line"),
         ).alias("row"),
     )
     joined = lines.groupBy(*keys).agg(F.collect_list("row").alias("rows"))
@@ -134,16 +134,17 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
 
 
-def best_attempts(parsed: DataFrame, keys: list[str] | None = None, max_attempts: int = 2) -> DataFrame:
+def best_attempts(parsed: DataFrame, keys: list[str] | None = None, max_attempts: int | None = None) -> DataFrame:
     """One row per clause: the first usable attempt, else the state of the last one.
 
-    ``last_text`` is the text of the latest unparseable attempt, kept for quarantine.
+    All attempts count unless ``max_attempts`` is given.  ``last_text`` is the text of the latest unparseable
+    attempt, kept for quarantine.
     """
     keys = keys or KEYS
     usable = F.col("outcome") == "ok"
+    tried = parsed if max_attempts is None else parsed.filter(F.col("attempt") < max_attempts)
     return (
-        parsed.filter(F.col("attempt") < max_attempts)
-        .groupBy(*keys)
+        tried.groupBy(*keys)
         .agg(
             F.min(F.when(usable, F.struct("attempt", "verdict"))).alias("_first"),
             F.max(F.struct("attempt", "outcome")).alias("_last"),
@@ -170,7 +171,9 @@ def failure_verdict(status: Column, error: Column | None = None) -> Column:
     message = F.when(
         status == "llm_error",
         F.replace(F.lit(fv.MODEL_ERROR_EXPLANATION), F.lit("{error}"), error if error is not None else F.lit("Exception")),
-    ).otherwise(lookup(status, fv.FAILURE_EXPLANATIONS, F.lit(fv.FAILURE_EXPLANATIONS["parse_failed"])))
+    ).otherwise(lookup(
+        status, {**fv.FAILURE_EXPLANATIONS, "missing": fv.MISSING_EXPLANATION}, F.lit(fv.FAILURE_EXPLANATIONS["parse_failed"])
+    ))
     return F.struct(
         F.lit("medium").alias("risk_level"),
         F.lit(fv.FAILURE_CONFIDENCE).alias("confidence"),
@@ -193,17 +196,20 @@ def fold_responses(ruled: DataFrame, best: DataFrame) -> DataFrame:
 
     A model 'safe' is raised to high when a high rule fires; medium is left alone.  When no
     attempt could be read the rules decide (high before safe), and otherwise the clause is
-    medium with an explicit status.  An error from the model is never replaced by a rule.
+    medium with an explicit status.  An error from the model is never replaced by a rule,
+    nor is a clause that no response names (status 'missing').
     """
-    joined = ruled.join(best.select(*KEYS, "verdict", "analysis_status"), KEYS)
+    answered = ruled.join(best.select(*KEYS, "verdict", "analysis_status"), KEYS, "left")
+    joined = answered.withColumn("analysis_status", F.coalesce("analysis_status", F.lit("missing")))
     high = rules.high_verdict(F.col("high_risk_type"), F.col("high_reason"))
     fires = F.col("high_reason").isNotNull()
     said_safe = F.lower(F.trim(F.coalesce("verdict.risk_level", F.lit("")))) == "safe"
     failed = F.col("analysis_status") != "ok"
     errored = F.col("analysis_status") == "llm_error"
-    by_rule = failed & ~errored & (fires | F.col("safe_reason").isNotNull())
+    missing = F.col("analysis_status") == "missing"
+    by_rule = failed & ~errored & ~missing & (fires | F.col("safe_reason").isNotNull())
     final = (
-        F.when(errored, failure_verdict(F.col("analysis_status")))
+        F.when(errored | missing, failure_verdict(F.col("analysis_status")))
         .when(failed & fires, high)
         .when(failed & F.col("safe_reason").isNotNull(), rules.safe_verdict(F.col("safe_reason")))
         .when(failed, failure_verdict(F.col("analysis_status")))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
 from clausewise.functions import text as X
 from clausewise.functions.scoring import category_weight, reciprocal_rank
 from clausewise.functions.text import lookup
-from clausewise.operators.skew import top_n
 
 
 def rank_category(source: Column, mapping: dict[str, str] | None = None) -> Column:
@@ -177,5 +176,4 @@ def merge_items(hits: DataFrame, clause_keys: list[str]) -> DataFrame:
     )
     flat = first.select(*clause_keys, "id", "first.*")
     order = [F.asc("item_pos"), F.asc("pos")]
-    # a clause has few items with at most k hits each
-    return top_n(flat, clause_keys, order, 1000, pos="merged_pos")
+    return flat.withColumn("merged_pos", F.row_number().over(Window.partitionBy(*clause_keys).orderBy(*order)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
@@ -93,13 +93,17 @@ def risk_shares(distribution: DataFrame) -> DataFrame:
     )
 
 
-def aggregate_references(details: DataFrame) -> DataFrame:
-    """References of a contract grouped by category and first 200 characters.
+def _reference_key(size: int | None) -> Column:
+    return strip(F.col("text")) if size is None else head(strip(F.col("text")), size)
+
+
+def aggregate_references(details: DataFrame, size: int | None = None) -> DataFrame:
+    """References of a contract grouped by category and text, or its first ``size`` characters.
 
     Highest similarity, number of distinct citing clauses, and source and text of the
     first citation.  Citations are counted after a distinct, never gathered.
     """
-    key = head(strip(F.col("text")), 200)
+    key = _reference_key(size)
     category = F.when(F.col("category").isin("law", "judgment", "clause"), F.col("category")).otherwise("law")
     keyed = details.withColumn("ref_key", key).withColumn("category", category).filter(F.col("ref_key") != "")
     per_clause = keyed.groupBy("document_id", "category", "ref_key", "clause_pos").agg(
@@ -123,18 +127,12 @@ def aggregate_references(details: DataFrame) -> DataFrame:
     )
 
 
-def citations(details: DataFrame) -> DataFrame:
+def citations(details: DataFrame, size: int | None = None) -> DataFrame:
     """Distinct (document, category, reference, citing clause) rows behind the roll-up."""
-    keyed = details.withColumn("ref_key", head(strip(F.col("text")), 200)).filter(F.col("ref_key") != "")
+    keyed = details.withColumn("ref_key", _reference_key(size)).filter(F.col("ref_key") != "")
     return keyed.select("document_id", "category", "ref_key", "clause_pos").distinct()
 
 
-def reference_counts(aggregated: DataFrame) -> DataFrame:
-    return aggregated.groupBy("document_id").agg(
-        *[F.count_if(F.col("category") == c).alias(c) for c in ("law", "judgment", "clause")]
-    )
-
-
 def reference_order(aggregated: DataFrame, n: int | None = None) -> DataFrame:
     """References of each category by falling similarity.
 
@@ -166,14 +164,17 @@ def clause_order(analyses: DataFrame) -> DataFrame:
 # --- summaries -----------------------------------------------------------------------------
 
 
-def _clause_title() -> F.Column:
+def _clause_title() -> Column:
     return F.coalesce(
         F.nullif("title", F.lit("")), F.concat(F.lit("제"), F.col("clause_index"), F.lit("조"))
     )
 
 
-def risky_summary(analyses: DataFrame, n: int = 8) -> DataFrame:
-    """(document_id, risky_summary): the ``n`` most severe clauses as text."""
+def risky_summary(
+    analyses: DataFrame, n: int = 8, explanation_size: int | None = None, max_types: int | None = None
+) -> DataFrame:
+    """(document_id, risky_summary): the ``n`` most severe clauses as text, explanations and types whole by default."""
+    said = F.col("explanation") if explanation_size is None else head(F.col("explanation"), explanation_size)
     label = F.coalesce(
         F.when(F.col("risk_level") == "high", fv.RISK_LABELS["high"])
         .when(F.col("risk_level") == "medium", fv.RISK_LABELS["medium"])
@@ -184,8 +185,8 @@ def risky_summary(analyses: DataFrame, n: int = 8) -> DataFrame:
     lines = F.concat_ws(
         "\n",
         F.concat(F.lit("- ["), label, F.lit("] "), _clause_title()),
-        F.when(F.col("explanation") != "", F.concat(F.lit("  · 분석: "), head(F.col("explanation"), 200))),
-        F.when(F.size(types) > 0, F.concat(F.lit("  · 위험유형: "), F.array_join(F.slice(types, 1, 4), ", "))),
+        F.when(F.col("explanation") != "", F.concat(F.lit("  · 분석: "), said)),
+        F.when(F.size(types) > 0, F.concat(F.lit("  · 위험유형: "), F.array_join(types if max_types is None else F.slice(types, 1, max_types), ", "))),
     )
     best = top_risky(analyses, n, ["high", "medium", "low"])
     return (

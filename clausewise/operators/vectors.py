@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from clausewise import dims
 from clausewise import fixed_values as fv
 from clausewise.functions.scoring import vector_relevance
-from clausewise.operators.bm25 import COMMON
+from clausewise.operators.bm25 import COMMON, OTHER, shelf_of
 from clausewise.operators.skew import top_n
 
 KB_BLOCK = 16_384
@@ -42,13 +42,13 @@ def _best_of_tile(k: int):
             keep = min(k + 1, len(ids))
             for start in range(0, len(asked), _SLICE):
                 scores = np.round(asked[start : start + _SLICE] @ kb.T, 6) + 0.0
-                for row, name in zip(scores, names[start : start + _SLICE]):
-                    limit = np.partition(row, len(row) - keep)[len(row) - keep]
-                    picked = np.flatnonzero(row >= limit)
-                    order = picked[np.argsort(-row[picked], kind="stable")][:keep]
-                    query_ids.extend([name] * keep)
-                    kb_ids.extend(ids[order])
-                    cosines.extend(row[order])
+                # columns are in id order, so a column's place breaks ties within one sort key
+                key = scores - np.arange(len(ids)) * (4e-7 / len(ids))
+                best = np.argpartition(-key, keep - 1, axis=1)[:, :keep]
+                best = np.take_along_axis(best, np.argsort(-np.take_along_axis(key, best, axis=1), axis=1), axis=1)
+                query_ids.extend(np.repeat(names[start : start + _SLICE], keep))
+                kb_ids.extend(ids[best].ravel())
+                cosines.extend(np.take_along_axis(scores, best, axis=1).ravel())
         # plain object columns: concatenated string columns reach Arrow in several chunks
         return pd.DataFrame(
             {
@@ -86,7 +86,7 @@ def search(
     n_queries, n_kb = sizes or (queries.count(), kb.count())
     kb_blocks = max(1, math.ceil(n_kb / kb_block))
     query_blocks = max(1, math.ceil(n_queries / query_block))
-    shelves = [*known, COMMON]
+    shelves = [*known, COMMON, OTHER]
     seen = F.when(F.col("contract_type").isNull(), F.array(*[F.lit(t) for t in shelves])).otherwise(
         F.array("contract_type", F.lit(COMMON))
     )
@@ -96,9 +96,10 @@ def search(
         .withColumn("_b", F.explode(_numbers(kb_blocks)))
     )
     stored = (
-        kb.filter(F.col("contract_type").isin(shelves))
-        .select(
-            F.col("id").alias("id"), F.col("embedding").alias("embedding"), F.col("contract_type").alias("shelf")
+        kb.select(
+            F.col("id").alias("id"),
+            F.col("embedding").alias("embedding"),
+            shelf_of(F.col("contract_type"), known).alias("shelf"),
         )
         .withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(kb_blocks)))
         .withColumn("_q", F.explode(_numbers(query_blocks)))

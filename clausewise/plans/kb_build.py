@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
 from clausewise.operators.bm25 import build_index
 from clausewise.operators.dedup import dedup_corpus
+from clausewise.operators.vectors import as_batches
 from clausewise.sources import kb_files, stores
 
-# order of rows with equal priority: source list, then file, then place in the file
-ORDER = ["src_ord", "src_path", "src_pos", "contract_type", "id"]
+# order of rows with equal priority: source list, then folder and kind of statute, file, place in the
+# file, and last the contract types in the order in which the row's law lists them
+ORDER = ["src_ord", "src_group", "kind_ord", "src_path", "src_pos", "type_ord", "contract_type", "id"]
+PLACES = ["src_ord", "src_group", "kind_ord", "type_ord"]
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Add the declared order of statute kinds and contract types; other rows go by their path."""
+    kinds = F.array(*[F.lit(kind) for _, kind in fv.LAW_FILES])
+    types = F.create_map(
+        *[x for law, names in fv.LAW_CONTRACT_TYPES.items() for x in (F.lit(law), F.array(*[F.lit(n) for n in names]))]
+    )
+    is_law = F.col("source") == "law"
+    listed = F.try_element_at(types, F.col("law_name"))
+    return (
+        rows.withColumn("src_group", F.when(is_law, F.regexp_replace("src_path", "/[^/]*$", "")).otherwise(F.col("src_path")))
+        .withColumn("kind_ord", F.when(is_law, F.array_position(kinds, F.col("law_kind"))))
+        .withColumn("type_ord", F.when(is_law, F.array_position(listed, F.col("contract_type"))))
+    )
 
 
 def unite(parts: list[DataFrame]) -> DataFrame:
@@ -29,7 +49,7 @@ def collect_sources(
     labelled: str | None = None,
     laws: str | None = None,
     precedents: str | None = None,
-    precedent_cap: int = 1500,
+    precedent_cap: int = 0,
 ) -> DataFrame:
     parts = []
     if seeds:
@@ -54,12 +74,24 @@ def build(
     labelled: str | None = None,
     laws: str | None = None,
     precedents: str | None = None,
-    precedent_cap: int = 1500,
+    precedent_cap: int = 0,
+    vectoriser: Callable | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Clear and rebuild ``out/kb`` and ``out/index``; returns the stored KB."""
+    """Clear and rebuild ``out/kb``, ``out/index`` and, where it can, ``out/vectors``; returns the stored KB.
+
+    Vectors come from ``vectoriser(list of texts) -> 2-d array``, run in batches on the executors, or from a table
+    ``vectors(id, embedding)`` of which the rows of this KB are kept.
+    """
     rows = collect_sources(spark, seeds, labelled, laws, precedents, precedent_cap)
-    kept = dedup_corpus(rows, ORDER, scope=dedup_scope)
-    stores.write_kb(kept.drop("src_ord"), f"{out}/kb")
+    kept = dedup_corpus(placed(rows), ORDER, scope=dedup_scope)
+    stores.write_kb(kept.drop(*PLACES), f"{out}/kb")
     kb = spark.read.parquet(f"{out}/kb")
     stores.write_index(build_index(kb, bounds_for=fv.POOL_MIN), f"{out}/index")
+    if vectoriser is not None:
+        made = kb.select("id", "text").mapInPandas(as_batches(vectoriser), "id string, embedding array<float>")
+        made.write.mode("overwrite").parquet(f"{out}/vectors")
+    elif vectors is not None:
+        held = vectors.select("id", "embedding").join(kb.select("id"), "id", "left_semi")
+        held.write.mode("overwrite").parquet(f"{out}/vectors")
     return kb

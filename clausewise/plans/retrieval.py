@@ -45,6 +45,13 @@ def hybrid_search(
     return hits if min_score is None else hits.filter(F.col("similarity") >= min_score)
 
 
+def item_queries(clauses: DataFrame, keys: list[str]) -> DataFrame:
+    """The items of each clause as queries; a query id is ``keys..., item_pos`` joined by '/'."""
+    return clause_queries(clauses, keys).withColumn(
+        "query_id", F.concat_ws("/", *[F.col(c).cast("string") for c in keys], F.col("item_pos").cast("string"))
+    )
+
+
 def clause_retrieval(
     clauses: DataFrame,
     keys: list[str],
@@ -57,12 +64,9 @@ def clause_retrieval(
 ) -> DataFrame:
     """Hits of each clause: items searched one by one, merged first-seen.
 
-    ``item_vectors(query_id, embedding)`` is keyed like the query ids made here:
-    ``keys..., item_pos`` joined by '/'.
+    ``item_vectors(query_id, embedding)`` is keyed as in ``item_queries``.
     """
-    asked = clause_queries(clauses, keys).withColumn(
-        "query_id", F.concat_ws("/", *[F.col(c).cast("string") for c in keys], F.col("item_pos").cast("string"))
-    )
+    asked = item_queries(clauses, keys)
     hits = hybrid_search(
         asked.select("query_id", "text", "contract_type"), item_vectors, kb, kb_vectors, index, k, **options
     )

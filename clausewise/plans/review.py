@@ -6,6 +6,7 @@ said.  Both are set-oriented, so one run covers every contract at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,9 +17,11 @@ from clausewise.functions import responses as R
 from clausewise.functions.text import computed
 from clausewise.operators import analysis, clauses, exchange, keywords, parties, rollups, rules
 from clausewise.operators.bm25 import Bm25Index
-from clausewise.plans.retrieval import clause_retrieval
+from clausewise.operators.vectors import as_batches
+from clausewise.plans.retrieval import clause_retrieval, item_queries
 from clausewise.session import write_shared
 from clausewise.sources import contracts as door
+from clausewise.sources import stores
 
 FACTS = ["filename", "contract_type", "sub_type", "party_a", "party_b"]
 
@@ -45,8 +48,21 @@ def split_and_rule(contracts: DataFrame) -> DataFrame:
     return rules.apply_rules(split)
 
 
-def prepare(contracts: DataFrame, kb: DataFrame | None = None, index: Bm25Index | None = None, k: int = fv.TOP_K) -> Prepared:
-    """Everything up to the request table."""
+def prepare(
+    contracts: DataFrame,
+    kb: DataFrame | None = None,
+    index: Bm25Index | None = None,
+    k: int = fv.TOP_K,
+    kb_vectors: DataFrame | None = None,
+    item_vectors: DataFrame | None = None,
+    vectoriser: Callable | None = None,
+    **options,
+) -> Prepared:
+    """Everything up to the request table.
+
+    With ``kb_vectors(id, embedding)`` clauses are searched by both retrievers; the vectors of their items come from
+    ``item_vectors(query_id, embedding)`` or from ``vectoriser(list of texts) -> 2-d array``.
+    """
     detected = detect(door.accepted(contracts))
     # clauses and rule verdicts feed the search, the requests and the final join
     ruled = write_shared(split_and_rule(detected), "ruled-clauses")
@@ -55,7 +71,11 @@ def prepare(contracts: DataFrame, kb: DataFrame | None = None, index: Bm25Index
         hits = None
         references = open_clauses.select(*exchange.KEYS, F.lit(None).cast("string").alias("reference_text"))
     else:
-        found = clause_retrieval(open_clauses, exchange.KEYS, kb, index, k)
+        if item_vectors is None and vectoriser is not None and kb_vectors is not None:
+            texts = item_queries(open_clauses, exchange.KEYS).select(F.col("query_id").alias("id"), "text")
+            made = texts.mapInPandas(as_batches(vectoriser), "id string, embedding array<float>")
+            item_vectors = made.withColumnRenamed("id", "query_id")
+        found = clause_retrieval(open_clauses, exchange.KEYS, kb, index, k, item_vectors, kb_vectors, **options)
         optional = [c for c in ("article",) if c in kb.columns]
         hits = found.join(kb.select("id", "text", *optional), "id").withColumn("pos", F.col("merged_pos"))
         if not optional:
@@ -77,8 +97,11 @@ def finish(
     responses: DataFrame,
     rewrite_responses: DataFrame | None = None,
     overrides: DataFrame | None = None,
+    quarantine_path: str | None = None,
 ) -> DataFrame:
-    """Clause analyses of every contract."""
+    """Clause analyses of every contract; answers that could not be read are appended to ``quarantine_path``."""
+    if quarantine_path is not None:
+        stores.write_quarantine(exchange.quarantine(exchange.best_attempts(exchange.parse_responses(responses))), quarantine_path)
     base = prepared.ruled.select(*exchange.KEYS, "clause_index", "title", "content", "contract_type")
     out = analysis.attach_verdicts(base, verdicts(prepared.ruled, responses))
     out = analysis.normalize_risk_types(out)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,10 +30,16 @@ def get_spark(app: str = "clausewise", master: str | None = None, conf: dict[str
 def scratch_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    Only a local session, whose executors are the driver itself, may do without the setting; it
+    gets a folder of its own beneath its warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or os.path.join(tempfile.gettempdir(), "clausewise-scratch")
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{warehouse.rstrip('/')}/clausewise-scratch-{spark.sparkContext.applicationId}"
 
 
 def write_shared(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -71,15 +71,27 @@ def parent_dir(path: Column) -> Column:
 
 
 def seed_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Built-in KB rows from JSON lines (id, text, contract_type, source, article, topic)."""
-    schema = "id string, text string, contract_type string, source string, article string, topic string"
+    """Built-in KB rows from JSON lines (id, text, contract_type, source, article, topic[, src_pos]).
+
+    ``src_pos`` is a row's declared place; without it rows of a file go by id.
+    """
+    schema = "id string, text string, contract_type string, source string, article string, topic string, src_pos int"
     rows = spark.read.schema(schema).json(path)
     return kb_rows(rows.withColumn("src_path", _path()))
 
 
-def clause_rows(articles: DataFrame) -> DataFrame:
+def _cut(col: Column, size: int | None) -> Column:
+    return col if size is None else X.head(col, size)
+
+
+def clause_rows(
+    articles: DataFrame, size: int | None = None, basis_size: int | None = None, laws_size: int | None = None, min_chars: int = 10
+) -> DataFrame:
     """KB rows of standard-clause files.
 
+    Texts are kept whole unless a size is given; articles shorter than ``min_chars`` are left out
+    (``short_articles`` lists them).
+
     ``articles(filename, src_path, clauseArticle, illdcssBasiss, relateLaword,
     dvAntageous)``: the four fields are lists or scalars as JSON text.  One row per article,
     with the shared grounds and laws as a short tail.
@@ -93,14 +105,14 @@ def clause_rows(articles: DataFrame) -> DataFrame:
         F.when(F.col("dvAntageous") == "2", "불리").otherwise("유리").alias("advantage"),
         basis.alias("_basis"), laws.alias("_laws"),
         F.posexplode(listed).alias("article_idx", "_article"),
-    ).filter(F.length("_article") >= 10)
-    text = X.head(
+    ).filter(F.length("_article") >= min_chars)
+    text = _cut(
         F.concat(
             F.lit("[약관-"), F.col("advantage"), F.lit("] "), F.col("_article"),
-            F.when(~X.is_blank(F.col("_basis")), F.concat(F.lit("\n판단근거: "), X.head(F.col("_basis"), 300))).otherwise(""),
-            F.when(~X.is_blank(F.col("_laws")), F.concat(F.lit("\n관련법령: "), X.head(F.col("_laws"), 200))).otherwise(""),
+            F.when(~X.is_blank(F.col("_basis")), F.concat(F.lit("\n판단근거: "), _cut(F.col("_basis"), basis_size))).otherwise(""),
+            F.when(~X.is_blank(F.col("_laws")), F.concat(F.lit("\n관련법령: "), _cut(F.col("_laws"), laws_size))).otherwise(""),
         ),
-        1500,
+        size,
     )
     return kb_rows(
         rows.withColumn("text", text)
@@ -112,13 +124,22 @@ def clause_rows(articles: DataFrame) -> DataFrame:
     )
 
 
+def short_articles(articles: DataFrame, min_chars: int = 10) -> DataFrame:
+    """What ``clause_rows`` leaves out for its length: (filename, src_path, article_idx, article)."""
+    listed = X.non_blank_parts(string_list(F.col("clauseArticle")))
+    typed = articles.filter(K.file_topic(F.col("filename")).isNotNull())
+    return typed.select("filename", "src_path", F.posexplode(listed).alias("article_idx", "article")).filter(
+        F.length("article") < min_chars
+    )
+
+
 def read_clauses(spark: SparkSession, path: str) -> DataFrame:
     schema = "clauseArticle string, illdcssBasiss string, relateLaword string, dvAntageous string"
     return clause_rows(_json(spark, path, schema).withColumn("filename", file_name(F.col("src_path"))))
 
 
-def judgment_rows(cases: DataFrame, size: int = 1500, overlap: int = 150) -> DataFrame:
-    """KB rows of judgments: reasoning in overlapping chunks, facts as one row.
+def judgment_rows(cases: DataFrame, size: int = 1500, overlap: int = 150, laws_size: int | None = None) -> DataFrame:
+    """KB rows of judgments: reasoning and facts in overlapping chunks.
 
     ``cases(src_path, info struct, facts, dcss)``, the last two as JSON text.
     """
@@ -141,7 +162,7 @@ def judgment_rows(cases: DataFrame, size: int = 1500, overlap: int = 150) -> Dat
     header = F.concat(
         F.lit("[판결문] "), F.col("court"), F.lit(" "), F.col("case_no"), F.lit(" - "), F.col("case_name")
     )
-    tail = F.when(~X.is_blank(F.col("_laws")), F.concat(F.lit("\n관련법령: "), X.head(F.col("_laws"), 200))).otherwise("")
+    tail = F.when(~X.is_blank(F.col("_laws")), F.concat(F.lit("\n관련법령: "), _cut(F.col("_laws"), laws_size))).otherwise("")
     part = "array<struct<section:string,chunk_idx:int,label:string,body:string>>"
     reasoning = F.transform(
         X.chunk(F.col("_dcss"), size, overlap),
@@ -149,10 +170,9 @@ def judgment_rows(cases: DataFrame, size: int = 1500, overlap: int = 150) -> Dat
     ).cast(part)
     facts = F.when(
         ~X.is_blank(F.col("_facts")),
-        F.array(
-            F.struct(
-                F.lit("기초사실"), F.lit(None).cast("int"), F.lit("judgment-facts"), X.head(X.strip(F.col("_facts")), size)
-            )
+        F.transform(
+            X.chunk(X.strip(F.col("_facts")), size, overlap),
+            lambda c, i: F.struct(F.lit("기초사실"), i, F.lit("judgment-facts"), c),
         ),
     ).otherwise(F.array()).cast(part)
     rows = routed.select("*", F.posexplode(F.concat(reasoning, facts)).alias("src_pos", "_part")).select("*", "_part.*")
@@ -173,11 +193,6 @@ def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     return judgment_rows(cases.filter(F.contains("src_path", F.lit(fv.CIVIL_DIR))))
 
 
-def read_labelled_sets(spark: SparkSession, path: str) -> DataFrame:
-    """Standard clauses and judgments of one directory tree."""
-    return read_clauses(spark, path).unionByName(read_judgments(spark, path))
-
-
 def route_articles(
     articles: DataFrame, law_map: dict[str, list[str]] | None = None, ranges: dict[str, tuple[int, int]] | None = None
 ) -> DataFrame:
@@ -200,8 +215,11 @@ def route_articles(
     return fanned.filter(~ranged | inside)
 
 
-def law_rows(files: DataFrame) -> DataFrame:
-    """KB rows of statute files.  ``files(md, law_name, law_kind, src_path)``."""
+def law_rows(files: DataFrame, size: int | None = None, min_chars: int = 20) -> DataFrame:
+    """KB rows of statute files.  ``files(md, law_name, law_kind, src_path)``.
+
+    Articles are kept whole unless ``size`` is given; bodies shorter than ``min_chars`` (deleted articles) are left out.
+    """
     block = F.col("_fm")
     parsed = files.select("*", X.computed(_fm=M.front_matter(F.col("md")))).filter(
         block.isNotNull() & M.is_in_force(block)
@@ -212,17 +230,17 @@ def law_rows(files: DataFrame) -> DataFrame:
         F.posexplode(M.law_articles(M.after_front_matter(F.col("md")))).alias("src_pos", "_a"),
     ).select("*", F.col("_a.article_no").alias("article_no"), F.col("_a.sub_no").alias("sub_no"),
              F.col("_a.title").alias("article_title"), F.col("_a.body").alias("_body"))
-    routed = route_articles(articles.filter(F.length("_body") >= 20))
+    routed = route_articles(articles.filter(F.length("_body") >= min_chars))
     kind = F.col("law_kind")
     name = F.when(kind != fv.ACT_KIND, F.concat_ws(" ", "law_name", "law_kind")).otherwise(F.col("law_name"))
-    text = X.head(
+    text = _cut(
         F.concat(
             F.lit("["), kind, F.lit("] "), name, F.lit(" "),
             X.article_label(F.col("article_no"), F.col("sub_no")),
             F.lit(" ("), F.col("article_title"), F.lit(")\n"),
             F.regexp_replace("_body", r"\n{3,}", "\n\n"),
         ),
-        1500,
+        size,
     )
     return kb_rows(
         routed.withColumn("text", text)
@@ -243,8 +261,14 @@ def read_laws(spark: SparkSession, path: str) -> DataFrame:
     return law_rows(files)
 
 
-def precedent_rows(files: DataFrame, per_type_cap: int = 1500) -> DataFrame:
-    """KB rows of precedents, at most ``per_type_cap`` per type in path order (0 = all)."""
+def precedent_rows(
+    files: DataFrame, per_type_cap: int = 0, size: int | None = None, reference_size: int | None = None, min_chars: int = 50
+) -> DataFrame:
+    """KB rows of precedents; with a ``per_type_cap``, so many per type in path order.
+
+    Texts are kept whole unless a size is given; precedents with less than ``min_chars`` of holding, gist and
+    references are left out.
+    """
     # each step is computed once; plain columns would be evaluated again by every filter
     parsed = files.select(
         "src_path",
@@ -261,7 +285,7 @@ def precedent_rows(files: DataFrame, per_type_cap: int = 1500) -> DataFrame:
         ),
     )
     composite = named.withColumn("_all", F.concat_ws("\n", "_head", "_gist", "_ref"))
-    long_enough = composite.filter(F.length(X.strip(F.col("_all"))) >= 50)
+    long_enough = composite.filter(F.length(X.strip(F.col("_all"))) >= min_chars)
     typed = long_enough.select("*", X.computed(contract_type=K.precedent_type(F.col("_all")))).filter(
         F.col("contract_type").isNotNull()
     )
@@ -272,13 +296,13 @@ def precedent_rows(files: DataFrame, per_type_cap: int = 1500) -> DataFrame:
         body = F.col(name) if size is None else X.head(F.col(name), size)
         return F.when(F.col(name) != "", F.concat(F.lit(label + ": "), body))
 
-    text = X.head(
+    text = _cut(
         F.concat(
             F.lit("[판례] "), F.col("court"), F.lit(" "), F.col("case_no"), F.lit(" ("), F.col("date"), F.lit(") - "),
             F.col("case_name"), F.lit("\n"),
-            F.concat_ws("\n", part("판시사항", "_head"), part("판결요지", "_gist"), part("참조조문", "_ref", 200)),
+            F.concat_ws("\n", part("판시사항", "_head"), part("판결요지", "_gist"), part("참조조문", "_ref", reference_size)),
         ),
-        1500,
+        size,
     )
     return kb_rows(
         typed.withColumn("text", text)
@@ -288,7 +312,7 @@ def precedent_rows(files: DataFrame, per_type_cap: int = 1500) -> DataFrame:
     )
 
 
-def read_precedents(spark: SparkSession, path: str, per_type_cap: int = 1500) -> DataFrame:
+def read_precedents(spark: SparkSession, path: str, per_type_cap: int = 0) -> DataFrame:
     """Precedents below the civil and administrative folders of ``path``."""
     inside = F.lit(False)
     root = path.rstrip("/").split(":", 1)[-1]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise import dims
-from clausewise.operators.analysis import latest_overrides, revised_lines
+from clausewise.operators.analysis import latest_overrides, revised_header, revised_lines
 from clausewise.operators.bm25 import COMMON, Bm25Index
 from clausewise.operators.exchange import KEYS
 from clausewise.session import write_shared
@@ -37,19 +37,42 @@ def write_kb(kb: DataFrame, path: str) -> None:
     kb.write.mode("overwrite").partitionBy("contract_type").parquet(path)
 
 
-def upsert_kb(spark: SparkSession, path: str, batch: DataFrame) -> None:
-    """Merge a batch into the stored KB, rewriting only the types it touches.
+def newest(batch: DataFrame, version: str | None = None) -> DataFrame:
+    """One row per id: the highest ``version``; equal ones, or all without versions, by their content."""
+    rest = [c for c in batch.columns if c != "id" and c != version]
+    order = F.struct(*([F.col(version)] if version else []), *[F.col(c) for c in rest])
+    kept = batch.groupBy("id").agg(F.max(order).alias("_last"))
+    return kept.select(*[F.col("id") if c == "id" else F.col(f"_last.{c}").alias(c) for c in batch.columns])
 
-    The result is first written beside the table, because Spark cannot overwrite files it
-    is still reading.
+
+def upsert_kb(spark: SparkSession, path: str, batch: DataFrame, version: str | None = None) -> None:
+    """Merge a batch into the stored KB, one row per id, rewriting only the types it touches.
+
+    An id may move to another type: the types that hold an id of the batch are touched as well as
+    those the batch names.  A type that loses its last row becomes an empty partition.  The
+    result is first written beside the table, because Spark cannot overwrite files it is still reading.
     """
     known = spark.read.parquet(path)
-    touched = batch.select("contract_type").distinct()
-    same = known.join(F.broadcast(touched), "contract_type", "left_semi")
+    fresh = write_shared(newest(batch, version), "kb-batch")
+    ids = fresh.select("id")
+    holding = known.join(ids, "id", "left_semi").select("contract_type")
+    # one row per contract type, so its size is that of the type list
+    touched = [r[0] for r in holding.unionByName(fresh.select("contract_type")).distinct().collect()]
+    inside = F.col("contract_type").isin([t for t in touched if t is not None])
+    if None in touched:
+        inside = F.coalesce(inside, F.lit(False)) | F.col("contract_type").isNull()
+    same = known.filter(inside)
     merged = write_shared(
-        same.join(batch.select("id"), "id", "left_anti").unionByName(batch.dropDuplicates(["id"]), allowMissingColumns=True),
-        "kb-upsert",
+        same.join(ids, "id", "left_anti").unionByName(fresh, allowMissingColumns=True), "kb-upsert"
     )
+    left = {r[0] for r in merged.select("contract_type").distinct().collect()}
+    emptied = [t for t in touched if t not in left]
+    if emptied:
+        # dynamic overwrite leaves partitions without new rows as they are, so the table is written anew
+        others = known.filter(~F.coalesce(inside, F.lit(False)))
+        whole = write_shared(others.unionByName(merged, allowMissingColumns=True), "kb-upsert")
+        write_kb(whole, path)
+        return
     (
         merged.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -87,16 +110,31 @@ def read_index(spark: SparkSession, path: str, only: list[str] | None = None, ty
 # --- analyses --------------------------------------------------------------------------------
 
 
-def write_analyses(results: DataFrame, path: str, fmt: str = "parquet") -> None:
-    writer = results.write.mode("overwrite")
-    if "contract_type" in results.columns:
-        writer = writer.partitionBy("contract_type")
-    writer.format(fmt).save(path)
+def write_analyses(results: DataFrame, path: str, run: str, fmt: str = "parquet") -> None:
+    """Store the analyses of one run beside those of all others; the same run again replaces itself.
 
+    ``run`` is a key of the caller that sorts by age (a timestamp, say).
+    """
+    (
+        results.withColumn("run", F.lit(run))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run")
+        .format(fmt)
+        .save(path)
+    )
+
+
+def read_analyses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Every document's analysis of the latest run that has one."""
+    stored = spark.read.format(fmt).load(path).withColumn("run", F.col("run").cast("string"))
+    last = stored.groupBy("document_id").agg(F.max("run").alias("run"))
+    return stored.join(last, ["document_id", "run"], "left_semi")
 
-def find_analysis(results: DataFrame, analysis_id) -> DataFrame:
-    """Filter that reaches the parquet scan."""
-    return results.filter(F.col("id") == F.lit(analysis_id))
+
+def find_analysis(results: DataFrame, analysis_id, id_col: str = "document_id") -> DataFrame:
+    """Filter that reaches the parquet scan; an analysis goes by the id of its document."""
+    return results.filter(F.col(id_col) == F.lit(analysis_id))
 
 
 def append_overrides(edits: DataFrame, path: str, batch_id: int) -> None:
@@ -131,14 +169,25 @@ def write_quarantine(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def write_revised(analyses: DataFrame, path: str, per_document: bool = False) -> None:
-    """Revised contracts as lines in reading order.
+def write_revised(
+    analyses: DataFrame, path: str, per_document: bool = False, documents: DataFrame | None = None, built_at: Column | None = None
+) -> None:
+    """Revised contracts as lines in reading order, below their front lines where ``documents`` are given.
+
+    ``documents(document_id, filename, total_clauses, risky_clauses)`` are the headers of the review.
 
     Contracts are spread over tasks by range and each task sorts only its own lines.  The
     default is one parquet table; ``per_document`` writes a text folder per contract, which
     suits the export of a few contracts, not of millions.
     """
     lines = revised_lines(analyses)
+    if documents is not None:
+        front = revised_header(documents, F.current_timestamp() if built_at is None else built_at)
+        lines = lines.unionByName(
+            front.select(
+                "document_id", F.lit(-1).alias("clause_pos"), "line_no", F.lit("header").alias("kind"), "text"
+            )
+        )
     order = ["document_id", "clause_pos", "line_no"]
     if per_document:
         placed = lines.repartitionByRange("document_id").sortWithinPartitions(*order)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
 from clausewise.functions import text as X
-from clausewise.operators import fusion, rollups
+from clausewise.operators import bm25, fusion, rollups
 from clausewise.operators.dedup import dedup_corpus, source_priority
 from clausewise.operators.skew import top_n
 from clausewise.plans import kb_build
-from clausewise.session import write_shared
+from clausewise.session import scratch_dir, write_shared
 from clausewise.sources import kb_files, stores
-from queries.base import KB_CTE, kb, query, sql_map, table
+from queries.base import KB_CTE, KB_TYPES, kb, query, sql_map, table
 
 LAW_MAP = {"Brand#1": ["lease", "sales"], "Brand#2": ["service"], "Brand#3": ["loan", "lease", "employment"], "민법": ["lease", "sales", "service", "loan"]}
 RANGES = {"lease": (1, 20), "sales": (15, 30), "service": (31, 40), "loan": (41, 50)}
@@ -148,23 +150,31 @@ def priority(spark, sf):
     return kb(spark, sf).select("id", source_priority(F.col("source")).alias("priority"))
 
 
-@query("s8_upsert", f"""WITH {KB_CTE}, batch AS (SELECT id, contract_type, upper(text) AS text, 2 AS version FROM kb WHERE contract_type = 'sales'
+@query("s8_upsert", f"""WITH {KB_CTE}, batch AS (SELECT id, CASE WHEN id LIKE '%3' THEN 'lease' ELSE contract_type END AS contract_type, upper(text) AS text, 2 AS version FROM kb WHERE contract_type = 'sales'
       UNION ALL SELECT 'new-' || id, contract_type, text, 2 FROM kb WHERE contract_type = 'employment')
-    SELECT id, version, length(text) AS n FROM batch UNION ALL
-    SELECT id, 1, length(text) FROM kb WHERE id NOT IN (SELECT id FROM batch)""")
+    SELECT id, contract_type, version, length(text) AS n FROM batch UNION ALL
+    SELECT id, contract_type, 1, length(text) FROM kb WHERE id NOT IN (SELECT id FROM batch)""")
 def upsert(spark, sf):
+    """A stored KB, merged with a batch that holds changed rows, rows that move to another type, and new ones twice."""
     base = kb(spark, sf).select("id", "contract_type", "text")
-    old = base.withColumn("version", F.lit(1))
-    changed = base.filter("contract_type = 'sales'").withColumn("text", F.upper("text"))
+    path = f"{scratch_dir(spark)}/kb-{uuid.uuid4().hex}"
+    stores.write_kb(base.withColumn("version", F.lit(1)), path)
+    moved = F.when(F.col("id").like("%3"), "lease").otherwise(F.col("contract_type"))
+    changed = base.filter("contract_type = 'sales'").select("id", moved.alias("contract_type"), F.upper("text").alias("text"))
     fresh = base.filter("contract_type = 'employment'").withColumn("id", F.concat(F.lit("new-"), "id"))
-    batch = changed.unionByName(fresh).withColumn("version", F.lit(2))
-    return stores.upsert(old, batch).select("id", "version", F.length("text").cast("long").alias("n"))
+    older = fresh.withColumn("text", F.lit("old")).withColumn("version", F.lit(1))
+    batch = changed.unionByName(fresh).withColumn("version", F.lit(2)).unionByName(older)
+    stores.upsert_kb(spark, path, batch, version="version")
+    return spark.read.parquet(path).select("id", "contract_type", "version", F.length("text").cast("long").alias("n"))
 
 
 @query("s10_indexed_types", f"WITH {KB_CTE} SELECT contract_type, count(*) AS n FROM kb WHERE contract_type IN ('lease', 'none') GROUP BY 1")
 def indexed_types(spark, sf):
-    """A type that was never stored is an empty scan, not an error."""
-    return kb(spark, sf).filter(F.col("contract_type").isin("lease", "none")).groupBy("contract_type").agg(F.count("*").alias("n"))
+    """A stored index, read for two types; one that was never stored is an empty scan, not an error."""
+    path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    stores.write_index(bm25.build_index(kb(spark, sf), types=KB_TYPES), path)
+    found = stores.read_index(spark, path, ["lease", "none"], KB_TYPES).postings.filter("shelf <> 'common'")
+    return found.groupBy(F.col("shelf").alias("contract_type")).agg(F.count_distinct("id").alias("n"))
 
 
 @query("t9_path_order", "SELECT page_id, row_number() OVER (ORDER BY url, page_id) AS ord FROM pages")

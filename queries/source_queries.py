@@ -15,7 +15,7 @@ _FILE = "CASE doc_id % 3 WHEN 0 THEN '임대차_' WHEN 1 THEN '매매계약_' EL
 
 @query("s2_standard_clauses", f"""WITH c AS (SELECT doc_id, {_FILE} AS filename, CASE WHEN doc_id % 2 = 0 THEN '불리' ELSE '유리' END AS advantage,
       CASE doc_id % 3 WHEN 0 THEN 'lease' ELSE 'sales' END AS contract_type, {_TRIM} AS t, source FROM documents WHERE doc_id % 3 < 2),
-    r AS (SELECT *, substring('[약관-' || advantage || '] ' || t || chr(10) || '판단근거: ' || source || chr(10) || '둘째' || chr(10) || '관련법령: ' || source, 1, 1500) AS text FROM c WHERE length(t) >= 10)
+    r AS (SELECT *, ('[약관-' || advantage || '] ' || t || chr(10) || '판단근거: ' || source || chr(10) || '둘째' || chr(10) || '관련법령: ' || source) AS text FROM c WHERE length(t) >= 10)
     SELECT 'clause-' || substring(sha1(text), 1, 16) AS id, text, filename, advantage, contract_type, CAST(0 AS INT) AS article_idx FROM r""")
 def standard_clauses(spark, sf):
     """Lists and scalars alike; files whose name says nothing are left out by the reader."""
@@ -34,7 +34,7 @@ def standard_clauses(spark, sf):
       CASE lang WHEN 'en' THEN 'lease' ELSE 'sales' END AS contract_type, {_TRIM} AS t FROM documents WHERE lang IN ('en', 'fr')),
     s AS (SELECT *, unnest(range(0, CASE WHEN length(t) <= 1500 THEN 1 ELSE CAST(ceil((length(t) - 1500) / 1350.0) AS BIGINT) + 1 END)) AS i FROM c WHERE length(t) > 0),
     r AS (SELECT 'judgment-dcss' AS p, '판단' AS section, CAST(i AS INT) AS chunk_idx, contract_type, '[판결문] ' || court || ' ' || doc_id || ' - ' || case_name || chr(10) || '판단: ' || substring(t, i * 1350 + 1, 1500) || chr(10) || '관련법령: 민법 상법' AS text FROM s
-      UNION ALL SELECT 'judgment-facts', '기초사실', NULL, contract_type, '[판결문] ' || court || ' ' || doc_id || ' - ' || case_name || chr(10) || '기초사실: ' || substring(t, 1, 1500) || chr(10) || '관련법령: 민법 상법' FROM c WHERE length(t) > 0)
+      UNION ALL SELECT 'judgment-facts', '기초사실', CAST(i AS INT), contract_type, '[판결문] ' || court || ' ' || doc_id || ' - ' || case_name || chr(10) || '기초사실: ' || substring(t, i * 1350 + 1, 1500) || chr(10) || '관련법령: 민법 상법' FROM s)
     SELECT p || '-' || substring(sha1(text), 1, 16) AS id, text, section, chunk_idx, contract_type FROM r""")
 def judgments(spark, sf):
     name = "CASE lang WHEN 'en' THEN '임대차 분쟁' WHEN 'fr' THEN '매매 분쟁' ELSE '기타' END"
@@ -78,7 +78,7 @@ def statutes(spark, sf):
 @query("s5_precedents", f"""WITH c AS (SELECT doc_id, lang, source, CASE lang WHEN 'en' THEN 'lease' WHEN 'fr' THEN 'sales' ELSE 'loan' END AS contract_type, {_TRIM} AS t FROM documents WHERE lang <> 'es'),
     w AS (SELECT *, CASE lang WHEN 'en' THEN '임대차 보증금 차임' WHEN 'fr' THEN '매매 매도인 잔금' ELSE '대여금 소비대차 보증채무' END AS words FROM c),
     k AS (SELECT * FROM w WHERE length(words || chr(10) || trim(t || ' 요지의 끝을 알리는 문장으로 길이를 채운다') || chr(10) || '민법 제1조') >= 50),
-    r AS (SELECT *, substring('[판례] ' || source || ' ' || doc_id || ' (2020-01-01) - 사건' || chr(10) || '판시사항: ' || words || chr(10) || '판결요지: ' || trim(t || ' 요지의 끝을 알리는 문장으로 길이를 채운다') || chr(10) || '참조조문: 민법 제1조', 1, 1500) AS text FROM k)
+    r AS (SELECT *, ('[판례] ' || source || ' ' || doc_id || ' (2020-01-01) - 사건' || chr(10) || '판시사항: ' || words || chr(10) || '판결요지: ' || trim(t || ' 요지의 끝을 알리는 문장으로 길이를 채운다') || chr(10) || '참조조문: 민법 제1조') AS text FROM k)
     SELECT 'prec-' || contract_type || '-' || substring(sha1(text), 1, 16) AS id, text, contract_type, CAST(doc_id AS STRING) AS case_no FROM r""")
 def precedents(spark, sf):
     words = "CASE lang WHEN 'en' THEN '임대차 보증금 차임' WHEN 'fr' THEN '매매 매도인 잔금' WHEN 'de' THEN '대여금 소비대차 보증채무' ELSE '무관' END"

@@ -50,9 +50,11 @@ def test_attempts_and_fold(spark):
     best = exchange.best_attempts(exchange.parse_responses(responses))
     state = {r.clause_pos: (r.analysis_status, r.last_text) for r in best.collect()}
     assert state == {
-        1: ("ok", None), 2: ("empty", "글"), 3: ("timeout", "글"), 4: ("llm_error", None), 5: ("ok", None), 6: ("parse_failed", "글2"),
+        1: ("ok", None), 2: ("empty", "글"), 3: ("timeout", "글"), 4: ("llm_error", None), 5: ("ok", None), 6: ("ok", None),
         7: ("ok", None), 8: ("parse_failed", "글"), 9: ("parse_failed", "글"), 10: ("ok", None),
     }
+    two = exchange.best_attempts(exchange.parse_responses(responses), max_attempts=2)
+    assert [(r.analysis_status, r.last_text) for r in two.filter("clause_pos = 6").collect()] == [("parse_failed", "글2")]
     content = {7: "차임을 20% 증액", 8: "차임을 20% 증액", 9: "임대인의 동의 없이 양도", 10: "차임을 20% 증액", 4: "차임을 20% 증액"}
     clauses = spark.createDataFrame(
         [("d", i, i, f"제{i}조", content.get(i, "본문"), "lease") for i in range(1, 12)],
@@ -63,7 +65,7 @@ def test_attempts_and_fold(spark):
     got = {r.clause_pos: (r.risk_level, r.confidence, r.analysis_status) for r in folded.collect()}
     assert got == {
         1: ("high", 0.8, "ok"), 2: ("medium", 0.3, "empty"), 3: ("medium", 0.3, "timeout"), 4: ("medium", 0.3, "llm_error"),
-        5: ("high", 0.8, "ok"), 6: ("medium", 0.3, "parse_failed"), 7: ("high", 0.95, "ok"), 8: ("high", 0.95, "ok"),
+        5: ("high", 0.8, "ok"), 6: ("high", 0.8, "ok"), 11: ("medium", 0.3, "missing"), 7: ("high", 0.95, "ok"), 8: ("high", 0.95, "ok"),
         9: ("safe", 0.95, "ok"), 10: ("medium", 0.5, "ok"),
     }
     whole = analysis.attach_verdicts(clauses, folded).filter("clause_pos = 11").first()
@@ -122,3 +124,24 @@ def test_empty_evaluation(spark):
     empty = spark.createDataFrame([], "ground_truth string, prediction string")
     row = evaluation.metrics(empty).first()
     assert (row.accuracy, row.safe_accuracy, row.total) == (0.0, 0.0, 0)
+
+
+@pytest.mark.parametrize(
+    ("text", "levels", "confidence"),
+    [
+        ('{"clause_index":1,"risk_level":"low",} {"clause_index":2,"risk_level":"high"}', ["low", "high"], None),
+        ('{"clause_index":1,"risk_level":"low","a":{"b":{"c":{"d":[{}]}}},"confidence":0.5}', ["low"], 0.5),
+        ('[{"clause_index":1,"risk_level":"safe","confidence":"0.9"}]', ["safe"], 0.9),
+        ('[{"clause_index":1,"risk_level":"low","risks":[{"risk_type":"a"],["risk_type":"b"}],"confidence":0.4}]', ["low"], 0.4),
+        ('글 ```json\n[{"clause_index":3,"risk_level":"medium","explanation":"}{ \\" ]"}]\n``` 글', ["medium"], None),
+        ('[{"clause_index":4,"risk_level":"low","confidence":0.9,"risks":[{"risk_type":"cut', ["low"], 0.7),
+        ('[{"confidence":0.2}]', [None], 0.2),
+        ("{}", [None], None),
+        ("", None, None),
+    ],
+)
+def test_objects_are_found_and_mended(spark, text, levels, confidence):
+    found = spark.createDataFrame([(text,)], "t string").select(R.parse_verdicts(F.col("t")).alias("v")).first().v
+    assert (None if found is None else [v.risk_level for v in found]) == levels
+    if found:
+        assert found[0].confidence == confidence

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clausewise.operators import bm25
 from clausewise.operators.dedup import dedup_corpus
+from clausewise.operators.vectors import as_batches
 from clausewise.plans import accuracy, kb_build, review
 from clausewise.sources import contracts as door
 from clausewise.sources import kb_files, stores
@@ -60,7 +61,7 @@ def test_clause_files(spark, files):
 
 def test_judgment_files(spark, files):
     rows = kb_files.read_judgments(spark, f"{files}/labelled").orderBy("contract_type", "src_pos").collect()
-    assert [(r.contract_type, r.section, r.chunk_idx) for r in rows] == [("lease", "판단", 0), ("lease", "판단", 1), ("lease", "기초사실", None), ("sales", "기초사실", None)]
+    assert [(r.contract_type, r.section, r.chunk_idx) for r in rows] == [("lease", "판단", 0), ("lease", "판단", 1), ("lease", "기초사실", 0), ("sales", "기초사실", 0)]
     assert rows[1].text == "[판결문] 법원 2020가1 - 보증금반환\n판단: " + "가" * 250 + "\n관련법령: 민법 제1조 상법"
     assert rows[2].text.endswith("기초사실: 사실 하나\n사실 둘\n관련법령: 민법 제1조 상법")
     assert rows[3].text == "[판결문]   - 매매대금\n기초사실: 사실"
@@ -100,7 +101,7 @@ def test_build_and_dedup_scopes(spark, built):
     # equal bodies of different statutes collapse to the first one in a global pass
     laws = kb.filter("source = 'law'")
     assert laws.count() == 2
-    per_type = dedup_corpus(united, kb_build.ORDER, scope="per_type").filter("source = 'law'")
+    per_type = dedup_corpus(kb_build.placed(united), kb_build.ORDER, scope="per_type").filter("source = 'law'")
     assert per_type.groupBy("contract_type").count().count() == 5
     assert kb.select("id").distinct().count() == kb.count()
 
@@ -128,6 +129,50 @@ def test_kb_upsert(spark, built, tmp_path):
     stores.upsert_kb(spark, path, batch)
     after = spark.read.parquet(path)
     assert after.count() == before + 1 and after.filter("text = '새 글'").count() == 1
+    # an id that moves to another type leaves its old one
+    moved = after.filter("text = '새 글'").withColumn("contract_type", F.lit("sales"))
+    stores.upsert_kb(spark, path, moved)
+    assert [r.contract_type for r in spark.read.parquet(path).filter("text = '새 글'").collect()] == ["sales"]
+    assert spark.read.parquet(path).count() == before + 1
+    # of two versions in one batch the higher stays; a type that loses its last row is gone
+    alone = spark.createDataFrame([("x", "only", 1, "a"), ("x", "only", 2, "b")], "id string, contract_type string, version int, text string")
+    stores.write_kb(alone.limit(0), str(tmp_path / "v"))
+    stores.write_kb(stores.newest(alone, "version"), str(tmp_path / "v"))
+    stores.upsert_kb(spark, str(tmp_path / "v"), alone.withColumn("contract_type", F.lit("other")).withColumn("version", F.col("version") + 5), "version")
+    assert [(r.contract_type, r.version, r.text) for r in spark.read.parquet(str(tmp_path / "v")).collect()] == [("other", 7, "b")]
+
+
+def test_vectors_are_stored_and_searched(spark, built, tmp_path):
+    """The caller's vectoriser is run over the KB and over clause items; review then uses both retrievers."""
+
+    def letter_vectors(texts):
+        import numpy as np
+
+        out = np.array([[1.0 + t.count(c) for c in "가임차권"] for t in texts])
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+    out, _ = built
+    kb = spark.read.parquet(f"{out}/kb")
+    vectors = kb.select("id", "text").mapInPandas(as_batches(letter_vectors), "id string, embedding array<float>")
+    done = review.prepare(
+        lease_contracts(spark), kb, stores.read_index(spark, f"{out}/index"), kb_vectors=vectors, vectoriser=letter_vectors
+    )
+    plain = review.prepare(lease_contracts(spark), kb, stores.read_index(spark, f"{out}/index"))
+    assert done.hits.select("id").distinct().count() >= plain.hits.select("id").distinct().count() > 0
+
+
+def test_evaluation_counts_every_item(spark):
+    items = spark.createDataFrame(
+        [(f"d{i}", 1, "아무 말이나 적은 조항", "risky", "lease") for i in range(4)],
+        "document_id string, clause_pos int, clause_text string, ground_truth string, contract_type string",
+    )
+    responses = spark.createDataFrame(
+        [("d0", 1, 0, '{"clause_index":1,"risk_level":"low"}', "ok"), ("d1", 1, 0, "", "llm_error")],
+        "document_id string, clause_pos int, attempt int, raw_text string, status string",
+    )
+    found = accuracy.predict(items, responses).collect()
+    assert {r.document_id: r.prediction for r in found} == {"d0": "low", "d1": "error", "d2": "medium", "d3": "medium"}
+    assert accuracy.evaluate(items, responses).first().total == 4
 
 
 def brute_dedup(rows):
@@ -186,9 +231,17 @@ def test_review_end_to_end(spark, built, tmp_path):
     analyses = review.finish(done, responses, fixes, edits)
     head = review.headers(done, analyses).first()
     assert (head.total_clauses, head.risky_clauses, head.filename) == (4, 3, "a.pdf") and head.summary.startswith("총 4개 조항 중 3개")
-    stores.write_analyses(analyses.withColumn("id", F.col("document_id")), str(tmp_path / "a"))
-    stored = spark.read.parquet(str(tmp_path / "a"))
+    stores.write_analyses(analyses, str(tmp_path / "a"), "2024-01-01")
+    # a second run stands beside the first; of a document both analysed the later one counts
+    again = analyses.withColumn("explanation", F.lit("again"))
+    stores.write_analyses(again.unionByName(again.withColumn("document_id", F.lit("c9"))), str(tmp_path / "a"), "2024-01-02")
+    stores.write_analyses(analyses.withColumn("document_id", F.lit("c8")), str(tmp_path / "a"), "2023-12-31")
+    stored = stores.read_analyses(spark, str(tmp_path / "a"))
     assert stores.find_analysis(stored, "c1").count() == 4
+    assert {r.document_id: r.explanation for r in stored.filter("clause_pos = 1").collect()} == {"c1": "again", "c9": "again", "c8": "e"}
+    stores.write_revised(analyses, str(tmp_path / "h"), documents=review.headers(done, analyses))
+    front = spark.read.parquet(str(tmp_path / "h")).filter("kind = 'header'").orderBy("line_no")
+    assert [r.text for r in front.collect()][1] == "원본 파일: a.pdf"
     stores.write_revised(analyses.withColumn("document_id", F.lit("c1")), str(tmp_path / "r"), per_document=True)
     stores.write_revised(analyses, str(tmp_path / "lines"))
     assert spark.read.parquet(str(tmp_path / "lines")).filter("kind = 'original_label'").count() == 4

@@ -1,20 +1,28 @@
-import os
+from types import SimpleNamespace
 
-from clausewise.session import scratch_dir, spread, write_shared
+import pytest
 
+from clausewise.session import scratch_dir, spread, write_shared
 
-class NoSetting:
-    """A session whose configuration does not name the shared folder."""
 
-    class conf:  # noqa: N801
-        @staticmethod
-        def get(key, default):
-            return default
+def session(master, **settings):
+    """What ``scratch_dir`` asks a session for."""
+    context = SimpleNamespace(master=master, applicationId="app-1")
+    return SimpleNamespace(conf=settings, sparkContext=context)
 
 
-def test_shared_folder(spark, tmp_path):
+def test_shared_folder(spark):
     assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    assert os.path.isabs(scratch_dir(NoSetting()))
+    warehouse = {"spark.sql.warehouse.dir": "/house/"}
+    for master in ("local", "local[*]", "local[4,2]"):
+        assert scratch_dir(session(master, **warehouse)) == "/house/clausewise-scratch-app-1"
+    assert scratch_dir(session("yarn", **{"spark.checkpoint.dir": "hdfs:/c"})) == "hdfs:/c"
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"])
+def test_a_cluster_must_name_a_shared_folder(master):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(session(master, **{"spark.sql.warehouse.dir": "/house"}))
 
 
 def test_write_shared_keeps_rows_and_schema(spark):

@@ -73,7 +73,7 @@ def test_only_the_first_header_is_removed(spark):
 
 def test_content_key(spark):
     text = "[판례] 대법원 2020다1\n민법 제 3 조의2 (대항력): **동의** 없이 ①양도"
-    assert values(spark, [text, "동의 없이\n양도", "A" * 200], X.content_key) == ["동의없이양도", "동의없이양도", "a" * 120]
+    assert values(spark, [text, "동의 없이\n양도", "A" * 200], lambda c: X.content_key(c, 120)) == ["동의없이양도", "동의없이양도", "a" * 120]
 
 
 def test_law_key(spark):
