@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
 from clausewise.functions import markdown as M
-from clausewise.sources import kb_files
-from queries.base import query, table
+from clausewise.session import scratch_dir
+from clausewise.sources import kb_files, stores
+from clausewise.streaming import flows
+from queries.base import CLAUSES_CTE, contracts, query, table
 
 _TRIM = r"trim(text, e' \t\n\r')"
 _FILE = "CASE doc_id % 3 WHEN 0 THEN '임대차_' WHEN 1 THEN '매매계약_' ELSE '기타_' END || CAST(doc_id AS STRING) || '.json'"
@@ -101,3 +105,63 @@ def front_matter(spark, sf):
         "p_partkey", M.value(M.front_matter(F.col("md")), "제목").alias("title"),
         F.element_at(articles, 1)["article_no"].cast("long").alias("article_no"),
     )
+
+
+# --- stored tables and streams, written from the driver's tables and read back ---------------------------
+
+
+def _place(spark, label):
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query("st1_review_stream", f"WITH {CLAUSES_CTE} SELECT CAST(document_id AS VARCHAR) AS document_id, clause_pos, clause_index, title, content FROM clauses")
+def review_stream(spark, sf):
+    """Contracts that arrive as files, split and judged by the stream until all are read."""
+    place = _place(spark, "st1")
+    arriving = contracts(spark, sf, typed=False).select(
+        F.col("document_id").cast("string").alias("document_id"), F.lit("a.pdf").alias("filename"), "text"
+    )
+    arriving.write.parquet(f"{place}/in")
+    flows.start_review(flows.contract_stream(spark, f"{place}/in"), f"{place}/out", f"{place}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("document_id", "clause_pos", "clause_index", "title", "content")
+
+
+@query("st2_override_stream", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS document_id, CAST(floor(value) AS INT) % 5 AS clause_pos, event_type, ts FROM events),
+    l AS (SELECT document_id, clause_pos, max(ts) AS ts, arg_max(event_type, struct_pack(ts := ts, t := CASE event_type WHEN 'view' THEN ' ' ELSE event_type END)) AS event_type FROM e GROUP BY 1, 2)
+    SELECT document_id, clause_pos, CASE event_type WHEN 'view' THEN NULL ELSE event_type END AS user_override,
+      CASE WHEN event_type <> 'view' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') END AS user_override_at FROM l""")
+def override_stream(spark, sf):
+    """User edits that arrive as files, appended to the log by batches and folded with last write wins."""
+    place = _place(spark, "st2")
+    edits = table(spark, sf, "events").selectExpr(
+        "CAST(user_id AS STRING) AS document_id", "CAST(value AS INT) % 5 AS clause_pos",
+        "CASE event_type WHEN 'view' THEN ' ' ELSE event_type END AS text", "CAST(ts AS TIMESTAMP) AS edited_at",
+    )
+    edits.repartition(4, "document_id").write.parquet(f"{place}/in")
+    stream = flows.edit_stream(spark, f"{place}/in", "parquet", files_per_batch=1)
+    flows.start_overrides(stream, f"{place}/log", f"{place}/state", once=True).awaitTermination()
+    return stores.read_overrides(spark, f"{place}/log")
+
+
+@query("s11_stored_analyses", """WITH d AS (SELECT o_orderkey AS document_id, o_custkey, o_orderstatus FROM orders)
+    SELECT document_id, CASE WHEN o_custkey % 3 = 0 THEN '2024-02-01' ELSE '2024-01-01' END AS run, CASE WHEN o_custkey % 3 = 0 THEN 'second' ELSE 'first' END AS verdict FROM d WHERE o_custkey % 3 = 0 OR o_orderstatus <> 'P'""")
+def stored_analyses(spark, sf):
+    """Two runs over different contracts, the second stored before the first: of each contract the later run counts."""
+    place = _place(spark, "analyses")
+    orders = table(spark, sf, "orders")
+    second = orders.filter("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("document_id"), F.lit("second").alias("verdict"))
+    first = orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("document_id"), F.lit("first").alias("verdict"))
+    stores.write_analyses(second, place, "2024-02-01")
+    stores.write_analyses(first, place, "2024-01-01")
+    stores.write_analyses(first, place, "2024-01-01")  # the same run again replaces itself
+    return stores.read_analyses(spark, place).select("document_id", "run", "verdict")
+
+
+@query("s15_report", "SELECT quality, count(*) AS n FROM labels GROUP BY 1")
+def report(spark, sf):
+    """Metrics and details written as JSON and read again."""
+    place = _place(spark, "report")
+    details = table(spark, sf, "labels")
+    stores.write_report(details.groupBy("quality").agg(F.count("*").alias("n")), details, place)
+    schema = "quality int, n long"
+    return spark.read.schema(schema).json(f"{place}/metrics")
