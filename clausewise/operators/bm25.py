@@ -32,6 +32,8 @@ OTHER = "-"  # shelf of rows whose type has no index of its own
 LENGTH_STEPS = [8, 16, 32, 64, 128, 256, 512, 1024, 4096]
 # query rows small enough to send to every executor (about 100 bytes each)
 BROADCAST_ROWS = 200_000
+# distinct query terms that are named in a filter of the stored postings; more are joined without one
+PUSHED_TERMS = 1_000
 
 
 @dataclass(frozen=True)
@@ -152,6 +154,15 @@ def query_terms(queries: DataFrame, particles: list[str] | None = None) -> DataF
     )
 
 
+def only_terms(index: Bm25Index, asked: DataFrame) -> Bm25Index:
+    """The index with a filter on the asked terms, which reaches the scan of a stored one; for few terms only."""
+    named = asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()
+    if len(named) > PUSHED_TERMS:
+        return index
+    wanted = F.col("term").isin([r["term"] for r in named])
+    return Bm25Index(index.postings.filter(wanted), index.terms.filter(wanted), index.stats, index.types)
+
+
 def _weights(index: Bm25Index, asked: DataFrame, small: bool) -> DataFrame:
     """Query terms with idf and the score bounds of their posting lists."""
     side = F.broadcast(asked) if small else asked
@@ -212,6 +223,8 @@ def search(
         enough = asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
         strategy = "pruned" if enough else "broadcast"
     small = strategy == "broadcast"
+    if small:
+        index = only_terms(index, asked)
     weighted = _weights(index, asked, small)
     if small:
         scored = (

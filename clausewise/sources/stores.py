@@ -85,9 +85,14 @@ def upsert_kb(spark: SparkSession, path: str, batch: DataFrame, version: str | N
 
 
 def write_index(index: Bm25Index, path: str) -> None:
-    """Partitioned by shelf and type, so a search reads only the types it asks for."""
-    index.postings.write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/postings")
-    index.terms.write.mode("overwrite").partitionBy("contract_type").parquet(f"{path}/terms")
+    """Partitioned by shelf and type, and in term order inside, so a search reads only what it asks for.
+
+    Ranges of terms go to their own files and lie sorted there: a filter on terms skips files and row groups.
+    """
+    ordered = index.postings.repartitionByRange("shelf", "term", "id").sortWithinPartitions("shelf", "term", "id")
+    ordered.write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/postings")
+    terms = index.terms.repartitionByRange("contract_type", "term").sortWithinPartitions("contract_type", "term")
+    terms.write.mode("overwrite").partitionBy("contract_type").parquet(f"{path}/terms")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
 

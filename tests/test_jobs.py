@@ -117,6 +117,9 @@ def test_index_is_stored_and_pruned(spark, built):
     assert stores.read_index(spark, f"{out}/index", ["none"]).postings.count() == 0
     plan = stored.postings._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [shelf" in plan
+    # the asked terms reach the scan of the sorted postings
+    plan = bm25.search(asked, stored, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in plan
 
 
 def test_kb_upsert(spark, built, tmp_path):
