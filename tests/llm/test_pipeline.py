@@ -93,3 +93,29 @@ def test_stages_on_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = corpus_pipeline.staged(stage(spark, now, SF_DIR), "test")
         assert now.count() == 0
+
+
+@there
+def test_stages_equal_a_plain_version(spark):
+    """All stages after the classifier, on its result, against loops in plain Python."""
+    from test_duplicates import WORD, plain_contamination, plain_groups, plain_removals
+
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    now = corpus_pipeline.staged(stages["quality classifier"](spark, documents, SF_DIR), "test")
+    rows = [(r["doc_id"], r["text"]) for r in now.collect()]
+    gone = plain_removals(rows)
+    plain = {}
+    for i, text in rows:
+        left = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone.get(i, []))
+        if i not in gone or any(len(WORD.findall(x)) >= 3 for x in left.split("\n")):
+            plain[i] = left
+    now = corpus_pipeline.staged(stages["line dedup"](spark, now, SF_DIR), "test")
+    assert {r["doc_id"]: r["text"] for r in now.collect()} == plain
+    kept = {i for i, _, component in plain_groups(list(plain.items()), 5) if i == component}
+    now = corpus_pipeline.staged(stages["MinHash near-dedup"](spark, now, SF_DIR), "test")
+    assert {r["doc_id"] for r in now.collect()} == kept
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    clean = {r[0] for r in plain_contamination([(i, plain[i]) for i in sorted(kept)], items) if r[2] == 0}
+    now = corpus_pipeline.staged(stages["benchmark decontamination"](spark, now, SF_DIR), "test")
+    assert {r["doc_id"] for r in now.collect()} == clean
