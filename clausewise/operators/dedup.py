@@ -45,13 +45,17 @@ def dedup_corpus(
     )
     # of equal (id, text) pairs only the first can ever be kept
     pairs = write_shared(keyed.groupBy("i", "t").agg(F.min("_rank").alias("_rank")), "dedup-pairs")
-    n_pairs = pairs.count()
-    n_ids = pairs.select("i").distinct().count()
-    if n_pairs == n_ids:
-        # every id has one text: the first of each text, and every short text
-        kept = _first_texts(pairs).unionByName(pairs.filter("t is null").select("i", "t", "_rank"))
-    else:
-        kept = _greedy(pairs)
+    # ids with several texts, and whatever shares a text with them, take turns; all else is settled at once:
+    # the first of each text, and every short text
+    several = pairs.groupBy("i").agg(F.count("*").alias("n")).filter("n > 1").select("i")
+    crossing = write_shared(pairs.join(several, "i", "left_semi"), "dedup-crossing")
+    texts = crossing.filter("t is not null").select("t").distinct()
+    single = pairs.join(several, "i", "left_anti")
+    calm = single.join(texts, "t", "left_anti").select("i", "t", "_rank")
+    kept = _first_texts(calm).unionByName(calm.filter("t is null"))
+    if not crossing.isEmpty():
+        sharing = single.join(texts, "t", "left_semi").select("i", "t", "_rank")
+        kept = kept.unionByName(_greedy(write_shared(crossing.select("i", "t", "_rank").unionByName(sharing), "dedup-open")))
     return ranked.join(kept.select("_rank"), "_rank", "left_semi").drop("_rank")
 
 
