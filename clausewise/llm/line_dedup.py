@@ -8,26 +8,31 @@ before the sets are compared.
 
 In a crowd of near copies all pairs would be too many, and one earlier line is enough. So each
 prefix row first meets the earliest and the previous line of its token and length; where
-one of them looks similar, the likeliest is confirmed and the row is not joined further. Only
-lines for which that failed are then joined with all lines of their tokens.
+one of them looks similar, the row is not joined further. Of every line the likeliest earlier
+one is confirmed first; only lines for which that fails are compared with all that may match.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import SPACE, SPACE_CLASS, free_name, once, staged
+from clausewise.session import scratch_dir
 
 PERCENT = 80
 # shorter lines are left alone: too little to call one a copy of another
 MIN_WORDS = 3
-# places of the frequency sketch and of the membership sketches: one byte each, whatever the input
+# places of the frequency sketch and bits of the membership bitmaps, whatever the input; a power of two
 SLOTS = 1 << 20
 # a token in more lines than this is dealt over several tasks
 SPLIT_LINES = 1 << 20
 # frequency classes are quarters of a power of two
 _STEPS = 4
+_ROW = ("doc_id", "line_no", "size", "pos", "bits")
 
 
 def _plain(line: Column) -> Column:
@@ -65,38 +70,30 @@ _STRETCH = 1024
 
 
 def _sketch(marks: DataFrame, slots: int) -> Column:
-    """A binary of ``slots`` bytes from (slot, byte); bytes of missing slots are 0. One row, of fixed size."""
+    """An array of ``slots`` numbers from (slot, level), 0 where a slot is missing. One row, of fixed size."""
     filled = marks.sparkSession.range(slots).select(F.col("id").alias("slot")).join(marks, "slot", "left")
-    digit = F.lpad(F.hex(F.coalesce("byte", F.lit(0))), 2, "0").alias("digit")
-
-    def joined(at: str, digits: str) -> Column:
-        found = F.sort_array(F.collect_list(F.struct(at, digits)))
-        return F.array_join(F.transform(found, lambda x: x[digits]), "")
-
-    stretches = filled.select((F.col("slot") / _STRETCH).cast("int").alias("at"), "slot", digit)
-    stretches = stretches.groupBy("at").agg(joined("slot", "digit").alias("digits"))
-    return staged(stretches.agg(F.unhex(joined("at", "digits")).alias("bytes")), "lines-sketch").scalar()
-
-
-def _byte(sketch: Column, slot: Column) -> Column:
-    """The byte at a slot, below 128."""
-    return F.ascii(F.substring(sketch, slot + 1, F.lit(1)).cast("string"))
+    level = F.coalesce("level", F.lit(0)).alias("level")
+    stretches = filled.select((F.col("slot") / _STRETCH).cast("int").alias("at"), F.struct("slot", level).alias("x"))
+    stretches = stretches.groupBy("at").agg(
+        F.transform(F.sort_array(F.collect_list("x")), lambda x: x["level"]).alias("levels")
+    )
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "levels"))), lambda x: x["levels"]))
+    return staged(stretches.agg(whole.alias("levels")), "lines-sketch").scalar()
 
 
 def _slot(hashed: Column, slots: int) -> Column:
     return F.pmod(hashed, F.lit(slots)).cast("int")
 
 
-def _rarity(docs: DataFrame, min_words: int, slots: int) -> Column:
-    """Sketch of the frequency class of every token; tokens of one slot count together."""
-    counted = (
-        _lines(docs, min_words)
-        .select(F.explode(F.split("line", SPACE_CLASS + "+")).alias("token"))
+def _rarity(docs: DataFrame, slots: int) -> DataFrame:
+    """(slot, level): the frequency class of the tokens of all texts; tokens of one slot count together."""
+    return staged(
+        docs.select(F.explode(F.split(F.lower("text"), SPACE_CLASS + "+")).alias("token"))
         .groupBy(_slot(F.xxhash64("token"), slots).cast("long").alias("slot"))
         .agg(F.count(F.lit(1)).alias("n"))
+        .select("slot", F.least(F.round(F.log2(F.col("n") + 1) * _STEPS), F.lit(127)).cast("int").alias("level")),
+        "lines-rarity",
     )
-    level = F.least(F.round(F.log2(F.col("n") + 1) * _STEPS), F.lit(127)).cast("int")
-    return _sketch(counted.select("slot", level.alias("byte")), slots)
 
 
 # bits in one bitmap of Spark's bitmap functions
@@ -134,7 +131,9 @@ def _copies(docs: DataFrame, min_words: int) -> DataFrame:
     return later.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
 
 
-def _prefixes(docs: DataFrame, copies: DataFrame, percent: int, min_words: int, slots: int, split_lines: int) -> DataFrame:
+def _prefixes(
+    docs: DataFrame, copies: DataFrame, rarity: DataFrame, percent: int, min_words: int, slots: int, split_lines: int
+) -> DataFrame:
     """(token, part, parts, doc_id, line_no, size, pos, bits): the rarest tokens of every line that is no copy.
 
     ``size`` is that of the token set, ``pos`` the token's place in the order from rare to common, ``bits`` the
@@ -148,22 +147,17 @@ def _prefixes(docs: DataFrame, copies: DataFrame, percent: int, min_words: int,
     fresh = _chosen(
         maybe.unionByName(never), F.array_except(_all_numbers(), F.coalesce("lines", none)), min_words
     )
-    rarity = _rarity(docs, min_words, slots)
     # a token's number: seven bits of frequency class, then 55 bits of hash; numbers sort from rare to common
     hashed = fresh.select(
-        "doc_id", "line_no", F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t)).alias("hashes")
-    )
-    numbered = hashed.withColumn("sketch", rarity).select(
         "doc_id",
         "line_no",
-        F.sort_array(
-            F.transform(
-                "hashes",
-                lambda h: F.shiftleft(_byte(F.col("sketch"), _slot(h, slots)).cast("long"), 55).bitwiseOR(
-                    F.shiftrightunsigned(h, 9)
-                ),
-            )
-        ).alias("ids"),
+        F.array_distinct(F.transform(F.split("line", SPACE_CLASS + "+"), lambda t: F.xxhash64(t))).alias("hashes"),
+    )
+    number = lambda h: F.shiftleft(
+        F.get("sketch", h.bitwiseAND(F.lit(slots - 1)).cast("int")).cast("long"), 55
+    ).bitwiseOR(F.shiftrightunsigned(h, 9))
+    numbered = hashed.withColumn("sketch", _sketch(rarity, slots)).select(
+        "doc_id", "line_no", F.sort_array(F.transform("hashes", number)).alias("ids")
     )
     one = F.lit(1).cast("long")
     flip = F.aggregate(
@@ -175,18 +169,22 @@ def _prefixes(docs: DataFrame, copies: DataFrame, percent: int, min_words: int,
     length = size - F.ceil(size * percent / 100).cast("int") + 1
     rows = numbered.select("doc_id", "line_no", once(size=size, bits=flip, prefix=F.slice("ids", 1, length)))
     out = rows.select("doc_id", "line_no", "size", "bits", F.posexplode("prefix").alias("pos", "id"))
-    lines = F.pow(F.lit(2.0), F.shiftrightunsigned("id", 55) / _STEPS)
-    parts = F.greatest(F.ceil(lines / split_lines), F.lit(1)).cast("int")
-    return out.select(
-        (F.shiftrightunsigned("id", 10).bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int").alias("token"),
-        F.pmod(F.xxhash64("doc_id", "line_no"), parts).cast("int").alias("part"),
-        parts.alias("parts"),
-        "doc_id",
-        "line_no",
-        "size",
-        "pos",
-        "bits",
+    level = F.shiftrightunsigned("id", 55)
+    parts = F.when(level <= _last_whole(split_lines), 1).otherwise(
+        F.ceil(F.pow(F.lit(2.0), level / _STEPS) / split_lines).cast("int")
     )
+    found = {
+        "token": (F.shiftrightunsigned("id", 10).bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"),
+        "part": F.when(parts > 1, F.pmod(F.xxhash64("doc_id", "line_no"), parts).cast("int")).otherwise(0),
+        "parts": parts,
+        **{name: F.col(name) for name in _ROW},
+    }
+    return out.select(*[c.alias(name) for name, c in found.items()])
+
+
+def _last_whole(split_lines: int) -> int:
+    """The highest frequency class that is not dealt over several tasks."""
+    return math.floor(math.log2(split_lines) * _STEPS)
 
 
 def _may_match(percent: int, a: str, b: str) -> Column:
@@ -212,28 +210,27 @@ def _before(a: str, b: str) -> Column:
     )
 
 
-_ROW = ("doc_id", "line_no", "size", "pos", "bits")
 _OFFER = "struct<apart:int,y_doc_id:bigint,y_line_no:int>"
 _PAIR = ("doc_id", "line_no", "y_doc_id", "y_line_no")
 
 
 def _named(rows: DataFrame, start: str) -> DataFrame:
-    keep = [c for c in rows.columns if c not in _ROW and c != "parts"]
-    return rows.select(*keep, *[F.col(c).alias(f"{start}{c}") for c in _ROW], *[c for c in ("parts",) if c in rows.columns])
+    return rows.select(*[F.col(c).alias(f"{start}{c}") if c in _ROW else F.col(c) for c in rows.columns])
 
 
-def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Rows of two kinds, in one table from one shuffle of the prefixes.
+def _stored_prefixes(prefixes: DataFrame, percent: int) -> str:
+    """Name of a stored table of the prefix rows of tokens that several lines have, bucketed by token.
 
-    With a y_doc_id: pairs of prefix rows that have no similar-looking line nearby. Without: all prefix rows of the
-    tokens where some row has one, with the likeliest of the row's as ``best``.
+    ``best`` is the likeliest of three nearby lines (the first of the same token and size, the two before) that looks
+    similar. Joins on the token need no shuffle.
     """
-    # every use keeps all columns, so that one exchange serves all
-    prefixes = prefixes.repartition("token", "part")
-    group = Window.partitionBy("token", "part", "parts", "size").orderBy("doc_id", "line_no")
-    whole = Window.partitionBy("token", "part", "parts")
+    spark = prefixes.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prefixes.repartition(buckets, "token", "part")
+    group = Window.partitionBy("token", "part", "size").orderBy("doc_id", "line_no")
+    whole = Window.partitionBy("token", "part")
     row = F.struct(*_ROW)
-    near = prefixes.select(
+    near = dealt.select(
         "*", F.first(row).over(group).alias("f"), F.lag(row).over(group).alias("l"), F.lag(row, 2).over(group).alias("m")
     )
     flat = near.select(
@@ -245,20 +242,40 @@ def _candidates(prefixes: DataFrame, percent: int) -> DataFrame:
         found = F.struct(_apart(start, ""), F.col(f"{start}doc_id"), F.col(f"{start}line_no")).cast(_OFFER)
         return F.when(fits, found)
 
-    best = F.array_min(F.filter(F.array(*[offer(f"{w}_") for w in "flm"]), lambda o: o.isNotNull()))
+    offers = [offer(f"{w}_") for w in "flm"]
+    best = F.when(
+        offers[0].isNotNull() | offers[1].isNotNull() | offers[2].isNotNull(),
+        F.array_min(F.filter(F.array(*offers), lambda o: o.isNotNull())),
+    )
     offered = flat.select("token", "part", "parts", *_ROW, best.alias("best")).select(
-        "*", F.max(F.col("best").isNotNull()).over(whole).alias("crowded")
+        "*", F.count(F.lit(1)).over(whole).alias("n")
     )
-    open_rows = offered.filter("best is null")
-    others = _named(prefixes, "y_").withColumnRenamed("parts", "y_parts")
-    alone = open_rows.filter("parts = 1").select("token", "part", "parts", *_ROW)
-    dealt = open_rows.filter("parts > 1").select(
-        "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", *_ROW
+    name = f"lines_{uuid.uuid4().hex}"
+    (
+        # a token that is dealt over parts may have its other lines elsewhere
+        offered.filter("n > 1 or parts > 1")
+        .drop("n")
+        .write.option("path", f"{scratch_dir(spark).rstrip('/')}/llm-{name}")
+        .bucketBy(buckets, "token", "part")
+        .sortBy("token", "part")
+        .saveAsTable(name)
     )
-    fits = _before("y_", "") & _may_match(percent, "y_", "") & ~(F.col("parts") < F.col("y_parts"))
-    pairs = [left.join(others, ["token", "part"]).filter(fits).select(*_PAIR) for left in (alone, dealt)]
-    crowd = offered.filter("crowded").select("token", *_ROW, "best")
-    return pairs[0].unionByName(pairs[1]).distinct().unionByName(crowd, allowMissingColumns=True)
+    return name
+
+
+def _pairs(rows: DataFrame, stored: DataFrame, percent: int, dealt: bool) -> DataFrame:
+    """(doc_id, line_no, y_doc_id, y_line_no, apart): the earlier lines that may match, by the tokens of ``rows``.
+
+    ``dealt`` tells whether any token is dealt over parts; its rows then visit them all.
+    """
+    others = _named(stored.select("token", "part", *_ROW), "y_")
+    fits = _before("y_", "") & _may_match(percent, "y_", "")
+    met = rows.select("token", "part", *_ROW).join(others, ["token", "part"]).filter(fits)
+    if dealt:
+        there = rows.filter("parts > 1").withColumn("home", F.col("part"))
+        there = there.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part <> home")
+        met = met.unionByName(there.select("token", "part", *_ROW).join(others, ["token", "part"]).filter(fits))
+    return met.select(*_PAIR, _apart("y_", "").alias("apart")).distinct()
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int, slots: int) -> DataFrame:
@@ -297,24 +314,26 @@ def removals(
         "doc_id is not null and text is not null"
     )
     copies = staged(_copies(docs, min_words), "lines-copies")
-    prefixes = _prefixes(docs, copies, percent, min_words, slots, split_lines)
-    found = staged(_candidates(prefixes, percent), "lines-candidates")
-    crowd = found.filter("y_doc_id is null").select("token", *_ROW, "best")
-    nearest = crowd.filter("best is not null").groupBy("doc_id", "line_no").agg(F.min("best").alias("best"))
-    nearest = staged(nearest.select("doc_id", "line_no", "best.y_doc_id", "best.y_line_no"), "lines-nearest")
-    pairs = found.filter("y_doc_id is not null").select(*_PAIR).unionByName(nearest).distinct()
-    settled = staged(_confirmed(docs, pairs, percent, min_words, slots), "lines-settled")
-    # lines whose likeliest neighbour failed, and nothing else settled: now against all lines of their tokens
-    failed = nearest.select("doc_id", "line_no").join(settled, ["doc_id", "line_no"], "left_anti")
-    crowd = crowd.drop("best")
-    more = (
-        crowd.join(failed, ["doc_id", "line_no"], "left_semi")
-        .join(_named(crowd, "y_"), "token")
-        .filter(_before("y_", "") & _may_match(percent, "y_", ""))
-        .select(*_PAIR)
-        .distinct()
+    rarity = _rarity(docs, slots)
+    dealt = not rarity.filter(F.col("level") > _last_whole(split_lines)).isEmpty()
+    name = _stored_prefixes(_prefixes(docs, copies, rarity, percent, min_words, slots, split_lines), percent)
+    stored = docs.sparkSession.table(name)
+    plain = staged(_pairs(stored.filter("best is null"), stored, percent, dealt), "lines-pairs")
+    waiting = stored.filter("best is not null")
+    line = ["doc_id", "line_no"]
+    # one earlier line is enough, so the likeliest of all is tried first
+    offers = plain.select(*line, F.struct("apart", "y_doc_id", "y_line_no").cast(_OFFER).alias("best"))
+    likeliest = offers.unionByName(waiting.select(*line, "best")).groupBy(*line).agg(F.min("best").alias("best"))
+    likeliest = staged(likeliest.select(*line, "best.y_doc_id", "best.y_line_no"), "lines-likeliest")
+    settled = staged(_confirmed(docs, likeliest, percent, min_words, slots), "lines-settled")
+    # where it failed, all others that may match, those of the rows that were not joined yet included
+    failed = staged(likeliest.select(*line).join(settled, line, "left_anti"), "lines-failed")
+    more = plain.join(failed, line, "left_semi").unionByName(
+        _pairs(waiting.join(failed, line, "left_semi"), stored, percent, dealt)
     )
-    late = _confirmed(docs, staged(more, "lines-more"), percent, min_words, slots)
+    more = staged(more.select(*_PAIR).distinct().join(likeliest, [*_PAIR], "left_anti"), "lines-more")
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # from the catalogue; the files stay with the other shared tables
+    late = _confirmed(docs, more, percent, min_words, slots)
     copied = copies.select("doc_id", F.explode("lines").alias("line_no"))
     gone = settled.unionByName(late).unionByName(copied)
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines"))
