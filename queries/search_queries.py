@@ -268,3 +268,15 @@ def hybrid_top5(spark, sf):
         asked, vec.withColumnRenamed("id", "query_id"), kb(spark, sf), vec, _index(spark, sf), 5,
         types=KB_TYPES, exclude_self=True,
     ).select("query_id", "pos", "id", "source", "category", "similarity", "rrf_score")
+
+
+@query("u3_vectorised_texts", """SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS n_e,
+    CAST(length(text) - length(replace(text, 'n', '')) AS DOUBLE) AS n_n, CAST(length(text) AS DOUBLE) AS n FROM documents""")
+def vectorised_texts(spark, sf):
+    """A caller's vectoriser run in batches over all texts."""
+
+    def letters(texts):
+        return [[text.count("e"), text.count("n"), len(text)] for text in texts]
+
+    rows = kb(spark, sf).select("id", "text").mapInPandas(vectors.as_batches(letters), "id string, embedding array<float>")
+    return rows.select("id", *[F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(("n_e", "n_n", "n"))])
