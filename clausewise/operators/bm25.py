@@ -220,11 +220,11 @@ def search(
     """
     asked = query_terms(queries, particles)
     if strategy == "auto":
-        enough = asked.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS
-        strategy = "pruned" if enough else "broadcast"
+        rows = asked.limit(BROADCAST_ROWS + 1).count()
+        strategy = "pruned" if rows > BROADCAST_ROWS else "broadcast"
+        if rows <= 10 * PUSHED_TERMS:
+            index = only_terms(index, asked)
     small = strategy == "broadcast"
-    if small:
-        index = only_terms(index, asked)
     weighted = _weights(index, asked, small)
     if small:
         scored = (
