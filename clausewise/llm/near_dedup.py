@@ -10,6 +10,10 @@ confirmed on the full sets.
 A node hands on a spanning forest of its most similar pairs rather than all pairs. Where a
 confirmed forest leaves parts of a node unconnected, every similar pair across the parts is
 tried on the full sets, so nothing is lost to the shorter way.
+
+Nodes that stay large are only tied together in blocks. All their classes therefore also meet in
+an exact join: shingles are ordered from rare to common, two similar sets share one of their first
+few, and length and position rule pairs out before the full sets are compared.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ TREES = 10
 SIGNATURE = 128
 LEAF = 2048
 ROUNDS = 16
+# places of the frequency sketch of the exact join, whatever the input; a power of two
+SLOTS = 1 << 18
+# rows on either side of a cell of the exact join
+CELL = 1024
 
 _rng = np.random.default_rng(20_240)
 # odd multipliers, one per hash function
@@ -142,10 +150,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(joined, np.uint32).reshape(len(column), SIGNATURE)
 
 
-def _leaves(classes: DataFrame, trees: int, percent: int, leaf: int, rounds: int) -> DataFrame:
-    """(node, class_id) of all nodes with 2 to ``leaf`` classes; of nodes with the same classes one stays."""
+def _leaves(classes: DataFrame, trees: int, percent: int, leaf: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, class_id) of all nodes with 2 to ``leaf`` classes, of nodes with the same classes one; and the crowd.
+
+    The crowd is the class_id of all classes in nodes that were still larger after ``rounds``; None without such.
+    """
     rows = staged(_first_nodes(classes, trees), "near-nodes")
     parts: list[DataFrame] = []
+    crowd = None
     for turn in range(rounds + 1):
         sizes = staged(
             rows.groupBy("node")
@@ -163,6 +175,7 @@ def _leaves(classes: DataFrame, trees: int, percent: int, leaf: int, rounds: int
         if large.isEmpty():
             break
         if turn == rounds:
+            crowd = staged(rows.join(large.select("node"), "node").select("class_id").distinct(), "near-crowd")
             # what no function tells apart: blocks by hash, tied together by the node's least class
             blocks = F.ceil(F.col("n") / (leaf // 2)).cast("int")
             dealt = rows.join(large, "node").select(
@@ -178,7 +191,7 @@ def _leaves(classes: DataFrame, trees: int, percent: int, leaf: int, rounds: int
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
-    return staged(merged, "near-leaves")
+    return staged(merged, "near-leaves"), crowd
 
 
 def _forest(signs: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -349,6 +362,116 @@ def _remaining(leaves: DataFrame, classes: DataFrame, sets: DataFrame, parts: Da
     )
 
 
+def _levels(sets: DataFrame) -> np.ndarray:
+    """Frequency class of the shingles of ``sets`` by place of the sketch; shingles of one place count together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = np.frombuffer(b"".join(x.as_py() for x in batch.column("items")), np.uint64)
+            slots, counts = np.unique(items & np.uint64(SLOTS - 1), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(counts)], names=["slot", "n"])
+
+    counted = sets.select("items").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    levels = np.zeros(SLOTS, np.uint8)
+    levels[counted.column("slot").to_numpy()] = np.round(4 * np.log2(counted.column("n").to_numpy() + 1.0))
+    return levels
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, class_id, part, size, pos, low): the rarest shingles of every set.
+
+    ``low`` tells whether a set of the same size or a longer one may be met by the shingle.
+    """
+    levels = _levels(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sizes, places = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
+            for value in batch.column("items"):
+                items = np.frombuffer(value.as_py(), np.uint64)
+                order = np.lexsort((items, levels[items & np.uint64(SLOTS - 1)]))
+                length = len(items) - -(-percent * len(items) // 100) + 1
+                tokens.append(items[order[:length]])
+                places.append(np.arange(length))
+                sizes.append(len(items))
+            size = np.array(sizes, np.int64)
+            row = np.repeat(np.arange(len(size)), [len(t) for t in tokens[1:]])
+            pos = np.concatenate(places)
+            low = size[row] - pos >= _least_shared(size[row], size[row], percent)
+            ids, parts = (batch.column(name).take(pa.array(row, pa.int64())) for name in ("class_id", "part"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens).astype(np.int64)), ids, parts, pa.array(size[row]), pa.array(pos), pa.array(low)],
+                names=["token", "class_id", "part", "size", "pos", "low"],
+            )
+
+    return sets.select("class_id", "part", "items").mapInArrow(
+        run, "token long, class_id long, part long, size long, pos long, low boolean"
+    )
+
+
+def _least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that sets of these sizes share at least where they are similar enough."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def _across(crowd: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """All (u, v) of ``crowd`` in different parts that may be similar, by an exact prefix join.
+
+    A shingle's rows are dealt over cells of ``CELL`` by ``CELL`` rows; rows of its commonest part meet
+    those of other parts only.
+    """
+    known = sets.join(crowd, "class_id").join(parts.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
+    rows = staged(
+        _prefixes(known.select("class_id", F.coalesce("component", "class_id").alias("part"), "items"), percent),
+        "near-rare",
+    )
+    told = (
+        rows.groupBy("token", "part")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("low").alias("low"))
+        .groupBy("token")
+        .agg(
+            F.sum("n").alias("n"),
+            F.max("n").alias("most"),
+            F.max_by("part", F.struct("n", "part")).alias("main"),
+            F.max("low").alias("low"),
+            F.count(F.lit(1)).alias("n_parts"),
+        )
+        .filter("n_parts > 1 and low")
+        .select(
+            "token",
+            "main",
+            F.ceil(F.col("n") / CELL).cast("int").alias("wide"),
+            F.ceil((F.col("n") - F.col("most")) / CELL).cast("int").alias("high"),
+        )
+    )
+    met = rows.drop("low").join(told, "token")
+    row = ["class_id", "part", "size", "pos"]
+
+    def dealt(side: DataFrame, own: str, visited: str, is_other: bool) -> DataFrame:
+        home = F.pmod(F.xxhash64("class_id", "token", F.lit(is_other)), own).cast("int").alias("home")
+        cells = side.select("token", *row, home, F.explode(F.sequence(F.lit(0), F.col(visited) - 1)).alias("away"))
+        at = ("home", "away") if is_other else ("away", "home")
+        return cells.select(F.xxhash64("token", *at).alias("node"), *row, F.lit(is_other).alias("other"))
+
+    cells = dealt(met, "wide", "high", False).unionByName(dealt(met.filter("part <> main"), "high", "wide", True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_node(batches):
+            ids, part, size, pos, other = (table.column(n).to_numpy() for n in ("class_id", "part", "size", "pos", "other"))
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for start, end in _spans(table.column("node").to_numpy()):
+                a = start + np.flatnonzero(other[start:end])[:, None]
+                b = start + np.flatnonzero(~other[start:end])[None, :]
+                reach = np.minimum(size[a] - pos[a], size[b] - pos[b])
+                i, j = np.nonzero((part[a] != part[b]) & (reach >= _least_shared(size[a], size[b], percent)))
+                left.append(ids[a[i, 0]])
+                right.append(ids[b[0, j]])
+            u, v = np.concatenate(left), np.concatenate(right)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    return cells.repartition("node").sortWithinPartitions("node").mapInArrow(run, "u long, v long").distinct()
+
+
 def groups(
     documents: DataFrame,
     doc_id: str = "doc_id",
@@ -369,7 +492,8 @@ def groups(
 
     Links are confirmed on full sets, so none is wrong; a pair right at the threshold is missed
     in all trees with a chance of about 0.2 ** trees in nodes of up to ``leaf`` classes and more in
-    larger ones, where a group is held together by its other links as well.
+    larger ones, where a group is held together by its other links as well. Among the classes of
+    nodes that are still larger after ``rounds`` no pair is missed.
     """
     rows = staged(_sketched(documents, doc_id, text, words), "near-sketches")
     classes = staged(
@@ -383,17 +507,24 @@ def groups(
         ),
         "near-classes",
     )
-    leaves = _leaves(classes, trees, percent, leaf, rounds)
+    leaves, crowd = _leaves(classes, trees, percent, leaf, rounds)
     pairs = staged(
         _likely(leaves, classes, percent).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
         "near-pairs",
     )
     ends = pairs.select(F.col("u").alias("class_id")).unionByName(pairs.select(F.col("v").alias("class_id"))).distinct()
-    sets = staged(_sets(documents, classes, ends, doc_id, text, words), "near-sets")
+    asked = ends if crowd is None else ends.unionByName(crowd).distinct()
+    sets = staged(_sets(documents, classes, asked, doc_id, text, words), "near-sets")
     links = staged(_confirmed(pairs, sets, percent), "near-links")
     parts = components(links)
-    more = staged(_remaining(leaves, classes, sets, parts, percent), "near-links")
+    tried = sets if crowd is None else sets.join(ends, "class_id", "left_semi")
+    more = staged(_remaining(leaves, classes, tried, parts, percent), "near-links")
     parts = components(links.unionByName(more))
+    if crowd is not None:
+        crossing = staged(_across(crowd, sets, parts, percent), "near-pairs")
+        late = staged(_confirmed(crossing, sets, percent), "near-links")
+        if not late.isEmpty():
+            parts = components(links.unionByName(more).unionByName(late))
     placed = classes.join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").select(
         "set_key", "first_id", F.coalesce("component", "class_id").alias("component")
     )

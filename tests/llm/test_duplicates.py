@@ -159,6 +159,30 @@ def test_leaf_finds_links_that_the_forest_misses(spark, docs, words):
     assert len(links) == 1 and 2 in links[0]
 
 
+@pytest.fixture(scope="module")
+def template_rows(words):
+    """A passage that all texts share makes them alike below the threshold; every third text has one partner above it."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        own = [f"own{i}x{n}" for n in range(26)]
+        rows.append(words(0, 100) + own)
+        if i % 3 == 0:
+            rows.append(words(0, 100) + own[: rng.randrange(14, 20)] + [f"other{i}x{n}" for n in range(8)])
+    rng.shuffle(rows)
+    return [(i, " ".join(row)) for i, row in enumerate(rows)]
+
+
+@pytest.mark.parametrize("cell", [1024, 16])
+def test_near_groups_of_nodes_that_stay_large(spark, docs, template_rows, monkeypatch, cell):
+    """Pairs that fall into different blocks of a large node are found; small cells change nothing."""
+    monkeypatch.setattr(near_dedup, "CELL", cell)
+    found = near_dedup.groups(docs(template_rows), words=4, leaf=6, rounds=1).collect()
+    want = sorted(plain_groups(template_rows, 4))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == want
+    assert sum(i != component for i, _, component in want) == 30
+
+
 def test_near_groups_of_nothing(spark, docs):
     assert near_dedup.groups(docs([])).count() == 0
     assert [r["kept"] for r in near_dedup.groups(docs([(1, None)])).collect()] == [True]
