@@ -11,8 +11,9 @@ A node hands on a spanning forest of its most similar pairs rather than all pair
 confirmed forest leaves parts of a node unconnected, every similar pair across the parts is
 tried on the full sets, so nothing is lost to the shorter way.
 
-Nodes that stay large are only tied together in blocks. All their classes therefore also meet in
-an exact join: shingles are ordered from rare to common, two similar sets share one of their first
+Branching parts some pairs in every round, and nodes that stay large are only tied together in
+blocks. All classes of a tree's first nodes that have to branch therefore also meet in an exact
+join, so that a pair's chance does not depend on how many other texts share its passages: shingles are ordered from rare to common, two similar sets share one of their first
 few, and length and position rule pairs out before the full sets are compared.
 """
 
@@ -153,7 +154,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _leaves(classes: DataFrame, trees: int, percent: int, leaf: int, rounds: int) -> tuple[DataFrame, DataFrame | None]:
     """(node, class_id) of all nodes with 2 to ``leaf`` classes, of nodes with the same classes one; and the crowd.
 
-    The crowd is the class_id of all classes in nodes that were still larger after ``rounds``; None without such.
+    The crowd is the class_id of all classes in first nodes that were larger; None without such.
     """
     rows = staged(_first_nodes(classes, trees), "near-nodes")
     parts: list[DataFrame] = []
@@ -174,8 +175,9 @@ def _leaves(classes: DataFrame, trees: int, percent: int, leaf: int, rounds: int
         large = sizes.filter(F.col("n") > leaf)
         if large.isEmpty():
             break
-        if turn == rounds:
+        if turn == 0:
             crowd = staged(rows.join(large.select("node"), "node").select("class_id").distinct(), "near-crowd")
+        if turn == rounds:
             # what no function tells apart: blocks by hash, tied together by the node's least class
             blocks = F.ceil(F.col("n") / (leaf // 2)).cast("int")
             dealt = rows.join(large, "node").select(
@@ -491,9 +493,8 @@ def groups(
     documents give no rows. Other columns are ignored.
 
     Links are confirmed on full sets, so none is wrong; a pair right at the threshold is missed
-    in all trees with a chance of about 0.2 ** trees in nodes of up to ``leaf`` classes and more in
-    larger ones, where a group is held together by its other links as well. Among the classes of
-    nodes that are still larger after ``rounds`` no pair is missed.
+    in all trees with a chance of about 0.2 ** trees, however large the nodes: among the classes of
+    first nodes with more than ``leaf`` classes no pair is missed.
     """
     rows = staged(_sketched(documents, doc_id, text, words), "near-sketches")
     classes = staged(

@@ -183,6 +183,13 @@ def test_near_groups_of_nodes_that_stay_large(spark, docs, template_rows, monkey
     assert sum(i != component for i, _, component in want) == 30
 
 
+@pytest.mark.parametrize("rounds", [1, 16])
+def test_near_groups_do_not_depend_on_node_size(spark, docs, template_rows, rounds):
+    """Three trees find all pairs of a crowd, although every round of branching parts some of them."""
+    found = near_dedup.groups(docs(template_rows), words=4, trees=3, leaf=6, rounds=rounds).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(plain_groups(template_rows, 4))
+
+
 def test_near_groups_of_nothing(spark, docs):
     assert near_dedup.groups(docs([])).count() == 0
     assert [r["kept"] for r in near_dedup.groups(docs([(1, None)])).collect()] == [True]
