@@ -71,9 +71,9 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def least_matches(percent: int) -> int:
-    """Equal signature places that a pair at the threshold falls short of once in two thousand times."""
+    """Equal signature places that a pair at the threshold falls short of less than once in a million times at 80%."""
     p = percent / 100
-    return math.floor(SIGNATURE * p - 3.3 * math.sqrt(SIGNATURE * p * (1 - p)))
+    return math.floor(SIGNATURE * p - 5.5 * math.sqrt(SIGNATURE * p * (1 - p)))
 
 
 def _sketched(documents: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:

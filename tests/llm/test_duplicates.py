@@ -190,6 +190,17 @@ def test_near_groups_do_not_depend_on_node_size(spark, docs, template_rows, roun
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == sorted(plain_groups(template_rows, 4))
 
 
+def test_near_groups_with_unlucky_signatures(spark, docs):
+    """A pair at the threshold is found although few places of its signatures are equal."""
+    for turn in range(20_000):
+        texts = [" ".join(f"t{turn}x{n}" for n in [*range(80), *range(at, at + 10)]) for at in (100, 200)]
+        a, b = (near_dedup.signature(near_dedup.shingles(t.encode(), 1)) for t in texts)
+        if (a == b).sum() < 87:
+            break
+    found = near_dedup.groups(docs([(1, texts[0]), (2, texts[1])]), words=1).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 1)]
+
+
 def test_near_groups_of_nothing(spark, docs):
     assert near_dedup.groups(docs([])).count() == 0
     assert [r["kept"] for r in near_dedup.groups(docs([(1, None)])).collect()] == [True]
