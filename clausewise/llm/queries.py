@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clausewise.llm import (
     chat_format,
+    conversation_repair,
     decontaminate,
     license_scan,
     line_dedup,
@@ -16,6 +17,8 @@ from clausewise.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    secret_scan,
+    source_divergence,
     token_counts,
     warc,
 )
@@ -231,3 +234,130 @@ FROM told
 @query("op10_warc", WARC_SQL)
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive(table(spark, sf_dir, "pages")))
+
+
+# crc32 bit by bit: a byte is XORed in, then eight shifts (the negative entries of the list) follow
+REPAIR_SQL = r"""
+WITH RECURSIVE hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, flatten([
+        [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+        for ch in string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')])),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+        ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END) END
+    ), 4294967295::BIGINT) % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS t(copy) WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), judged AS (
+  SELECT conv_id, i, turn, role, text, substr(role, 1, 1) AS initial,
+    substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM judged GROUP BY conv_id
+), follows(state, next, role) AS (VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+-- inserts after an edit: none, one or two
+inserts AS (
+  SELECT state, state AS next, '' AS letters, 0 AS price, []::VARCHAR[] AS lines FROM follows
+  UNION ALL SELECT state, next, 'I', 3, [role || ':'] FROM follows
+  UNION ALL SELECT a.state, b.next, 'II', 6, [a.role || ':', b.role || ':'] FROM follows a JOIN follows b ON b.state = a.next
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, next AS state, price::BIGINT AS cost, letters AS audit, lines
+  FROM (SELECT DISTINCT conv_id FROM judged), inserts WHERE state = ''
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT w.conv_id, j.i, n.next AS state, w.cost + e.price + n.price AS cost, w.audit || e.letter || n.letters AS audit,
+      list_concat(list_concat(w.lines, e.line), n.lines) AS lines
+    FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+    JOIN follows f ON f.state = w.state,
+    unnest([
+      {'letter': 'D', 'price': 4, 'to': w.state, 'line': []::VARCHAR[], 'ok': true},
+      {'letter': 'K', 'price': CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END, 'to': initial, 'line': [j.role || ':' || text],
+       'ok': fault NOT IN ('blank', 'duplicate') AND (initial = f.next OR (w.state = '' AND initial = 's'))},
+      {'letter': 'R', 'price': CASE WHEN fault = 'truncated' THEN 6 ELSE 3 END, 'to': f.next, 'line': [f.role || ':' || text],
+       'ok': fault NOT IN ('blank', 'duplicate')}
+    ]) AS t(e)
+    JOIN inserts n ON n.state = e."to"
+    WHERE e.ok
+    QUALIFY row_number() OVER (PARTITION BY w.conv_id, n.next ORDER BY w.cost + e.price + n.price, w.audit || e.letter || n.letters) = 1
+  )
+), best AS (
+  SELECT w.conv_id, cost, audit, lines FROM walk w JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.n = w.i
+  WHERE state IN ('', 'a') QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY cost, audit) = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op11_conversation_repair", REPAIR_SQL)
+def conversation_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(turns, conversation_repair.verdicts(turns))
+
+
+DIVERGENCE_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), place AS (SELECT DISTINCT lang, source FROM doc),
+word AS (SELECT id, lang, source, unnest(w) AS term FROM doc),
+kept AS (SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+seen AS (SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY lang, source, term),
+total AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS t FROM place LEFT JOIN seen USING (lang, source) GROUP BY lang, source),
+share AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (t + 2 * v) AS p
+  FROM total JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN seen USING (lang, source, term)
+), lang_share AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 2)) // (any_value(t) + 2 * any_value(v)) AS q
+  FROM seen JOIN (SELECT lang, sum(t) AS t FROM total GROUP BY lang) USING (lang) JOIN size USING (lang) GROUP BY lang, term
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, (
+    SELECT coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) FROM share x JOIN share y USING (lang, term)
+    WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source
+  )::BIGINT AS value FROM place a JOIN place b USING (lang) WHERE a.source <> b.source
+), term AS (
+  SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+  FROM share JOIN lang_share USING (lang, term) WHERE n > 0 AND p > q
+), part AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term)
+SELECT lang, source, part, item, value,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM part QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def source_divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_secret_scans")
+def secret_scans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", secret_scan.scan_column(F.col("text")).alias("found"))
+    return found.select(
+        "doc_id",
+        "found.n_assign",
+        "found.n_access",
+        "found.n_hex",
+        F.sha2("found.base_spans", 256).alias("base_sha256"),
+        "found.spans",
+        "found.n_random",
+        F.array_join("found.encodings", ",").alias("encodings"),
+    )
