@@ -88,7 +88,7 @@ def search(
     query_blocks = max(1, math.ceil(n_queries / query_block))
     shelves = [*known, COMMON, OTHER]
     seen = F.when(F.col("contract_type").isNull(), F.array(*[F.lit(t) for t in shelves])).otherwise(
-        F.array("contract_type", F.lit(COMMON))
+        F.array_distinct(F.array("contract_type", F.lit(COMMON)))
     )
     asked = (
         queries.select("query_id", F.col("embedding").alias("embedding"), F.explode(seen).alias("shelf"))

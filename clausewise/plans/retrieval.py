@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
-from clausewise.operators import bm25, fusion, vectors
+from clausewise.operators import bm25, fusion, vector_cells, vectors
 from clausewise.operators.expansion import clause_queries
 
 
@@ -24,16 +24,21 @@ def hybrid_search(
     types: list[str] | None = None,
     min_score: float | None = None,
     exclude_self: bool = False,
+    cells: vector_cells.CellIndex | None = None,
     **options,
 ) -> DataFrame:
     """Top-k KB rows per query: BM25 and vector pools, fused with category quotas.
 
     Vectors may be missing on either side; the other retriever then fills the pool alone.
+    With ``cells`` in place of ``kb_vectors`` a query meets the nearest cells of the KB only.
     ``min_score`` drops hits with a lower similarity (off by default).
     """
     pool = pool_size(k)
     words = bm25.search(queries, index, pool, **options)
-    if query_vectors is None or kb_vectors is None:
+    if query_vectors is not None and cells is not None:
+        typed_queries = query_vectors.join(queries.select("query_id", "contract_type"), "query_id")
+        near = vector_cells.search(typed_queries, cells, pool, exclude_self=exclude_self)
+    elif query_vectors is None or kb_vectors is None:
         near = words.select("query_id", "id", "similarity", "pos").limit(0)
     else:
         typed_queries = query_vectors.join(queries.select("query_id", "contract_type"), "query_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clausewise import fixed_values as fv
 from clausewise.functions import scoring
 from clausewise.functions import text as X
-from clausewise.operators import bm25, fusion, vectors
+from clausewise.operators import bm25, fusion, vector_cells, vectors
 from clausewise.plans import retrieval
 from queries.base import (
     KB_CTE, KB_TYPES, QUERY_CTE, benchmark_queries, kb, query, sql_map, table,
@@ -150,6 +150,31 @@ def vector_top5(spark, sf):
     return vectors.search(asked, kb(spark, sf).join(vec, "id"), 5, KB_TYPES, exclude_self=True)
 
 
+@query("h2_j7_vector_cells_complete", f"WITH {VECTOR_CTES} SELECT query_id, id, cosine, similarity, CAST(pos AS INT) AS pos FROM near WHERE pos <= 5")
+def vector_cells_complete(spark, sf):
+    """The same hits from an index of cells, completed by the bounds of the cells left out."""
+    vec = _vectors(spark, sf)
+    asked = benchmark_queries(spark, sf).join(vec.withColumnRenamed("id", "query_id"), "query_id")
+    index = vector_cells.build(kb(spark, sf).join(vec, "id"), 5, types=KB_TYPES)
+    return vector_cells.search(asked, index, 5, exact=True, exclude_self=True)
+
+
+@query("j7_vector_cells_recall", """WITH v AS (SELECT vec_id FROM embeddings)
+    SELECT count(*) FILTER (vec_id % 50 = 0) AS n_queries, 20 * count(*) FILTER (vec_id % 50 = 0) AS n_true, true AS recall_reached FROM v""")
+def vector_cells_recall(spark, sf):
+    """Search through the nearest cells only: every 50th vector against all, recall at 20 held against exact search."""
+    rows = _vectors(spark, sf).withColumn("contract_type", F.lit("common"))
+    asked = rows.filter(F.col("id").cast("long") % 50 == 0).withColumnRenamed("id", "query_id")
+    truth = vectors.search(asked, rows, POOL, KB_TYPES, exclude_self=True)
+    found = vector_cells.search(asked, vector_cells.build(rows, POOL, types=KB_TYPES), POOL, exclude_self=True)
+    both = truth.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return both.agg(
+        F.count_distinct("query_id").alias("n_queries"),
+        F.count("*").alias("n_true"),
+        (F.count("hit") >= 0.9 * F.count("*")).alias("recall_reached"),
+    )
+
+
 @query("m2_vector_relevance", """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
     SELECT vec_id, round(1 - (2 - 2 * list_inner_product(e, e)) / sqrt(2), 4) AS relevance FROM v""")
 def vector_relevance(spark, sf):
