@@ -7,14 +7,18 @@ A query of one contract type searches that type and the common rows, a query wit
 type searches everything.  Postings are stored once, on the shelf of their own type;
 statistics of an index are added up from its shelves, so common rows are never copied.
 
-* ``postings(shelf, term, id, dl)``
-* ``terms(contract_type, term, df, idf[, min_dl, kth_dl])``, one row per index and term
+* ``postings(shelf, term, step, id, dl)``; documents of one length step are a block of each list
+* ``terms(contract_type, term, df, idf)``, one row per index and term
 * ``stats(contract_type, n_docs, avgdl)``, one row per index
+* ``blocks(contract_type, term, step, n, min_dl, max_dl)``, where a search is to leave blocks out
+
+Counts by shelf, term and step, and sizes by shelf, may be added up over parts of a
+knowledge base; everything else follows from them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +46,8 @@ class Bm25Index:
     terms: DataFrame
     stats: DataFrame
     types: tuple[str, ...]
+    blocks: DataFrame | None = None
+    stored: bool = False
 
 
 def _strings(values: list[str]) -> Column:
@@ -85,64 +91,96 @@ def document_terms(kb: DataFrame, particles: list[str] | None = None, types: lis
     return tokens.withColumn("dl", F.size("tokens"))
 
 
+def step_of(length: Column) -> Column:
+    """Place of a document in the blocks of its lists: the number of length steps it exceeds."""
+    return sum(((length > s).cast("int") for s in LENGTH_STEPS[1:]), (length > LENGTH_STEPS[0]).cast("int"))
+
+
+def postings_of(docs: DataFrame) -> DataFrame:
+    """(shelf, term, step, id, dl) of ``document_terms``."""
+    return docs.select("shelf", F.explode("tokens").alias("term"), step_of(F.col("dl")).alias("step"), "id", "dl")
+
+
+def block_counts(docs: DataFrame) -> DataFrame:
+    """(shelf, term, step, n, min_dl, max_dl): counts that may be added up over parts of a shelf."""
+    return (
+        postings_of(docs)
+        .groupBy("shelf", "term", "step")
+        .agg(F.count("*").alias("n"), F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl"))
+    )
+
+
+def shelf_sizes(docs: DataFrame) -> DataFrame:
+    return docs.groupBy("shelf").agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
+
+
+def statistics(sizes: DataFrame, known: list[str], whole: bool = True) -> DataFrame:
+    """(contract_type, n_docs, avgdl) of every index from the sizes of its shelves."""
+    return (
+        sizes.select("n", "length", F.explode(indexes_of(F.col("shelf"), known, whole)).alias("contract_type"))
+        .groupBy("contract_type")
+        .agg(F.sum("n").alias("n_docs"), (F.sum("length") / F.sum("n")).alias("avgdl"))
+    )
+
+
+def index_blocks(counts: DataFrame, known: list[str], whole: bool = True) -> DataFrame:
+    """(contract_type, term, step, n, min_dl, max_dl) of every index from the counts of its shelves."""
+    return (
+        counts.withColumn("contract_type", F.explode(indexes_of(F.col("shelf"), known, whole)))
+        .groupBy("contract_type", "term", "step")
+        .agg(F.sum("n").alias("n"), F.min("min_dl").alias("min_dl"), F.max("max_dl").alias("max_dl"))
+    )
+
+
+def weigh(frequencies: DataFrame, stats: DataFrame, epsilon: float = fv.BM25_EPSILON) -> DataFrame:
+    """(contract_type, term, df, idf); a negative idf becomes ``epsilon`` times the mean of its index."""
+    n, df = F.col("n_docs"), F.col("df")
+    raw = frequencies.join(F.broadcast(stats), "contract_type").select(
+        "contract_type", "term", "df", (F.log(n - df + 0.5) - F.log(df + 0.5)).alias("raw_idf")
+    )
+    mean = raw.groupBy("contract_type").agg((F.avg("raw_idf") * epsilon).alias("floor"))
+    return raw.join(F.broadcast(mean), "contract_type").select(
+        "contract_type", "term", "df", F.when(F.col("raw_idf") < 0, F.col("floor")).otherwise(F.col("raw_idf")).alias("idf")
+    )
+
+
 def build_index(
     kb: DataFrame,
     particles: list[str] | None = None,
     types: list[str] | None = None,
     whole: bool = True,
     epsilon: float = fv.BM25_EPSILON,
-    bounds_for: int | None = None,
+    blocks: bool = False,
     materialize: bool = True,
 ) -> Bm25Index:
     """Index of ``kb(id, text, contract_type)``.
 
     Tokens are extracted once and written to the shared folder, because statistics and
     postings both read them.  ``types`` may be fewer than the supported ones.
-    ``bounds_for=k`` adds per-term length bounds that let a pruned search skip lists for
-    the best ``k``; worth it for an index that is stored.
+    ``blocks`` adds the bounds of every block of a list, by which a search leaves out
+    blocks that cannot matter; worth it for an index that is stored.
     """
     known = dims.contract_types() if types is None else types
     docs = document_terms(kb, particles, known)
     if materialize:
         docs = write_shared(docs, "document-terms")
-    shelves = docs.groupBy("shelf").agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
-    stats = (
-        shelves.select("n", "length", F.explode(indexes_of(F.col("shelf"), known, whole)).alias("contract_type"))
-        .groupBy("contract_type")
-        .agg(F.sum("n").alias("n_docs"), (F.sum("length") / F.sum("n")).alias("avgdl"))
-    )
-    postings = docs.select("shelf", F.explode("tokens").alias("term"), "id", "dl")
-    local, total = [F.count("*").alias("df")], [F.sum("df").alias("df")]
-    if bounds_for:
-        local += [F.min("dl").alias("min_dl"), F.max("dl").alias("max_dl")]
-        local += [F.count_if(F.col("dl") <= s).alias(f"_le{s}") for s in LENGTH_STEPS]
-        total += [F.min("min_dl").alias("min_dl"), F.max("max_dl").alias("max_dl")]
-        total += [F.sum(f"_le{s}").alias(f"_le{s}") for s in LENGTH_STEPS]
-    counted = (
-        postings.groupBy("shelf", "term")
-        .agg(*local)
-        .withColumn("contract_type", F.explode(indexes_of(F.col("shelf"), known, whole)))
-        .groupBy("contract_type", "term")
-        .agg(*total)
-    )
-    bounds = []
-    if bounds_for:
-        # a length that at least ``bounds_for`` documents with the term do not exceed
-        kth = F.when(F.col("df") >= bounds_for, F.col("max_dl"))
-        for s in reversed(LENGTH_STEPS):
-            kth = F.when(F.col(f"_le{s}") >= bounds_for, F.least(F.lit(s), F.col("max_dl"))).otherwise(kth)
-        bounds = [F.col("min_dl"), kth.alias("kth_dl")]
-    n, df = F.col("n_docs"), F.col("df")
-    raw = counted.join(F.broadcast(stats), "contract_type").select(
-        "contract_type", "term", "df", *bounds, (F.log(n - df + 0.5) - F.log(df + 0.5)).alias("raw_idf")
-    )
-    mean = raw.groupBy("contract_type").agg((F.avg("raw_idf") * epsilon).alias("floor"))
-    kept = ["min_dl", "kth_dl"] if bounds_for else []
-    terms = raw.join(F.broadcast(mean), "contract_type").select(
-        "contract_type", "term", "df", *kept,
-        F.when(F.col("raw_idf") < 0, F.col("floor")).otherwise(F.col("raw_idf")).alias("idf"),
-    )
-    return Bm25Index(postings, terms, stats, tuple(known))
+    stats = statistics(shelf_sizes(docs), known, whole)
+    bounds = None
+    if blocks:
+        bounds = index_blocks(block_counts(docs), known, whole)
+        if materialize:
+            bounds = write_shared(bounds, "index-blocks")
+        frequencies = bounds.groupBy("contract_type", "term").agg(F.sum("n").alias("df"))
+    else:
+        frequencies = (
+            postings_of(docs)
+            .groupBy("shelf", "term")
+            .agg(F.count("*").alias("df"))
+            .withColumn("contract_type", F.explode(indexes_of(F.col("shelf"), known, whole)))
+            .groupBy("contract_type", "term")
+            .agg(F.sum("df").alias("df"))
+        )
+    return Bm25Index(postings_of(docs), weigh(frequencies, stats, epsilon), stats, tuple(known), bounds)
 
 
 def query_terms(queries: DataFrame, particles: list[str] | None = None) -> DataFrame:
@@ -160,11 +198,12 @@ def only_terms(index: Bm25Index, asked: DataFrame) -> Bm25Index:
     if len(named) > PUSHED_TERMS:
         return index
     wanted = F.col("term").isin([r["term"] for r in named])
-    return Bm25Index(index.postings.filter(wanted), index.terms.filter(wanted), index.stats, index.types)
+    blocks = None if index.blocks is None else index.blocks.filter(wanted)
+    return replace(index, postings=index.postings.filter(wanted), terms=index.terms.filter(wanted), blocks=blocks)
 
 
 def _weights(index: Bm25Index, asked: DataFrame, small: bool) -> DataFrame:
-    """Query terms with idf and the score bounds of their posting lists."""
+    """Query terms with their idf and the statistics of their index."""
     side = F.broadcast(asked) if small else asked
     known = index.terms.join(side, ["contract_type", "term"])
     return known.join(F.broadcast(index.stats), "contract_type")
@@ -175,19 +214,25 @@ def _score(k1: float, b: float) -> Column:
 
 
 def _lists(index: Bm25Index, weighted: DataFrame, small: bool) -> DataFrame:
-    """Posting lists of the query terms; hot terms are spread over salts."""
+    """Posting lists of the query terms, or only the blocks of them that ``weighted`` names by their step.
+
+    Hot terms are spread over salts.
+    """
     shelves = shelves_of(F.col("contract_type"), list(index.types))
-    wanted = weighted.select(F.explode(shelves).alias("shelf"), "term", "query_id", "idf", "avgdl")
+    by_block = "step" in weighted.columns
+    keys = ["shelf", "term", "step"] if by_block else ["shelf", "term"]
+    wanted = weighted.select(F.explode(shelves).alias("shelf"), *keys[1:], "query_id", "idf", "avgdl")
     if small:
-        return index.postings.join(F.broadcast(wanted), ["shelf", "term"])
+        return index.postings.join(F.broadcast(wanted), keys)
     # a list is at most as long as the term's list over the whole index
+    counts = index.blocks.withColumnRenamed("n", "df") if by_block else index.terms
     hot = (
-        hot_keys(index.terms, ["contract_type", "term"], "df")
-        .select(F.explode(shelves).alias("shelf"), "term", "_salts")
-        .groupBy("shelf", "term")
+        hot_keys(counts, ["contract_type", *keys[1:]], "df")
+        .select(F.explode(shelves).alias("shelf"), *keys[1:], "_salts")
+        .groupBy(*keys)
         .agg(F.max("_salts").alias("_salts"))
     )
-    return salted_join(index.postings, wanted, ["shelf", "term"], hot, ["id"])
+    return salted_join(index.postings, wanted, keys, hot, ["id"])
 
 
 def query_postings(queries: DataFrame, index: Bm25Index, particles: list[str] | None = None) -> DataFrame:
@@ -213,84 +258,97 @@ def search(
 
     * ``broadcast``: the query terms go to every executor and the posting lists never
       move.  Chosen when the measured number of query terms is small.
-    * ``pruned``: both sides are shuffled, hot terms salted, and lists that cannot lift a
-      document into the top k are only looked up for documents that still can get there.
+    * ``pruned``: both sides are shuffled, hot terms salted.
 
-    Both are exact.  Ties are broken by id.
+    Both are exact.  With the bounds of an index built with ``blocks``, blocks that cannot
+    lift a document into the top k are only looked up for documents that still can get
+    there.  Ties are broken by id.
     """
     asked = query_terms(queries, particles)
     if strategy == "auto":
         rows = asked.limit(BROADCAST_ROWS + 1).count()
         strategy = "pruned" if rows > BROADCAST_ROWS else "broadcast"
-        if rows <= 10 * PUSHED_TERMS:
+        if index.stored and rows <= 10 * PUSHED_TERMS:
             index = only_terms(index, asked)
     small = strategy == "broadcast"
     weighted = _weights(index, asked, small)
-    if small:
-        scored = (
-            _lists(index, weighted, True)
-            .groupBy("query_id", "id")
-            .agg(F.sum(_score(k1, b)).alias("score"))
-        )
+    if index.blocks is None:
+        found = _lists(index, weighted, small)
+        scored = found.groupBy("query_id", "id").agg(F.sum(_score(k1, b)).alias("score"))
     else:
-        scored = _pruned_scores(index, weighted, k, k1, b)
+        scored = _pruned_scores(index, weighted, k, k1, b, small)
     return _rank(scored, k).withColumn("similarity", bm25_similarity(F.col("score")))
 
 
-def _pruned_scores(index: Bm25Index, weighted: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    """Exact scores of every document that can be among the best k of its query.
+def block_bounds(index: Bm25Index, weighted: DataFrame, k: int, k1: float = fv.BM25_K1, b: float = fv.BM25_B) -> DataFrame:
+    """Blocks of the lists of each query with ``optional``, and by query and step what optional blocks may add or take.
 
-    A list with ``k`` documents no longer than ``kth_dl`` alone proves a lowest score for
-    the k-th hit.  Lists whose best possible scores add up to less than that are optional:
-    a document found only there cannot qualify.  Scores from the other lists then give a
-    tighter limit, and only documents within reach are completed.
+    The shortest documents of a list prove a lowest score for the k-th hit.  All blocks of a document
+    are of one step, so the best its optional blocks can add is their sum over that step; where this
+    is less than the proven score, a document found only there cannot qualify.
     """
     slack = 1e-5  # covers rounding of scores before ranking
-    best = F.col("idf") * length_norm(F.col("min_dl"), F.col("avgdl"), k1, b)
-    proven = F.when(
-        (F.col("idf") > 0) & (F.col("df") >= k),
-        F.col("idf") * length_norm(F.col("kth_dl"), F.col("avgdl"), k1, b),
-    )
-    if "kth_dl" not in weighted.columns:  # an index without bounds: every list counts
-        weighted = weighted.withColumn("min_dl", F.lit(0)).withColumn("kth_dl", F.lit(None).cast("int"))
+    listed = weighted.join(index.blocks, ["contract_type", "term"])
+    term = Window.partitionBy("query_id", "term")
     whole = Window.partitionBy("query_id")
-    rising = whole.orderBy("upper", "term").rowsBetween(Window.unboundedPreceding, 0)
-    bounded = (
-        weighted.withColumn("upper", F.greatest(F.lit(0.0), best))
+    step = Window.partitionBy("query_id", "step")
+    rising = step.orderBy("upper", "term").rowsBetween(Window.unboundedPreceding, 0)
+    best = F.col("idf") * length_norm(F.col("min_dl"), F.col("avgdl"), k1, b)
+    reached = F.sum("n").over(term.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)) >= k
+    proven = F.when((F.col("idf") > 0) & F.col("reached"), F.col("idf") * length_norm(F.col("max_dl"), F.col("avgdl"), k1, b))
+    first = F.col("step") == F.min("step").over(term)
+    optional = F.coalesce(F.col("reach") < F.col("limit") - slack, F.lit(False))
+    return (
+        listed.withColumn("reached", reached)
+        .withColumn("upper", F.greatest(F.lit(0.0), best))
         .withColumn("lower", F.least(F.lit(0.0), best))
-        .withColumn("limit", F.max(proven).over(whole) + F.sum("lower").over(whole))
+        # the first step of a term holds its shortest documents, where a negative weight takes most
+        .withColumn("worst", F.when(first, F.col("lower")).otherwise(0.0))
+        .withColumn("limit", F.max(proven).over(whole) + F.sum("worst").over(whole))
         .withColumn("reach", F.sum("upper").over(rising))
-        .withColumn("optional", F.coalesce(F.col("reach") < F.col("limit") - slack, F.lit(False)))
-        .withColumn("gain", F.sum(F.when(F.col("optional"), F.col("upper")).otherwise(0.0)).over(whole))
-        .withColumn("loss", F.sum(F.when(F.col("optional"), F.col("lower")).otherwise(0.0)).over(whole))
+        .withColumn("optional", optional)
+        .withColumn("gain", F.sum(F.when(F.col("optional"), F.col("upper")).otherwise(0.0)).over(step))
+        .withColumn("loss", F.sum(F.when(F.col("optional"), F.col("lower")).otherwise(0.0)).over(step))
     )
-    bounded = write_shared(bounded, "query-terms")
+
+
+def _pruned_scores(index: Bm25Index, weighted: DataFrame, k: int, k1: float, b: float, small: bool) -> DataFrame:
+    """Exact scores of every document that can be among the best k of its query.
+
+    Scores from the blocks that are not optional give a tighter limit, and only documents
+    within reach of it are completed.
+    """
+    slack = 1e-5
+    bounded = write_shared(block_bounds(index, weighted, k, k1, b), "query-blocks")
     partial = (
-        _lists(index, bounded.filter(~F.col("optional")), False)
+        _lists(index, bounded.filter(~F.col("optional")), small)
         .groupBy("query_id", "id")
-        .agg(F.sum(_score(k1, b)).alias("score"), F.max("dl").alias("dl"))
+        .agg(F.sum(_score(k1, b)).alias("score"), F.max("step").alias("step"))
     )
     partial = write_shared(partial, "partial-scores")
-    per_query = bounded.groupBy("query_id").agg(F.max("gain").alias("gain"), F.max("loss").alias("loss"))
+    by_step = bounded.groupBy("query_id", "step").agg(F.max("gain").alias("gain"), F.min("loss").alias("loss"))
     kth = (
         top_n(partial, ["query_id"], [F.desc("score")], k)
         .groupBy("query_id")
         .agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        .join(per_query, "query_id")
+        .join(by_step.groupBy("query_id").agg(F.min("loss").alias("loss")), "query_id")
     )
-    within = partial.join(kth, "query_id").filter(
-        F.col("kth").isNull() | (F.col("score") + F.col("gain") >= F.col("kth") + F.col("loss") - slack)
+    within = (
+        partial.join(kth, "query_id")
+        .join(by_step.select("query_id", "step", "gain"), ["query_id", "step"])
+        .filter(F.col("kth").isNull() | (F.col("score") + F.col("gain") >= F.col("kth") + F.col("loss") - slack))
     )
-    within = write_shared(within.select("query_id", "id", "score"), "candidates")
+    within = write_shared(within.select("query_id", "step", "id", "score"), "candidates")
     shelves = shelves_of(F.col("contract_type"), list(index.types))
-    rest = bounded.filter("optional").select("query_id", F.explode(shelves).alias("shelf"), "term", "idf", "avgdl")
+    rest = bounded.filter("optional").select("query_id", "step", F.explode(shelves).alias("shelf"), "term", "idf", "avgdl")
     completed = (
-        within.join(rest, "query_id")
-        .join(index.postings, ["shelf", "term", "id"])
+        within.join(rest, ["query_id", "step"])
+        .join(index.postings, ["shelf", "term", "step", "id"])
         .select("query_id", "id", _score(k1, b).alias("score"))
     )
     return (
-        within.unionByName(completed)
+        within.select("query_id", "id", "score")
+        .unionByName(completed)
         .groupBy("query_id", "id")
         .agg(F.sum("score").alias("score"))
     )

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
-from clausewise.operators.bm25 import build_index
 from clausewise.operators.dedup import dedup_corpus
 from clausewise.operators.vectors import as_batches
-from clausewise.sources import kb_files, stores
+from clausewise.sources import index_store, kb_files, stores
 
 # order of rows with equal priority: source list, then folder and kind of statute, file, place in the
 # file, and last the contract types in the order in which the row's law lists them
@@ -78,7 +77,7 @@ def build(
     vectoriser: Callable | None = None,
     vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """Clear and rebuild ``out/kb``, ``out/index`` and, where it can, ``out/vectors``; returns the stored KB.
+    """Clear and rebuild ``out/kb`` and ``out/index``, with vectors where they can be had; returns the stored KB.
 
     Vectors come from ``vectoriser(list of texts) -> 2-d array``, run in batches on the executors, or from a table
     ``vectors(id, embedding)`` of which the rows of this KB are kept.
@@ -87,11 +86,30 @@ def build(
     kept = dedup_corpus(placed(rows), ORDER, scope=dedup_scope)
     stores.write_kb(kept.drop(*PLACES), f"{out}/kb")
     kb = spark.read.parquet(f"{out}/kb")
-    stores.write_index(build_index(kb, bounds_for=fv.POOL_MIN), f"{out}/index")
-    if vectoriser is not None:
-        made = kb.select("id", "text").mapInPandas(as_batches(vectoriser), "id string, embedding array<float>")
-        made.write.mode("overwrite").parquet(f"{out}/vectors")
-    elif vectors is not None:
-        held = vectors.select("id", "embedding").join(kb.select("id"), "id", "left_semi")
-        held.write.mode("overwrite").parquet(f"{out}/vectors")
+    index_store.create(kb, f"{out}/index", vectors=made_vectors(kb, vectoriser, vectors))
     return kb
+
+
+def made_vectors(rows: DataFrame, vectoriser: Callable | None, vectors: DataFrame | None) -> DataFrame | None:
+    """(id, embedding) of ``rows`` by the caller's vectoriser, or the caller's own."""
+    if vectoriser is None:
+        return vectors
+    return rows.select("id", "text").mapInPandas(as_batches(vectoriser), "id string, embedding array<float>")
+
+
+def upsert(
+    spark: SparkSession,
+    out: str,
+    batch: DataFrame,
+    version: str | None = None,
+    vectoriser: Callable | None = None,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
+    """Merge a batch of KB rows into ``out``: the KB, its index and its vectors follow together; returns the stored KB.
+
+    The index is written first, and again if a failed batch is repeated: neither step depends on the other's old state.
+    """
+    fresh = stores.newest(batch, version)
+    index_store.upsert(spark, f"{out}/index", batch, version, vectors=made_vectors(fresh, vectoriser, vectors))
+    stores.upsert_kb(spark, f"{out}/kb", batch, version)
+    return spark.read.parquet(f"{out}/kb")

@@ -11,27 +11,14 @@ from clausewise.operators.bm25 import COMMON, Bm25Index
 from clausewise.operators.exchange import KEYS
 from clausewise.session import write_shared
 
-POSTINGS_SCHEMA = "term string, id string, dl int, shelf string"
-TERMS_SCHEMA = "term string, df long, min_dl int, kth_dl int, idf double, contract_type string"
+POSTINGS_SCHEMA = "term string, step int, id string, dl int, shelf string"
+TERMS_SCHEMA = "term string, df long, idf double, contract_type string"
 STATS_SCHEMA = "contract_type string, n_docs long, avgdl double"
 
 
 # --- knowledge base ---------------------------------------------------------------------
 
 
-def upsert(old: DataFrame, new: DataFrame, version: str = "version") -> DataFrame:
-    """Rows of both tables, newest version per id.
-
-    Only ids of the (small) new batch are compared with the old table; old rows that are
-    not replaced pass through without being grouped.
-    """
-    kept = old.join(new.select("id"), "id", "left_anti")
-    newest = new.groupBy("id").agg(F.max(version).alias(version))
-    # equal versions inside one batch are the same content-addressed row
-    fresh = new.join(newest, ["id", version], "left_semi").dropDuplicates(["id"])
-    return kept.unionByName(fresh)
-
-
 def write_kb(kb: DataFrame, path: str) -> None:
     """Clear and rebuild."""
     kb.write.mode("overwrite").partitionBy("contract_type").parquet(path)
@@ -89,7 +76,8 @@ def write_index(index: Bm25Index, path: str) -> None:
 
     Ranges of terms go to their own files and lie sorted there: a filter on terms skips files and row groups.
     """
-    ordered = index.postings.repartitionByRange("shelf", "term", "id").sortWithinPartitions("shelf", "term", "id")
+    keys = ["shelf", "term", "step", "id"]
+    ordered = index.postings.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered.write.mode("overwrite").partitionBy("shelf").parquet(f"{path}/postings")
     terms = index.terms.repartitionByRange("contract_type", "term").sortWithinPartitions("contract_type", "term")
     terms.write.mode("overwrite").partitionBy("contract_type").parquet(f"{path}/terms")
@@ -109,7 +97,7 @@ def read_index(spark: SparkSession, path: str, only: list[str] | None = None, ty
         table = spark.read.schema(schema).parquet(f"{path}/{name}")
         wanted = only if only is None or key == "contract_type" else [*only, COMMON]
         tables.append(table if wanted is None else table.filter(F.col(key).isin(wanted)))
-    return Bm25Index(*tables, tuple(known))
+    return Bm25Index(*tables, tuple(known), stored=True)
 
 
 # --- analyses --------------------------------------------------------------------------------

@@ -14,8 +14,9 @@ from clausewise.operators.dedup import dedup_corpus, source_priority
 from clausewise.operators.skew import top_n
 from clausewise.plans import kb_build
 from clausewise.session import scratch_dir, write_shared
-from clausewise.sources import kb_files, stores
-from queries.base import KB_CTE, KB_TYPES, kb, query, sql_map, table
+from clausewise.sources import index_store, kb_files, stores
+from queries.base import KB_CTE, KB_TYPES, QUERY_CTE, benchmark_queries, kb, query, sql_map, table
+from queries.search_queries import BM25_CTES
 
 LAW_MAP = {"Brand#1": ["lease", "sales"], "Brand#2": ["service"], "Brand#3": ["loan", "lease", "employment"], "민법": ["lease", "sales", "service", "loan"]}
 RANGES = {"lease": (1, 20), "sales": (15, 30), "service": (31, 40), "loan": (41, 50)}
@@ -177,6 +178,37 @@ def indexed_types(spark, sf):
     return found.groupBy(F.col("shelf").alias("contract_type")).agg(F.count_distinct("id").alias("n"))
 
 
+CHANGED = "CASE WHEN CAST(id AS INT) % 20 = 7 THEN 'lease' ELSE contract_type END"
+_CHANGED_SQL = f"""after AS (
+  SELECT id, contract_type, text FROM kb WHERE CAST(id AS INT) % 10 <> 7 AND CAST(id AS INT) % 25 <> 3
+  UNION ALL SELECT id, {CHANGED}, text || ' ' || source || ' amended' FROM kb WHERE CAST(id AS INT) % 10 = 7
+  UNION ALL SELECT 'new-' || id, contract_type, text FROM kb WHERE CAST(id AS INT) % 50 = 1)"""
+
+
+@query("s8_s10_index_follows_upserts", f"""WITH {BM25_CTES.replace("kb AS (", "kb_before AS (", 1).replace(QUERY_CTE, _CHANGED_SQL.replace("FROM kb", "FROM kb_before") + ", kb AS (SELECT * FROM after), " + QUERY_CTE)}
+    SELECT query_id, id, score, CAST(pos AS INT) AS pos FROM bm WHERE pos <= 20""")
+def index_follows_upserts(spark, sf):
+    """A stored index after three batches: changed rows (half of them under another type), removed rows, new rows.
+
+    Its hits are those of an index built over the final rows.
+    """
+    rows = kb(spark, sf, deal=True).select("id", "contract_type", "text", "source")
+    number = F.col("id").cast("int")
+    path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    index_store.create(rows, path, KB_TYPES)
+    changed = rows.filter(number % 10 == 7).select(
+        "id", F.expr(CHANGED).alias("contract_type"), F.concat("text", F.lit(" "), "source", F.lit(" amended")).alias("text")
+    )
+    passing = changed.withColumn("text", F.lit("a text that is replaced again"))
+    index_store.upsert(spark, path, passing, types=KB_TYPES)
+    gone = rows.filter((number % 25 == 3) & (number % 10 != 7)).select("id")
+    index_store.upsert(spark, path, changed, removed=gone, types=KB_TYPES)
+    fresh = rows.filter(number % 50 == 1).withColumn("id", F.concat(F.lit("new-"), "id"))
+    index_store.upsert(spark, path, fresh, types=KB_TYPES)
+    found = bm25.search(benchmark_queries(spark, sf), index_store.read(spark, path, types=KB_TYPES), 20)
+    return found.select("query_id", "id", "score", "pos")
+
+
 @query("t9_path_order", "SELECT page_id, row_number() OVER (ORDER BY url, page_id) AS ord FROM pages")
 def path_order(spark, sf):
     """Rank in path order from range-partitioned pieces: no single task sees all rows."""

@@ -41,8 +41,8 @@ bm AS (SELECT query_id, id, score, round(least(0.92::DOUBLE, score / (score + 8)
 BM25_CTES = f"{KB_CTE}, {QUERY_CTE}, {INDEX_CTE}, {ASKED_CTE}, {SCORE_CTE}"
 
 
-def _index(spark, sf, bounds_for=None):
-    return bm25.build_index(kb(spark, sf, deal=True), types=KB_TYPES, bounds_for=bounds_for)
+def _index(spark, sf, blocks=False):
+    return bm25.build_index(kb(spark, sf, deal=True), types=KB_TYPES, blocks=blocks)
 
 
 @query(
@@ -116,7 +116,7 @@ def bm25_top5(spark, sf):
 @query("h1_bm25_pruned", f"WITH {BM25_CTES} SELECT query_id, id, score, similarity, CAST(pos AS INT) AS pos FROM bm WHERE pos <= {POOL}")
 def bm25_pruned(spark, sf):
     """The same search through the plan for query sets too large to broadcast."""
-    return bm25.search(benchmark_queries(spark, sf), _index(spark, sf, POOL), POOL, strategy="pruned")
+    return bm25.search(benchmark_queries(spark, sf), _index(spark, sf, True), POOL, strategy="pruned")
 
 
 @query("m1_p12_bm25_similarity", """WITH s AS (SELECT o_orderkey, o_totalprice / 10000 - 10 AS score FROM orders)

@@ -68,7 +68,7 @@ def corpus(spark):
     kb, asked = make_corpus()
     kb_df = spark.createDataFrame(kb, "id string, text string, contract_type string").repartition(3)
     asked_df = spark.createDataFrame(asked, "query_id string, text string, contract_type string")
-    return kb, asked, kb_df, asked_df, bm25.build_index(kb_df, types=TYPES, bounds_for=5)
+    return kb, asked, kb_df, asked_df, bm25.build_index(kb_df, types=TYPES, blocks=True)
 
 
 @pytest.mark.parametrize("strategy", ["auto", "broadcast", "pruned"])
