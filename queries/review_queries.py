@@ -13,17 +13,19 @@ from clausewise.sources import stores
 from queries.base import CLAUSES_CTE, RULED_CTE, query, quote, sql_map, table
 from queries.clause_queries import ruled, split
 
-# --- responses: two attempts per order, eight kinds of answer --------------------------------
+# --- responses: two attempts per order, ten kinds of answer --------------------------------
 
-_KIND = "(o_orderkey + attempt * 3) % 8"
+_KIND = "(o_orderkey + attempt * 3) % 10"
 _CONF = "'0.' || CAST(10 + o_custkey % 90 AS STRING)"
 _HIGH = f"""'[{{"clause_index":2,"risk_level":"high","confidence":' || {_CONF} || ',"risks":[{{"risk_type":"권리 제한","description":"d","suggestion":"s"}}],"explanation":"e"}}]'"""
 _FENCED = f"""'답변' || chr(10) || '```json' || chr(10) || '{{"clause_index":2,"risk_level":"MEDIUM","confidence":' || {_CONF} || ',}}' || chr(10) || '```'"""
 _CUT = """'[{"clause_index":2,"risk_level":"low","confidence":0.9,"risks":[{"risk_type":"x","desc'"""
 _THINK = f"""'<think>[생각]</think>{{"clause_index":2,"risk_level":"safe","confidence":' || {_CONF} || ',"risks":[],"explanation":"ok"}}'"""
+_ODD_QUOTE = f"""'관 5" 규격: {{"clause_index":2,"risk_level":"high","confidence":' || {_CONF} || ',"risks":[],"explanation":"q"}}'"""
+_ODD_BRACE = f"""'set {{a: [{{"clause_index":2,"risk_level":"low","confidence":' || {_CONF} || ',"risks":[],"explanation":"b"}}]'"""
 RESPONSES = [
     "o_orderkey AS document_id", "2 AS clause_pos", "CAST(attempt AS INT) AS attempt",
-    f"CASE {_KIND} WHEN 0 THEN {_HIGH} WHEN 1 THEN {_FENCED} WHEN 3 THEN '' WHEN 4 THEN '분석할 수 없습니다.' WHEN 5 THEN {_CUT} WHEN 6 THEN {_THINK} END AS raw_text",
+    f"CASE {_KIND} WHEN 0 THEN {_HIGH} WHEN 1 THEN {_FENCED} WHEN 3 THEN '' WHEN 4 THEN '분석할 수 없습니다.' WHEN 5 THEN {_CUT} WHEN 6 THEN {_THINK} WHEN 8 THEN {_ODD_QUOTE} WHEN 9 THEN {_ODD_BRACE} END AS raw_text",
     f"CASE {_KIND} WHEN 2 THEN 'timeout' WHEN 7 THEN 'llm_error' ELSE 'ok' END AS status",
 ]
 
@@ -36,9 +38,9 @@ def responses(spark, sf):
 _PARSED_CTE = f"""tries AS (SELECT o_orderkey AS document_id, attempt, {_KIND} AS kind, CAST({_CONF} AS DOUBLE) AS conf
     FROM orders, (SELECT unnest([0, 1]) AS attempt)),
 parsed AS (SELECT *, CASE kind WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'timeout' WHEN 3 THEN 'empty' WHEN 4 THEN 'parse_failed' WHEN 7 THEN 'llm_error' ELSE 'ok' END AS outcome,
-  CASE kind WHEN 0 THEN 'high' WHEN 1 THEN 'MEDIUM' WHEN 5 THEN 'low' WHEN 6 THEN 'safe' END AS risk_level,
-  CASE kind WHEN 0 THEN conf WHEN 1 THEN conf WHEN 5 THEN 0.7::DOUBLE WHEN 6 THEN conf END AS confidence,
-  CASE kind WHEN 0 THEN 'e' WHEN 1 THEN '' WHEN 5 THEN {quote(fv.HEAD_ONLY_EXPLANATION)} WHEN 6 THEN 'ok' END AS explanation FROM tries)"""
+  CASE kind WHEN 0 THEN 'high' WHEN 1 THEN 'MEDIUM' WHEN 5 THEN 'low' WHEN 6 THEN 'safe' WHEN 8 THEN 'high' WHEN 9 THEN 'low' END AS risk_level,
+  CASE kind WHEN 0 THEN conf WHEN 1 THEN conf WHEN 5 THEN 0.7::DOUBLE WHEN 6 THEN conf WHEN 8 THEN conf WHEN 9 THEN conf END AS confidence,
+  CASE kind WHEN 0 THEN 'e' WHEN 1 THEN '' WHEN 5 THEN {quote(fv.HEAD_ONLY_EXPLANATION)} WHEN 6 THEN 'ok' WHEN 8 THEN 'q' WHEN 9 THEN 'b' END AS explanation FROM tries)"""
 _BEST_CTE = """best AS (SELECT a.document_id, CASE WHEN a.outcome = 'ok' THEN 0 WHEN b.outcome = 'ok' THEN 1 END AS used, b.outcome AS last_outcome,
   CASE WHEN a.outcome = 'ok' OR b.outcome = 'ok' THEN 'ok' ELSE b.outcome END AS analysis_status,
   CASE WHEN b.outcome = 'parse_failed' OR a.outcome = 'parse_failed' THEN '분석할 수 없습니다.' END AS last_text,

@@ -138,6 +138,13 @@ def test_empty_evaluation(spark):
         ('[{"confidence":0.2}]', [None], 0.2),
         ("{}", [None], None),
         ("", None, None),
+        # quotes and brackets of the prose mean nothing
+        ('a 5" pipe: {"clause_index":1,"risk_level":"high","confidence":0.9,"risks":[]}', ["high"], 0.9),
+        ('set {a: [{"clause_index":1,"risk_level":"low","confidence":0.9,"risks":[]}]', ["low"], 0.9),
+        ('{ [ " \' } ] 5" {"clause_index":1,"risk_level":"low","confidence":0.8} and " more', ["low"], 0.8),
+        # an object that is never closed does not hide the complete ones behind it
+        ('{"note": "see", [{"clause_index":2,"risk_level":"low","confidence":0.6,"risks":[{"risk_type":"a"}]}', ["low"], 0.6),
+        ('{"clause_index":3,"risk_level":"low","confidence":0.6,"explanation":"a {\\"b\\": 1} } c"}', ["low"], 0.6),
     ],
 )
 def test_objects_are_found_and_mended(spark, text, levels, confidence):
@@ -145,3 +152,17 @@ def test_objects_are_found_and_mended(spark, text, levels, confidence):
     assert (None if found is None else [v.risk_level for v in found]) == levels
     if found:
         assert found[0].confidence == confidence
+
+
+def test_long_answers_are_read_in_linear_time(spark):
+    import time
+
+    item = '{"clause_index":%d,"risk_level":"low","confidence":0.5,"risks":[{"risk_type":"a","description":"' + "w " * 40 + '"}],"explanation":"e"},'
+    took = []
+    for n in (250, 4000):
+        text = "5\" {x [" + "".join(item % i for i in range(n)) + "]"
+        rows = spark.createDataFrame([(text,)], "t string").select(F.size(R.parse_verdicts(F.col("t"))).alias("n"))
+        start = time.time()
+        assert rows.first()["n"] == n
+        took.append(time.time() - start)
+    assert took[1] < 60  # 16 times the objects, about 800 kB
