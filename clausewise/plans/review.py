@@ -84,9 +84,8 @@ def prepare(
     return Prepared(detected, ruled, hits, exchange.model_requests(open_clauses, references))
 
 
-def verdicts(ruled: DataFrame, responses: DataFrame) -> DataFrame:
-    """Rule verdicts and folded model verdicts of all clauses."""
-    best = exchange.best_attempts(exchange.parse_responses(responses))
+def verdicts(ruled: DataFrame, best: DataFrame) -> DataFrame:
+    """Rule verdicts and folded model verdicts of all clauses from the ``best_attempts`` of the model."""
     return exchange.all_verdicts(
         rules.rule_verdicts(ruled), exchange.fold_responses(rules.unresolved(ruled), best)
     )
@@ -100,10 +99,12 @@ def finish(
     quarantine_path: str | None = None,
 ) -> DataFrame:
     """Clause analyses of every contract; answers that could not be read are appended to ``quarantine_path``."""
+    best = exchange.best_attempts(exchange.parse_responses(responses))
     if quarantine_path is not None:
-        stores.write_quarantine(exchange.quarantine(exchange.best_attempts(exchange.parse_responses(responses))), quarantine_path)
+        best = write_shared(best, "best-attempts")  # answers are read once for both uses
+        stores.write_quarantine(exchange.quarantine(best), quarantine_path)
     base = prepared.ruled.select(*exchange.KEYS, "clause_index", "title", "content", "contract_type")
-    out = analysis.attach_verdicts(base, verdicts(prepared.ruled, responses))
+    out = analysis.attach_verdicts(base, verdicts(prepared.ruled, best))
     out = analysis.normalize_risk_types(out)
     if prepared.hits is not None:
         out = analysis.attach_references(out, analysis.reference_details(prepared.hits))

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clausewise import fixed_values as fv
+from clausewise.operators import exchange, rules
 from clausewise.plans import review
+from clausewise.plans.retrieval import clause_retrieval
+from clausewise.session import write_shared
 from clausewise.sources import contracts as door
-from clausewise.sources import stores
+from clausewise.sources import index_store, stores
 
 EDIT_SCHEMA = "document_id string, clause_pos int, text string, edited_at timestamp"
 
@@ -30,6 +35,49 @@ def start_review(contracts: DataFrame, out: str, checkpoint: str, once: bool = F
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _put(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write the rows of one batch; the same batch again replaces them."""
+    (
+        rows.withColumn("batch_id", F.lit(batch_id))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id")
+        .parquet(path)
+    )
+
+
+def start_retrieval(
+    contracts: DataFrame,
+    kb_path: str,
+    index_path: str,
+    out: str,
+    checkpoint: str,
+    k: int = fv.TOP_K,
+    types: list[str] | None = None,
+    once: bool = False,
+    **options,
+):
+    """Review and search arriving contracts: ``out/clauses`` with rule verdicts, ``out/hits`` of the clauses left open.
+
+    Each batch meets the stored KB and its index as they are when it runs, so upserts between batches count; the terms
+    of a small batch are named in the scan of the postings. A batch that is replayed after a failure overwrites its
+    own partitions.
+    """
+
+    def search(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ruled = write_shared(review_stream(batch), "stream-clauses")
+        _put(ruled, f"{out}/clauses", batch_id)
+        index = index_store.read(spark, index_path, types=types)
+        hits = clause_retrieval(
+            rules.unresolved(ruled), exchange.KEYS, spark.read.parquet(kb_path), index, k, types=types, **options
+        )
+        _put(hits, f"{out}/hits", batch_id)
+
+    writer = contracts.writeStream.foreachBatch(search).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def edit_stream(spark: SparkSession, path: str, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.format(fmt).schema(EDIT_SCHEMA)
     if files_per_batch:

@@ -12,10 +12,11 @@ from clausewise.operators import exchange, expansion, rules
 from clausewise.plans import retrieval
 from clausewise.session import write_shared
 from queries.base import (
-    CLAUSES_CTE, CONTRACT_TYPE, HIGH_REASON_SQL, HIGH_TYPE_SQL, KB_TYPES, RULED_CTE, SAFE_SQL, VETO_SQL,
+    CLAUSES_CTE, CONTRACT_TYPE, HIGH_REASON_SQL, HIGH_TYPE_SQL, KB_TYPES, QUERY_CTE, RULED_CTE, SAFE_SQL, VETO_SQL,
     BODY_SQL, contracts, kb, query, quote, sql_map, table,
 )
 from clausewise.operators import bm25
+from queries.search_queries import SELECTED_CTES
 
 
 def split(spark, sf):
@@ -148,21 +149,41 @@ def clause_queries(spark, sf):
     return expansion.clause_queries(split(spark, sf), exchange.KEYS).drop("contract_type")
 
 
-@query("h5_w15_so4_clause_hits")
-def clause_hits(spark, sf):
-    """Hybrid search of every document line of the benchmark, items merged first-seen.
+# every sentence of a benchmark text is an item of a clause; item vectors are borrowed from the table
+_VECTOR_OF = "(document_id * 5 + item_pos) % 200"
+_ITEMS_CTE = """c AS (SELECT item_id AS document_id, CASE item_id % 4 WHEN 0 THEN 'lease' WHEN 1 THEN 'sales' WHEN 2 THEN 'employment' END AS contract_type,
+    '① ' || replace(text, '. ', '. ② ') AS content FROM benchmark),
+cut AS (SELECT *, list_filter(list_transform(regexp_split_to_array(content, '[①②]'), lambda p: trim(p, e' \\t\\n\\r')), lambda p: p <> '') AS parts FROM c),
+items AS (SELECT document_id, contract_type, CASE WHEN contains(content, '②') AND len(parts) >= 2 THEN parts ELSE [content] END AS ts FROM cut),
+q AS (SELECT document_id, item_pos, document_id || '/1/' || item_pos AS query_id, ts[item_pos + 1] AS text, contract_type
+  FROM (SELECT *, unnest(range(0, len(ts))) AS item_pos FROM items))"""
+_ITEM_HITS = (
+    SELECTED_CTES.replace(QUERY_CTE, _ITEMS_CTE)
+    .replace("near0 AS (", f"qvec AS (SELECT query_id AS id, e FROM q JOIN vec ON vec.id = CAST({_VECTOR_OF} AS VARCHAR)),\nnear0 AS (", 1)
+    .replace("JOIN vec qv", "JOIN qvec qv")
+)
+
 
-    The benchmark texts are the clauses; each line is an item.
-    """
-    items = table(spark, sf, "benchmark").selectExpr(
+@query("h5_w15_so4_clause_hits", f"""WITH {_ITEM_HITS},
+    first AS (SELECT document_id, item_pos, f.* FROM final f JOIN q USING (query_id) WHERE pos <= 5
+      QUALIFY row_number() OVER (PARTITION BY document_id, id ORDER BY item_pos, pos) = 1)
+    SELECT document_id, CAST(1 AS INT) AS clause_pos, id, CAST(item_pos AS INT) AS item_pos, CAST(pos AS INT) AS pos, category, similarity, rrf_score,
+      CAST(row_number() OVER (PARTITION BY document_id ORDER BY item_pos, pos) AS INT) AS merged_pos FROM first""")
+def clause_hits(spark, sf):
+    """Hybrid search of the benchmark texts as clauses, their sentences as items, hits merged first-seen."""
+    clauses = table(spark, sf, "benchmark").selectExpr(
         "item_id AS document_id", "1 AS clause_pos",
         "CASE item_id % 4 WHEN 0 THEN 'lease' WHEN 1 THEN 'sales' WHEN 2 THEN 'employment' END AS contract_type",
         "'' AS title",
         "concat('① ', regexp_replace(text, '\\\\. ', '. ② ')) AS content",
     )
-    base = kb(spark, sf)
+    vec = table(spark, sf, "embeddings").selectExpr("CAST(vec_id AS STRING) AS id", "embedding")
+    asked = retrieval.item_queries(clauses, exchange.KEYS).selectExpr("query_id", f"CAST({_VECTOR_OF} AS STRING) AS id")
     index = bm25.build_index(kb(spark, sf, deal=True), types=KB_TYPES)
-    return retrieval.clause_retrieval(items, exchange.KEYS, base, index)
+    hits = retrieval.clause_retrieval(
+        clauses, exchange.KEYS, kb(spark, sf), index, item_vectors=asked.join(vec, "id").select("query_id", "embedding"), kb_vectors=vec, types=KB_TYPES
+    )
+    return hits.select(*exchange.KEYS, "id", "item_pos", "pos", "category", "similarity", "rrf_score", "merged_pos")
 
 
 _PARTY = ("CASE contract_type WHEN 'lease' THEN '임대인' WHEN 'service' THEN '발주자' ELSE '차주' END",

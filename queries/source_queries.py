@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from clausewise import fixed_values as fv
 from clausewise.functions import markdown as M
 from clausewise.session import scratch_dir
-from clausewise.sources import kb_files, stores
+from clausewise.sources import index_store, kb_files, stores
 from clausewise.streaming import flows
-from queries.base import CLAUSES_CTE, contracts, query, table
+from queries.base import CLAUSES_CTE, KB_TYPES, QUERY_CTE, RULED_CTE, contracts, kb, query, table
+from queries.search_queries import SELECTED_CTES
 
 _TRIM = r"trim(text, e' \t\n\r')"
 _FILE = "CASE doc_id % 3 WHEN 0 THEN '임대차_' WHEN 1 THEN '매매계약_' ELSE '기타_' END || CAST(doc_id AS STRING) || '.json'"
@@ -114,7 +115,7 @@ def _place(spark, label):
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-@query("st1_review_stream", f"WITH {CLAUSES_CTE} SELECT CAST(document_id AS VARCHAR) AS document_id, clause_pos, clause_index, title, content FROM clauses")
+@query("st1_review_stream", f"WITH {CLAUSES_CTE}, {RULED_CTE} SELECT CAST(document_id AS VARCHAR) AS document_id, clause_pos, clause_index, title, content, safe_reason, high_reason, high_risk_type, verdict_source FROM verdicts")
 def review_stream(spark, sf):
     """Contracts that arrive as files, split and judged by the stream until all are read."""
     place = _place(spark, "st1")
@@ -123,7 +124,35 @@ def review_stream(spark, sf):
     )
     arriving.write.parquet(f"{place}/in")
     flows.start_review(flows.contract_stream(spark, f"{place}/in"), f"{place}/out", f"{place}/state", once=True).awaitTermination()
-    return spark.read.parquet(f"{place}/out").select("document_id", "clause_pos", "clause_index", "title", "content")
+    return spark.read.parquet(f"{place}/out").select(
+        "document_id", "clause_pos", "clause_index", "title", "content", "safe_reason", "high_reason", "high_risk_type", "verdict_source"
+    )
+
+
+_LEASES = "(SELECT item_id, text, CASE WHEN item_id % 2 = 0 THEN 'lease' ELSE 'none' END AS contract_type FROM benchmark WHERE item_id % 2 = 0)"
+_STREAM_HITS = SELECTED_CTES.replace(
+    QUERY_CTE, f"q AS (SELECT CAST(item_id AS STRING) AS query_id, text, contract_type FROM {_LEASES})"
+).replace("FROM near0)", "FROM near0 WHERE false)")
+
+
+@query("st1_retrieval_stream", f"""WITH {_STREAM_HITS} SELECT query_id AS document_id, id, category, rrf_score, CAST(pos AS INT) AS pos, 'model' AS verdict_source
+    FROM final WHERE pos <= 5""")
+def retrieval_stream(spark, sf):
+    """Leases whose only clause is a benchmark text, arriving in two batches, searched in a stored index as they come."""
+    place = _place(spark, "st1-hits")
+    rows = kb(spark, sf, deal=True)
+    stores.write_kb(rows, f"{place}/kb")
+    index_store.create(rows, f"{place}/index", KB_TYPES)
+    head = "'주택 임대차 계약서' || chr(10) || '임대인(갑)과 임차인(을)은 아래와 같이 임대차 계약한다.' || chr(10) || '제1조 (목적)' || chr(10)"
+    arriving = table(spark, sf, "benchmark").filter("item_id % 2 = 0").selectExpr(
+        "CAST(item_id AS STRING) AS document_id", "'a.pdf' AS filename", f"{head} || text AS text"
+    )
+    arriving.repartition(2, "document_id").write.parquet(f"{place}/in")
+    stream = flows.contract_stream(spark, f"{place}/in", files_per_batch=1)
+    flows.start_retrieval(stream, f"{place}/kb", f"{place}/index", f"{place}/out", f"{place}/state", types=KB_TYPES, once=True).awaitTermination()
+    clauses = spark.read.parquet(f"{place}/out/clauses").select("document_id", "clause_pos", "verdict_source")
+    hits = spark.read.parquet(f"{place}/out/hits").join(clauses, ["document_id", "clause_pos"])
+    return hits.select("document_id", "id", "category", "rrf_score", F.col("merged_pos").alias("pos"), "verdict_source")
 
 
 @query("st2_override_stream", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS document_id, CAST(floor(value) AS INT) % 5 AS clause_pos, event_type, ts FROM events),
@@ -157,11 +186,14 @@ def stored_analyses(spark, sf):
     return stores.read_analyses(spark, place).select("document_id", "run", "verdict")
 
 
-@query("s15_report", "SELECT quality, count(*) AS n FROM labels GROUP BY 1")
+@query("s15_report", "SELECT 'metrics' AS part, quality, NULL::BIGINT AS doc_id, count(*) AS n FROM labels GROUP BY quality UNION ALL SELECT 'details', quality, doc_id, 1 FROM labels")
 def report(spark, sf):
     """Metrics and details written as JSON and read again."""
     place = _place(spark, "report")
     details = table(spark, sf, "labels")
     stores.write_report(details.groupBy("quality").agg(F.count("*").alias("n")), details, place)
-    schema = "quality int, n long"
-    return spark.read.schema(schema).json(f"{place}/metrics")
+    metrics = spark.read.schema("quality int, n long").json(f"{place}/metrics")
+    told = spark.read.schema("doc_id long, quality int").json(f"{place}/details")
+    return metrics.select(F.lit("metrics").alias("part"), "quality", F.lit(None).cast("long").alias("doc_id"), "n").unionByName(
+        told.select(F.lit("details").alias("part"), "quality", "doc_id", F.lit(1).cast("long").alias("n"))
+    )
