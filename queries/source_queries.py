@@ -11,8 +11,9 @@ from clausewise.functions import markdown as M
 from clausewise.session import scratch_dir
 from clausewise.sources import index_store, kb_files, stores
 from clausewise.streaming import flows
-from queries.base import CLAUSES_CTE, KB_TYPES, QUERY_CTE, RULED_CTE, contracts, kb, query, table
+from queries.base import CLAUSES_CTE, CONTRACTS_CTE, KB_TYPES, QUERY_CTE, RULED_CTE, contracts, kb, query, table
 from queries.search_queries import SELECTED_CTES
+from queries.text_queries import best_label_sql
 
 _TRIM = r"trim(text, e' \t\n\r')"
 _FILE = "CASE doc_id % 3 WHEN 0 THEN '임대차_' WHEN 1 THEN '매매계약_' ELSE '기타_' END || CAST(doc_id AS STRING) || '.json'"
@@ -115,7 +116,14 @@ def _place(spark, label):
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-@query("st1_review_stream", f"WITH {CLAUSES_CTE}, {RULED_CTE} SELECT CAST(document_id AS VARCHAR) AS document_id, clause_pos, clause_index, title, content, safe_reason, high_reason, high_risk_type, verdict_source FROM verdicts")
+# the stream goes by the type it detects
+_DETECTED_CTE = f"""types AS (SELECT document_id, {best_label_sql('text', fv.CONTRACT_TYPE_KEYWORDS)} AS contract_type FROM contracts),
+{CLAUSES_CTE.replace("clauses AS (", "written AS (", 1)},
+clauses AS (SELECT w.* EXCLUDE (contract_type), t.contract_type FROM written w JOIN types t USING (document_id))"""
+
+
+@query("st1_review_stream", f"""WITH {CONTRACTS_CTE}, {_DETECTED_CTE}, {RULED_CTE}
+    SELECT CAST(document_id AS VARCHAR) AS document_id, clause_pos, clause_index, title, content, safe_reason, high_reason, high_risk_type, verdict_source FROM verdicts""")
 def review_stream(spark, sf):
     """Contracts that arrive as files, split and judged by the stream until all are read."""
     place = _place(spark, "st1")

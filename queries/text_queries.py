@@ -29,7 +29,7 @@ def _score(column: str, words: list[str]) -> str:
     return "(" + " + ".join(_count(column, w) for w in words) + ")"
 
 
-def _best(column: str, keywords: dict[str, list[str]], minimum: int = 0) -> str:
+def best_label_sql(column: str, keywords: dict[str, list[str]], minimum: int = 0) -> str:
     """First declared label among the highest scores."""
     scores = [f"({_score(column, words)} * 1000 - {i})" for i, words in enumerate(keywords.values())]
     top = f"greatest({', '.join(scores)})"
@@ -175,17 +175,17 @@ def keyword_scores(spark, sf):
     return K.scores_table(table(spark, sf, "documents"), "doc_id", "text", LATIN_KEYWORDS)
 
 
-@query("a2_contract_type", f"WITH {CONTRACTS_CTE} SELECT document_id, {_best('text', fv.CONTRACT_TYPE_KEYWORDS)} AS contract_type FROM contracts")
+@query("a2_contract_type", f"WITH {CONTRACTS_CTE} SELECT document_id, {best_label_sql('text', fv.CONTRACT_TYPE_KEYWORDS)} AS contract_type FROM contracts")
 def contract_type(spark, sf):
     return contracts(spark, sf).select("document_id", K.contract_type(F.col("text")).alias("contract_type"))
 
 
-@query("a2_j5_document_label", f"SELECT doc_id, {_best('text', LATIN_KEYWORDS)} AS label FROM documents")
+@query("a2_j5_document_label", f"SELECT doc_id, {best_label_sql('text', LATIN_KEYWORDS)} AS label FROM documents")
 def document_label(spark, sf):
     return table(spark, sf, "documents").select("doc_id", K.best_label(F.col("text"), LATIN_KEYWORDS).alias("label"))
 
 
-@query("a3_precedent_type", f"WITH {CONTRACTS_CTE} SELECT document_id, {_best('text', fv.PRECEDENT_KEYWORDS, 2)} AS contract_type FROM contracts")
+@query("a3_precedent_type", f"WITH {CONTRACTS_CTE} SELECT document_id, {best_label_sql('text', fv.PRECEDENT_KEYWORDS, 2)} AS contract_type FROM contracts")
 def precedent_type(spark, sf):
     return contracts(spark, sf).select("document_id", K.precedent_type(F.col("text")).alias("contract_type"))
 
