@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from urllib.parse import quote
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clausewise import dims
@@ -13,6 +16,8 @@ from clausewise.session import write_shared
 
 POSTINGS_SCHEMA = "term string, step int, id string, dl int, shelf string"
 TERMS_SCHEMA = "term string, df long, idf double, contract_type string"
+# folders of a run, by the hash of the document id
+SHARDS = 64
 STATS_SCHEMA = "contract_type string, n_docs long, avgdl double"
 
 
@@ -103,18 +108,26 @@ def read_index(spark: SparkSession, path: str, only: list[str] | None = None, ty
 # --- analyses --------------------------------------------------------------------------------
 
 
-def write_analyses(results: DataFrame, path: str, run: str, fmt: str = "parquet") -> None:
+def shard_of(document_id: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(document_id.cast("string")), F.lit(shards)).cast("int")
+
+
+def write_analyses(results: DataFrame, path: str, run: str, fmt: str = "parquet", shards: int = SHARDS) -> None:
     """Store the analyses of one run beside those of all others; the same run again replaces itself.
 
-    ``run`` is a key of the caller that sorts by age (a timestamp, say).
+    ``run`` is a key of the caller that sorts by age (a timestamp, say). Documents lie in ``shards`` folders by the
+    hash of their id and in id order inside, so one of them is found in one folder of each run; keep the number of
+    shards for the life of the store.
     """
+    placed = results.withColumn("shard", shard_of(F.col("document_id"), shards))
     (
-        results.withColumn("run", F.lit(run))
+        placed.repartitionByRange("shard", "document_id")
+        .sortWithinPartitions("shard", "document_id")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run")
+        .option("parquet.bloom.filter.enabled#document_id", "true")
+        .partitionBy("shard")
         .format(fmt)
-        .save(path)
+        .save(f"{path}/run={quote(run, safe='')}")
     )
 
 
@@ -122,7 +135,16 @@ def read_analyses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     """Every document's analysis of the latest run that has one."""
     stored = spark.read.format(fmt).load(path).withColumn("run", F.col("run").cast("string"))
     last = stored.groupBy("document_id").agg(F.max("run").alias("run"))
-    return stored.join(last, ["document_id", "run"], "left_semi")
+    return stored.drop("shard").join(last, ["document_id", "run"], "left_semi")
+
+
+def lookup_analyses(spark: SparkSession, path: str, document_ids: list, fmt: str = "parquet", shards: int = SHARDS) -> DataFrame:
+    """The latest analyses of a few documents: only their shards are listed and read, in any number of runs."""
+    stored = spark.read.format(fmt).load(path).withColumn("run", F.col("run").cast("string"))
+    asked = [F.lit(d) for d in document_ids]
+    found = stored.filter(F.col("shard").isin([shard_of(d, shards) for d in asked]) & F.col("document_id").isin(asked))
+    newest_run = F.max("run").over(Window.partitionBy("document_id"))
+    return found.withColumn("_last", newest_run).filter(F.col("run") == F.col("_last")).drop("_last", "shard")
 
 
 def find_analysis(results: DataFrame, analysis_id, id_col: str = "document_id") -> DataFrame:
@@ -148,9 +170,42 @@ def latest_batch(edits: DataFrame) -> DataFrame:
     return last.select(*KEYS, "last.text", "last.edited_at")
 
 
+def _folded(path: str) -> str:
+    return f"{path.rstrip('/')}-folded"
+
+
+def _edits(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The folded edits, if any, with the batches since, and the last batch that is folded (-1: none)."""
+    log = spark.read.parquet(path)
+    try:
+        folded = spark.read.parquet(_folded(path))
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return log, -1
+    upto = folded.agg(F.max("upto")).first()[0]
+    return folded.filter(F.col("upto") == upto).drop("upto").unionByName(log.filter(F.col("batch_id") > upto)), upto
+
+
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """Current overrides folded from the edit log."""
-    return latest_overrides(spark.read.parquet(path), tie="batch_id")
+    """Current overrides: the folded state with the batches written since, so a read grows with clauses, not with edits."""
+    return latest_overrides(_edits(spark, path)[0], tie="batch_id")
+
+
+def fold_overrides(spark: SparkSession, path: str) -> int:
+    """Write the last edit of each clause, blank ones included, as one table; returns the last batch it covers.
+
+    The log stays as it is, and the fold of a batch that was folded before gives the same table again. A folded batch
+    that is replayed is not read any more; a late edit of a new batch still loses to a later one.
+    """
+    edits, upto = _edits(spark, path)
+    last_batch = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    if last_batch is None or last_batch <= upto:
+        return upto
+    last = edits.groupBy(*KEYS).agg(F.max(F.struct("edited_at", "batch_id", "text")).alias("last"))
+    kept = last.select(*KEYS, "last.text", "last.edited_at", "last.batch_id")
+    kept.write.mode("overwrite").parquet(f"{_folded(path)}/upto={last_batch}")
+    return last_batch
 
 
 def write_report(metrics: DataFrame, details: DataFrame, path: str) -> None:

@@ -85,13 +85,18 @@ def edit_stream(spark: SparkSession, path: str, fmt: str = "json", files_per_bat
     return reader.load(path)
 
 
-def start_overrides(edits: DataFrame, log: str, checkpoint: str, once: bool = False):
+def start_overrides(edits: DataFrame, log: str, checkpoint: str, once: bool = False, fold_every: int = 0):
     """Append edits to the override log, one partition per batch.
 
     A batch that is replayed after a failure overwrites its own partition, so the log ends
-    up the same; readers fold it with last-write-wins.
+    up the same; readers fold it with last-write-wins.  ``fold_every`` batches the edits so
+    far are folded to one row for each clause, from which readers start.
     """
-    writer = edits.writeStream.foreachBatch(
-        lambda batch, batch_id: stores.append_overrides(batch, log, batch_id)
-    ).option("checkpointLocation", checkpoint)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        stores.append_overrides(batch, log, batch_id)
+        if fold_every and (batch_id + 1) % fold_every == 0:
+            stores.fold_overrides(batch.sparkSession, log)
+
+    writer = edits.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -176,7 +176,7 @@ def override_stream(spark, sf):
     )
     edits.repartition(4, "document_id").write.parquet(f"{place}/in")
     stream = flows.edit_stream(spark, f"{place}/in", "parquet", files_per_batch=1)
-    flows.start_overrides(stream, f"{place}/log", f"{place}/state", once=True).awaitTermination()
+    flows.start_overrides(stream, f"{place}/log", f"{place}/state", once=True, fold_every=3).awaitTermination()
     return stores.read_overrides(spark, f"{place}/log")
 
 
@@ -194,6 +194,20 @@ def stored_analyses(spark, sf):
     return stores.read_analyses(spark, place).select("document_id", "run", "verdict")
 
 
+@query("s12_stored_lookup", """SELECT o_orderkey AS document_id, 'second' AS verdict FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey % 1000 = 1
+    UNION ALL SELECT o_orderkey, 'first' FROM orders WHERE o_custkey % 3 <> 0 AND o_orderkey % 1000 = 1""")
+def stored_lookup(spark, sf):
+    """Some documents looked up in a store of two runs: their shards alone are read, and the later run counts."""
+    place = _place(spark, "lookup")
+    orders = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "document_id")
+    stores.write_analyses(orders.select("document_id", F.lit("first").alias("verdict")), place, "2024-01-01", shards=16)
+    second = orders.filter("o_custkey % 3 = 0").select("document_id", F.lit("second").alias("verdict"))
+    stores.write_analyses(second, place, "2024-02-01T10:00", shards=16)
+    # a few hundred ids at most
+    ids = [r[0] for r in orders.filter("document_id % 1000 = 1").select("document_id").collect()]
+    return stores.lookup_analyses(spark, place, ids, shards=16).select("document_id", "verdict")
+
+
 @query("s15_report", "SELECT 'metrics' AS part, quality, NULL::BIGINT AS doc_id, count(*) AS n FROM labels GROUP BY quality UNION ALL SELECT 'details', quality, doc_id, 1 FROM labels")
 def report(spark, sf):
     """Metrics and details written as JSON and read again."""

@@ -308,6 +308,55 @@ def test_override_stream(spark, tmp_path):
     assert again == got
 
 
+def test_folded_overrides_equal_the_log(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def append(batch, rows):
+        edits = spark.createDataFrame(rows, "document_id string, clause_pos int, text string, edited_at string")
+        stores.append_overrides(edits.withColumn("edited_at", F.col("edited_at").cast("timestamp")), log, batch)
+
+    def current():
+        return sorted((r.clause_pos, r.user_override, r.user_override_at) for r in stores.read_overrides(spark, log).collect())
+
+    append(0, [("d", 1, "a", "2024-01-01"), ("d", 2, "b", "2024-01-02"), ("d", 3, " ", "2024-01-05")])
+    append(1, [("d", 1, "c", "2024-01-03"), ("d", 4, "e", "2024-01-01")])
+    want = current()
+    assert stores.fold_overrides(spark, log) == 1 and current() == want
+    assert stores.fold_overrides(spark, log) == 1 and current() == want
+    # a replay of a folded batch changes nothing; late edits lose, later and equally late ones win
+    append(1, [("d", 1, "c", "2024-01-03"), ("d", 4, "e", "2024-01-01")])
+    append(2, [("d", 1, "late", "2024-01-02"), ("d", 2, "tie", "2024-01-02"), ("d", 3, "back", "2024-01-06")])
+    assert [(p, t) for p, t, _ in current()] == [(1, "c"), (2, "tie"), (3, "back"), (4, "e")]
+    want = current()
+    assert stores.fold_overrides(spark, log) == 2 and current() == want
+    # what is read is one row for each clause
+    assert stores._edits(spark, log)[0].count() == 4
+
+
+def test_lookup_reads_one_shard_of_each_run(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("document_id"), F.col("id").alias("n"))
+    for run, kept in (("2024-01-01T10:00", rows), ("2024-02-01T10:00", rows.filter("n % 2 = 0"))):
+        stores.write_analyses(kept, path, run, shards=16)
+    found = stores.lookup_analyses(spark, path, ["d7", "d8", "nobody"], shards=16)
+    assert sorted((r.document_id, r.run) for r in found.collect()) == [("d7", "2024-01-01T10:00"), ("d8", "2024-02-01T10:00")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        read = []
+        for part in (stores.lookup_analyses(spark, path, ["d8"], shards=16), stores.read_analyses(spark, path)):
+            part.collect()
+            plan = part._jdf.queryExecution().executedPlan()
+            read.append(plan.collectLeaves().apply(0).metrics().apply("numFiles").value())
+            if len(read) == 1:
+                assert re.search(r"PushedFilters: \[[^\]]*(EqualTo\(document_id,d8|In\(document_id)", plan.toString())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert read[0] <= 4 and read[1] >= 32  # one shard of each of two runs
+    # the same run again with fewer documents replaces itself in every shard
+    stores.write_analyses(rows.filter("n < 5"), path, "2024-02-01T10:00", shards=16)
+    assert stores.lookup_analyses(spark, path, ["d8"], shards=16).first().run == "2024-01-01T10:00"
+
+
 def test_vectoriser_hook(spark):
     from clausewise.operators.vectors import as_batches
 
