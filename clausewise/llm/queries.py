@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_quality_rules")
 def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     told, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return told.select("doc_id", *quality_rules.BASE, "base_failed", "rule", "kept")
+    return told.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
 
 
 @query("op2_token_counts")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clausewise.llm.common import staged
 from clausewise.llm.tokenizer import VOCABULARY, token_count
 
 # lengths of one block of the histogram are summed together; blocks are then summed among themselves
@@ -16,9 +17,12 @@ BLOCK = 1024
 
 
 def histogram(spark: SparkSession, documents: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(n_tokens, n_docs): documents by encoded length. Null and empty texts have length 0; repeated rows count again."""
+    """(n_tokens, n_docs): documents by encoded length. Null and empty texts have length 0; repeated rows count again.
+
+    The histogram, one row for each length, is written to the shared folder, as its readers use it more than once.
+    """
     lengths = documents.select(token_count(spark, F.col(text), vocabulary).alias("n_tokens"))
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    return staged(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "token-histogram")
 
 
 def limits(counts: DataFrame) -> DataFrame:

@@ -96,6 +96,25 @@ def test_counts_by_stretch_equal_whole_encoding(text):
     assert tokenizer.counter(RANKS)(text) == whole_count(text)
 
 
+@pytest.mark.parametrize("white", [" ", "\t", "\n", "\u3000"])
+def test_very_long_white_space(white):
+    """Runs on which the pattern itself would overflow; shorter ones equal the whole encoding."""
+    count = tokenizer.counter(RANKS)
+    for long, tail in ((2_000_000, "next"), (2_000_000, "")):
+        n = count("word" + white * long + tail)
+        assert count("word" + white * (long - 1) + tail) <= n <= 1 + 3 * long
+    for runs in ((10_000, 30_000), (9_999, 50_000), (99_990, 1)):
+        text = "a" + white * runs[0] + " b\x1c" + white * runs[1] + "c" + " d" * 40_000 + white * 20_000
+        assert count(text) == whole_count(text)
+
+
+def test_one_page_of_white_space_does_not_stop_the_count(spark, docs):
+    rows = [(1, "a" + " \t\n"[i] * 2_000_000 + "b") for i in range(3)] + [(2, "x")]
+    counts = token_counts.histogram(spark, docs(rows))
+    assert token_counts.total_tokens(counts).first()["n_docs"] == 4
+    assert packing.pack(spark, docs(rows)).select("doc_id").distinct().count() == 2
+
+
 def test_histogram_and_limits(spark, docs):
     texts = ["", None, "hello", "hello world", "hello world", "x y z " * 900, "a" * 3000]
     table = docs(list(enumerate(texts)), True)
