@@ -2,12 +2,14 @@
 
 A rule set is compiled into one CASE expression per kind: the JVM stops at the first
 match, patterns are literals (compiled once per task), and clauses never multiply by
-rules the way a join on RLIKE would make them.
+rules the way a join on RLIKE would make them.  A pattern is tried only on texts that
+contain the literals it cannot do without.
 """
 
 from __future__ import annotations
 
 import re
+from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,49 @@ def _flags(pattern: str) -> str:
     return UNI if re.search(r"\\[dDwWbB]", pattern) else "(?d)"
 
 
+def needed(pattern: str) -> list[list[str]]:
+    """What a matching text must contain: one string at least of each list, the longest strings first.
+
+    Literals that the pattern cannot do without, read off its parse tree; of alternatives the longest literal of each.
+    """
+
+    def walk(items) -> list[list[str]]:
+        found: list[list[str]] = []
+        run = ""
+        for op, arg in items:
+            if op is _parser.LITERAL:
+                run += chr(arg)
+                continue
+            if run:
+                found.append([run])
+                run = ""
+            if op is _parser.SUBPATTERN:
+                found += walk(arg[-1])
+            elif op is _parser.MAX_REPEAT and arg[0] > 0:
+                found += walk(arg[2])
+            elif op is _parser.BRANCH:
+                sides = [walk(side) for side in arg[1]]
+                if all(sides):
+                    found.append([word for side in sides for word in max(side, key=_worth)])
+        return found + [[run]] if run else found
+
+    return sorted(walk(_parser.parse(pattern)), key=_worth, reverse=True)
+
+
+def _worth(words: list[str]) -> tuple[int, int]:
+    return min(map(len, words)), -len(words)
+
+
+def _guard(body: Column, pattern: str) -> Column | None:
+    """Cheap test that a text which matches always passes: two of the needed literals of two characters or more."""
+    wanted = [words for words in needed(pattern) if min(map(len, words)) > 1 and len(words) <= 4][:2]
+    out = None
+    for words in wanted:
+        hit = contains_any(body, words)
+        out = hit if out is None else out & hit
+    return out
+
+
 def vetoed(body: Column, contract_type: Column, vetoes: list[tuple[str, str]]) -> Column:
     """True when a phrase in scope appears; it cancels any safe verdict."""
     out = F.lit(False)
@@ -42,7 +87,9 @@ def first_rule(body: Column, contract_type: Column, rules: list[dims.Rule]) -> C
                 F.lit(rule.reason).alias("reason"),
                 F.lit(rule.risk_type).cast("string").alias("risk_type"),
             )
-            chain = F.when(body.rlike(_flags(rule.pattern) + rule.pattern), hit).otherwise(chain)
+            matches = body.rlike(_flags(rule.pattern) + rule.pattern)
+            guard = _guard(body, rule.pattern)
+            chain = F.when(matches if guard is None else guard & matches, hit).otherwise(chain)
         out = F.when(contract_type == ct, chain).otherwise(out)
     return out
 

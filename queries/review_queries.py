@@ -108,7 +108,7 @@ def attach_verdicts(spark, sf):
 
     clauses = write_shared(ruled(spark, sf), "ruled-clauses")
     return analysis.attach_verdicts(
-        clauses.select("document_id", "clause_pos", "title"), verdicts(clauses, responses(spark, sf))
+        clauses.select("document_id", "clause_pos", "title"), verdicts(clauses, exchange.best_attempts(exchange.parse_responses(responses(spark, sf))))
     ).select("document_id", "clause_pos", "risk_level", "confidence", "explanation", "analysis_status")
 
 

@@ -88,3 +88,47 @@ def test_verdict_texts(spark):
     assert rows[1].risk_level == "high" and rows[1].explanation == fv.HIGH_EXPLANATIONS["차임증액_무제한"]
     assert rows[1].risks[0].suggestion == fv.HIGH_SUGGESTION
     assert rows[2].explanation == fv.SAFE_DEFAULT_EXPLANATION and rows[2].risks == []
+
+
+def test_needed_literals():
+    assert rules.needed(r"소재지\s*:.*면적\s*:") == [["소재지"], ["면적"], [":"], [":"]]
+    assert rules.needed("ab(?:cd|e?fg)x?") == [["ab"], ["cd", "fg"]]
+    assert rules.needed("a?b*|c") == [] and rules.needed("(?:xy){2,3}(?:q|)") == [["xy"]]
+
+
+@pytest.mark.parametrize("rule", fv.SAFE_RULES + fv.HIGH_RULES, ids=lambda r: r[1])
+def test_a_match_holds_what_its_pattern_needs(rule):
+    """Texts spun out of the pattern's own parse tree: each that matches must contain the needed literals."""
+    import random
+    import re
+    from re import _parser as P
+
+    rng = random.Random(rule[1])
+
+    def spin(items):
+        out = ""
+        for op, arg in items:
+            if op is P.LITERAL:
+                out += chr(arg)
+            elif op is P.SUBPATTERN:
+                out += spin(arg[-1])
+            elif op is P.BRANCH:
+                out += spin(rng.choice(arg[1]))
+            elif op in (P.MAX_REPEAT, P.MIN_REPEAT):
+                out += "".join(spin(arg[2]) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
+            elif op is P.IN and arg[0][0] is P.NEGATE:
+                out += "가"
+            elif op is P.IN:
+                kind, value = rng.choice(arg)
+                out += chr(value) if kind is P.LITERAL else chr(value[0]) if kind is P.RANGE else {P.CATEGORY_SPACE: " ", P.CATEGORY_DIGIT: "7"}.get(value, "가")
+            elif op is P.ANY:
+                out += "나"
+        return out
+
+    matched = 0
+    for _ in range(60):
+        text = spin(P.parse(rule[1]))
+        if re.search(rule[1], text):
+            matched += 1
+            assert all(any(w in text for w in words) for words in rules.needed(rule[1])), text
+    assert matched
