@@ -57,6 +57,14 @@ def cap_per_type(spark, sf):
     return top_n(rows, ["contract_type"], [F.asc("id")], 1500, spread_by=["id"])
 
 
+@query("w6_cap_bites", f"""WITH {KB_CTE} SELECT id, contract_type, CAST(pos AS INT) AS pos FROM (SELECT id, contract_type,
+    row_number() OVER (PARTITION BY contract_type ORDER BY id) AS pos FROM kb) WHERE pos <= 50""")
+def cap_bites(spark, sf):
+    """The same cap at a number that every contract type exceeds."""
+    rows = kb(spark, sf).select("id", "contract_type")
+    return top_n(rows, ["contract_type"], [F.asc("id")], 50, spread_by=["id"])
+
+
 _PRIORITY = "CASE WHEN source = 'law' THEN 1 WHEN source = 'precedent_kr' THEN 2 WHEN source LIKE 'aihub%' THEN 3 ELSE 0 END"
 _NORM = r"lower(trim(regexp_replace(regexp_replace(text, '(?m)^\[(?:법률|판례)\][^\n]*\n', ''), '\s+', ' ', 'g')))"
 
@@ -169,6 +177,41 @@ def upsert(spark, sf):
     return spark.read.parquet(path).select("id", "contract_type", "version", F.length("text").cast("long").alias("n"))
 
 
+@query("s9_clear_and_rebuild", f"WITH {KB_CTE} SELECT id, contract_type FROM kb WHERE contract_type <> 'sales'")
+def clear_and_rebuild(spark, sf):
+    """A stored KB written anew without one of its types: nothing of the first build is left."""
+    rows = kb(spark, sf).select("id", "contract_type", "text")
+    path = f"{scratch_dir(spark)}/kb-{uuid.uuid4().hex}"
+    stores.write_kb(rows, path)
+    stores.write_kb(rows.filter("contract_type <> 'sales'"), path)
+    return spark.read.parquet(path).select("id", "contract_type")
+
+
+@query("s6_p7_labelled_counts", """WITH c AS (SELECT CASE s_nationkey % 3 WHEN 0 THEN 'lease' WHEN 1 THEN 'sales' END AS contract_type FROM supplier WHERE s_suppkey % 2 = 0)
+    SELECT contract_type, 2 * count(*) AS n FROM c WHERE contract_type IS NOT NULL GROUP BY 1""")
+def labelled_counts(spark, sf):
+    """The combined source over one JSON file for each supplier, counted by type.
+
+    Half of the files lie in the civil folder, the others are not read; of those a third names no contract type. A
+    case has a row for its facts and one for its reasons.
+    """
+    place = f"{scratch_dir(spark)}/labelled-{uuid.uuid4().hex}"
+    name = "CASE s_nationkey % 3 WHEN 0 THEN '임대차 분쟁' WHEN 1 THEN '매매 분쟁' ELSE '기타' END"
+    files = table(spark, sf, "supplier").select(
+        F.struct(
+            F.expr(name).alias("caseNm"), F.col("s_suppkey").cast("string").alias("caseNo"),
+            F.col("s_name").alias("courtNm"), F.array(F.lit("상법")).alias("relateLaword"),
+        ).alias("info"),
+        F.col("s_name").alias("facts"),
+        F.struct(F.array("s_name").alias("a")).alias("dcss"),
+        F.when(F.col("s_suppkey") % 2 == 0, fv.CIVIL_DIR).otherwise("형사").alias("kind"),
+        F.col("s_suppkey").alias("file"),
+    )
+    files.write.partitionBy("kind", "file").json(place)
+    rows = kb_build.collect_sources(spark, labelled=place)
+    return rows.groupBy("contract_type").agg(F.count("*").alias("n"))
+
+
 @query("s10_indexed_types", f"WITH {KB_CTE} SELECT contract_type, count(*) AS n FROM kb WHERE contract_type IN ('lease', 'none') GROUP BY 1")
 def indexed_types(spark, sf):
     """A stored index, read for two types; one that was never stored is an empty scan, not an error."""
