@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from clausewise.operators import bm25
+from clausewise.operators import bm25, dedup
 from clausewise.operators.dedup import dedup_corpus
 from clausewise.operators.vectors import as_batches
 from clausewise.plans import accuracy, kb_build, review
@@ -214,6 +214,48 @@ def test_dedup_equals_a_loop_when_ids_and_texts_cross(spark):
         assert sorted(map(tuple, got)) == brute_dedup(rows)
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_dedup_of_a_long_chain_takes_few_rounds(spark, shuffled):
+    """Each row shares its id with the row before and its text with the row after."""
+    import random
+
+    n = 10_000
+    ranks = list(range(n))
+    if shuffled:
+        random.Random(3).shuffle(ranks)
+    rows = [(f"i{k // 2}", f"t{(k + 1) // 2}", ranks[k]) for k in range(n)]
+    pairs = spark.createDataFrame(rows, "i string, t string, r int").select("i", "t", F.struct("r").alias("_rank"))
+    kept, rounds = dedup._greedy(pairs)
+    taken, want = set(), []
+    for i, t, r in sorted(rows, key=lambda x: x[2]):
+        if i not in taken and t not in taken:
+            taken |= {i, t}
+            want.append(r)
+    assert sorted(x[0] for x in kept.select("_rank.r").collect()) == want
+    assert rounds < 20
+
+
+def test_dedup_of_crossing_rows_equals_a_loop(spark):
+    """One text in a third of all rows, rows without a text, and long dependencies."""
+    import random
+
+    rng = random.Random(11)
+    rows = set()
+    while len(rows) < 600:
+        text = "hot" if rng.random() < 0.33 else None if rng.random() < 0.1 else f"t{rng.randint(0, 90)}"
+        rows.add((f"i{rng.randint(0, 150)}", text))
+    rows = [(*pair, r) for r, pair in enumerate(sorted(rows, key=lambda _: rng.random()))]
+    pairs = spark.createDataFrame(rows, "i string, t string, r int").select("i", "t", F.struct("r").alias("_rank"))
+    kept, _ = dedup._greedy(pairs.repartition(7))
+    ids, texts, want = set(), set(), []
+    for i, t, r in rows:
+        if i not in ids and (t is None or t not in texts):
+            ids.add(i)
+            texts.add(t)
+            want.append(r)
+    assert sorted(x[0] for x in kept.select("_rank.r").collect()) == want
+
+
 LEASE = (
     "주택 임대차 계약서\n임대인(갑) 임차인(을)\n제1조 (목적)\n임대차 보증금 반환\n제2조 (차임)\n차임은 연 20% 증액\n"
     "제3조 (양도)\n임대인의 동의 없이 양도 못한다\n특약사항\n1. 청소비는 임차인 부담\n2024년 1월 1일"
