@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from clausewise import dims
 from clausewise import fixed_values as fv
 from clausewise.functions import responses as R
-from clausewise.functions.text import blank_to_null, lookup, reference_line, strip
+from clausewise.functions.text import blank_to_null, computed, lookup, reference_line, strip
 from clausewise.functions.udfs import match_ratio
 from clausewise.operators.exchange import KEYS
 from clausewise.operators.fusion import report_category
+from clausewise.session import write_shared
 
 
 def attach_verdicts(clauses: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -34,26 +35,108 @@ def risk_type_map(
 ) -> DataFrame:
     """(contract_type, raw, risk_type) of distinct raw names.
 
-    Names are compared with the valid ones of their type, a fixed-size dimension; exact
-    names stay, near ones are replaced by the most similar, the rest is kept as it came.
+    Names are compared with the valid ones of their type: exact names stay, near ones are replaced by the
+    most similar (of equal ones that with the lowest ``ord``), the rest is kept, trimmed. Without any valid names of the type
+    the raw name is not even trimmed.
+
+    The default names are a fixed dimension, a few for each type, and every pair is compared. A ``valid``
+    table (contract_type, ord, risk_type) may have any size: see ``_similar_names``.
     """
-    spark = raw_types.sparkSession
-    valid = dims.risk_type_dim(spark) if valid is None else valid
     names = raw_types.select("contract_type", strip(F.col("raw")).alias("name"), "raw").distinct()
-    scored = names.join(F.broadcast(valid.withColumnRenamed("risk_type", "valid")), "contract_type", "left")
-    scored = scored.withColumn(
-        "ratio", F.when(F.col("name") == F.col("valid"), F.lit(2.0)).otherwise(match_ratio("name", "valid"))
+    if valid is None:
+        fixed = dims.risk_type_dim(raw_types.sparkSession).withColumnRenamed("risk_type", "valid")
+        scored = names.join(F.broadcast(fixed), "contract_type", "left")
+        scored = scored.withColumn(
+            "ratio", F.when(F.col("name") == F.col("valid"), F.lit(2.0)).otherwise(match_ratio("name", "valid"))
+        )
+        best = scored.groupBy("contract_type", "raw", "name").agg(
+            F.max(F.struct("ratio", (-F.col("ord")).alias("first"), "valid")).alias("best")
+        )
+        known = F.col("best.valid").isNotNull()
+    else:
+        listed = valid.select("contract_type", "ord", F.col("risk_type").alias("valid")).filter("valid is not null")
+        types = listed.groupBy("contract_type").agg(F.max(F.length("valid")).alias("longest"))
+        typed = write_shared(names.join(types, "contract_type", "left"), "risk-names")
+        found = _similar_names(typed.select("contract_type", "name", "longest").distinct(), listed, min_ratio)
+        best = typed.join(found, ["contract_type", "name"], "left")
+        known = F.col("longest").isNotNull()
+    mapped = F.when(~known, F.col("raw")).when(F.col("best.ratio") >= min_ratio, F.col("best.valid")).otherwise(F.col("name"))
+    return best.select("contract_type", "raw", mapped.alias("risk_type"))
+
+
+_SLACK = 1e-9
+
+
+def _numbered(name: str) -> Column:
+    """The characters of a name, each with the number of its occurrence, so that the array is a set.
+
+    In the sorted name that is the character's place less the place where it first occurs.
+    """
+    plain = F.array_sort(F.split(F.col(name), ""))
+    return F.transform(plain, lambda c, at: F.concat(c, F.lit("\u0001"), (at + 1 - F.array_position(plain, c)).cast("string")))
+
+
+def _similar_names(names: DataFrame, listed: DataFrame, min_ratio: float) -> DataFrame:
+    """(contract_type, name, best): the most similar listed name of at least ``min_ratio``, for names that have one.
+
+    Matching blocks hold no more than the characters two names share, so twice the shared number over both lengths bounds the
+    ratio. Pairs that may reach ``min_ratio`` come from a prefix join: with characters in one order, from rare to
+    common, such a pair shares one of its first few. The pair with the highest bound is compared first, then only those
+    whose bound is no lower than its ratio.
+    """
+    if min_ratio <= 0:
+        raise ValueError("min_ratio must be above 0")
+    key = ["contract_type", "name"]
+    exact = names.join(
+        listed.select("contract_type", F.col("valid").alias("name"), "ord"), key
+    ).groupBy(*key).agg(F.max(F.struct(F.lit(2.0).alias("ratio"), (-F.col("ord")).alias("first"), F.col("name").alias("valid"))).alias("best"))
+    exact = write_shared(exact, "risk-exact")
+    share = min_ratio / (2 - min_ratio)
+    # longer names can't reach the ratio with any listed one
+    open_names = names.join(exact, key, "left_anti").filter(F.length("name") * share <= F.col("longest") + _SLACK)
+    left = open_names.filter("name <> ''").select(*key, computed(chars=_numbered("name")))
+    right = listed.filter("valid <> ''").select("contract_type", "ord", "valid", computed(chars=_numbered("valid")))
+    common = write_shared(
+        right.select("contract_type", F.explode("chars").alias("c")).groupBy("contract_type", "c").agg(F.count("*").alias("n")),
+        "risk-characters",
     )
-    best = scored.groupBy("contract_type", "raw", "name").agg(
-        F.max(F.struct("ratio", (-F.col("ord")).alias("first"), "valid")).alias("best")
+
+    def prefixes(side: DataFrame, of: list[str]) -> DataFrame:
+        marks = side.select("contract_type", *of, F.explode("chars").alias("c")).join(common, ["contract_type", "c"], "left")
+        # names are short, and what is gathered is one name
+        ordered = marks.groupBy("contract_type", *of).agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "c"))).alias("marks")
+        )
+        least = F.greatest(F.lit(1), F.ceil(F.size("marks") * share - _SLACK).cast("int"))
+        chars = F.transform("marks", lambda m: m["c"])
+        return ordered.select("contract_type", *of, chars.alias("chars"), (F.size("marks") - least + 1).alias("length")).select(
+            "contract_type", *of, "chars", F.explode(F.slice("chars", 1, F.col("length"))).alias("c")
+        )
+
+    ours = prefixes(left, ["name"])
+    theirs = prefixes(right, ["ord", "valid"]).withColumnRenamed("chars", "other")
+    n, m = F.size("chars"), F.size("other")
+    bound = F.size(F.array_intersect("chars", "other")) * 2.0 / (n + m)
+    fits = (F.least(n, m) * 2.0 / (n + m)) >= min_ratio - _SLACK
+    pairs = (
+        ours.join(theirs, ["contract_type", "c"])
+        .filter(fits)
+        .select(*key, "ord", "valid", bound.alias("bound"))
+        .filter(F.col("bound") >= min_ratio - _SLACK)
+        .distinct()
     )
-    # without any valid names of the type the raw name is not even trimmed
-    mapped = (
-        F.when(F.col("best.valid").isNull(), F.col("raw"))
-        .when(F.col("best.ratio") >= min_ratio, F.col("best.valid"))
-        .otherwise(F.col("name"))
+    pairs = write_shared(pairs, "risk-pairs")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        return rows.select(*key, F.struct(match_ratio("name", "valid").alias("ratio"), (-F.col("ord")).alias("first"), "valid").alias("best"))
+
+    likeliest = pairs.groupBy(*key).agg(F.max(F.struct("bound", (-F.col("ord")).alias("first"), "valid")).alias("top"))
+    tried = write_shared(judged(likeliest.select(*key, (-F.col("top.first")).alias("ord"), "top.valid")), "risk-tried")
+    rest = pairs.join(tried, key).filter(
+        (F.col("bound") >= F.col("best.ratio")) & ((F.col("valid") != F.col("best.valid")) | (-F.col("ord") != F.col("best.first")))
     )
-    return best.select("contract_type", "raw", mapped.alias("risk_type"))
+    all_judged = tried.unionByName(judged(rest.select(*key, "ord", "valid"))).groupBy(*key).agg(F.max("best").alias("best"))
+    return exact.unionByName(all_judged.filter(F.col("best.ratio") >= min_ratio))
 
 
 def normalize_risk_types(analyses: DataFrame, valid: DataFrame | None = None) -> DataFrame:

@@ -124,6 +124,15 @@ def risk_types(spark, sf):
     return analysis.risk_type_map(raw)
 
 
+@query("j14_listed_risk_types")
+def listed_risk_types(spark, sf):
+    """Names of a listed vocabulary, cut, turned around and misspelt, matched by candidates; the ratio is not SQL's, a test compares a loop."""
+    parts = table(spark, sf, "part")
+    listed = parts.groupBy(F.col("p_brand").alias("contract_type"), F.col("p_name").alias("risk_type")).agg(F.min("p_partkey").alias("ord"))
+    said = "CASE p_partkey % 4 WHEN 0 THEN substring(p_name, 2) WHEN 1 THEN reverse(p_name) WHEN 2 THEN replace(p_name, ' ', '_x') ELSE p_type || ' ' || p_name END"
+    return analysis.risk_type_map(parts.selectExpr("p_brand AS contract_type", f"{said} AS raw"), listed)
+
+
 _RAW_CLEAN = "CASE o_custkey % 3 WHEN 0 THEN '<think>생각</think>' ELSE '' END || CASE o_custkey % 2 WHEN 0 THEN '수정 조항: ' ELSE '' END || '본문 ' || CAST(o_orderkey AS STRING) || CASE o_custkey % 5 WHEN 0 THEN '</think>' ELSE '' END"
 
 

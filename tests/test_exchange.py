@@ -1,3 +1,5 @@
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,8 +77,6 @@ def test_attempts_and_fold(spark):
 
 
 def test_risk_type_mapping(spark):
-    from difflib import SequenceMatcher
-
     raw = ["권리제한", " 권리 제한 ", "보증금 미반환", "전혀다름zz", "위약금"]
     df = spark.createDataFrame([("lease", r) for r in raw] + [("none", " x ")], "contract_type string, raw string")
     got = {(r.contract_type, r.raw): r.risk_type for r in analysis.risk_type_map(df).collect()}
@@ -92,6 +92,44 @@ def test_risk_type_mapping(spark):
     assert got == {**{("lease", r): loop(r) for r in raw}, ("none", " x "): " x "}
 
 
+@pytest.mark.parametrize("ratio", [0.4, 0.75])
+def test_risk_types_of_a_vocabulary_equal_a_loop(spark, ratio):
+    """A listed vocabulary of any size: ties, anagrams, blanks, names beyond the plane of two bytes, unknown types."""
+    import random
+
+    rng = random.Random(5)
+    letters = "가나다라마바사아자차카타파하_ ab😀"
+    listed = [("lease", k, "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))) for k in range(120)]
+    listed += [("sales", 0, "위약금"), ("sales", 1, "금약위"), ("sales", 2, "위약금"), ("empty", 0, "")]
+
+    def misspelt(name):
+        chars = list(name)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(chars) + 1)
+            chars[at:at + rng.randint(0, 1)] = rng.choice([[], [rng.choice(letters)]])
+        return "".join(chars)
+
+    raw = [(ct, misspelt(name)) for ct, _, name in listed for _ in range(2)]
+    raw += [("lease", "z" * 400), ("lease", "  "), ("lease", " "), ("none", " x "), ("sales", "약위금"), ("sales", None), (None, "a"), ("empty", "x")]
+
+    def loop(ct, name):
+        valid = [v for t, _, v in listed if t == ct]
+        if not valid or name is None:
+            return name
+        name = name.strip(" \t\n\r")
+        if name in valid:
+            return name
+        best = max(valid, key=lambda v: SequenceMatcher(None, name, v).ratio())
+        return best if SequenceMatcher(None, name, best).ratio() >= ratio else name
+
+    names = spark.createDataFrame(raw, "contract_type string, raw string").repartition(3)
+    valid = spark.createDataFrame(listed, "contract_type string, ord int, risk_type string")
+    got = {(r.contract_type, r.raw): r.risk_type for r in analysis.risk_type_map(names, valid, ratio).collect()}
+    assert got == {pair: loop(*pair) for pair in raw}
+    nothing = analysis.risk_type_map(names.limit(0), valid, ratio).unionByName(analysis.risk_type_map(names.limit(0), valid.limit(0), ratio))
+    assert nothing.count() == 0
+
+
 def test_risks_keep_their_order(spark):
     df = spark.sql(
         "SELECT 'd' AS document_id, 1 AS clause_pos, 'lease' AS contract_type, "
