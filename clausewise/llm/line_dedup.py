@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewise.llm.common import SPACE, SPACE_CLASS, free_name, once, staged
+from clausewise.operators.skew import hot_keys, salted_join
 from clausewise.session import scratch_dir
 
 PERCENT = 80
-# shorter lines are left alone: too little to call one a copy of another
-MIN_WORDS = 3
+# every line with a word takes part; callers may leave shorter lines alone
+MIN_WORDS = 1
 # places of the frequency sketch and bits of the membership bitmaps, whatever the input; a power of two
 SLOTS = 1 << 20
 # a token in more lines than this is dealt over several tasks
@@ -125,7 +126,10 @@ def _copies(docs: DataFrame, min_words: int) -> DataFrame:
         "doc_id", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b")
     )
     first = keyed.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = keyed.join(first.filter("n > 1").select("a", "b", "first"), ["a", "b"]).filter(
+    first = staged(first.filter("n > 1"), "lines-first")
+    # a line that makes up a large share of all copies is dealt over several tasks
+    hot = hot_keys(first, ["a", "b"], "n")
+    later = salted_join(keyed, first.select("a", "b", "first"), ["a", "b"], hot, ["doc_id", "line_no"]).filter(
         F.struct("doc_id", "line_no") > F.col("first")
     )
     return later.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))

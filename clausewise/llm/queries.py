@@ -52,7 +52,7 @@ WITH cut AS (
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL
 ), line AS (
   SELECT doc_id, line_no, list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')) AS tokens
-  FROM cut WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3
+  FROM cut WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 1
 ), token AS (SELECT doc_id, line_no, len(tokens) AS size, unnest(tokens) AS token FROM line),
 rank AS (SELECT token, row_number() OVER (ORDER BY count(*), token) AS r FROM token GROUP BY token),
 prefix AS (
