@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that resemble an earlier one; a document that loses its last proper line goes."""
+    """Documents without lines that resemble an earlier one; a document that loses its last line with a word goes."""
     found, _, has_lines = line_dedup.deduplicate(docs)
     return found.filter(has_lines).select(*docs.columns)
 
