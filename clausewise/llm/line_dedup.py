@@ -97,6 +97,8 @@ def _rarity(docs: DataFrame, slots: int) -> DataFrame:
     )
 
 
+# the frequency class of a single occurrence
+_ONCE = round(math.log2(2) * _STEPS)
 # bits in one bitmap of Spark's bitmap functions
 _BITMAP = 32_768
 
@@ -174,6 +176,8 @@ def _prefixes(
     rows = numbered.select("doc_id", "line_no", once(size=size, bits=flip, prefix=F.slice("ids", 1, length)))
     out = rows.select("doc_id", "line_no", "size", "bits", F.posexplode("prefix").alias("pos", "id"))
     level = F.shiftrightunsigned("id", 55)
+    # a token that stands once in all texts, alone in its slot, has no other line to be joined with
+    out = out.filter(level != _ONCE)
     parts = F.when(level <= _last_whole(split_lines), 1).otherwise(
         F.ceil(F.pow(F.lit(2.0), level / _STEPS) / split_lines).cast("int")
     )
