@@ -187,6 +187,10 @@ def clear_and_rebuild(spark, sf):
     return spark.read.parquet(path).select("id", "contract_type")
 
 
+# a small file costs milliseconds, whatever it holds
+FILES_PER_TASK = 1_000
+
+
 @query("s6_p7_labelled_counts", """WITH c AS (SELECT CASE s_nationkey % 3 WHEN 0 THEN 'lease' WHEN 1 THEN 'sales' END AS contract_type FROM supplier WHERE s_suppkey % 2 = 0)
     SELECT contract_type, 2 * count(*) AS n FROM c WHERE contract_type IS NOT NULL GROUP BY 1""")
 def labelled_counts(spark, sf):
@@ -197,7 +201,7 @@ def labelled_counts(spark, sf):
     """
     place = f"{scratch_dir(spark)}/labelled-{uuid.uuid4().hex}"
     name = "CASE s_nationkey % 3 WHEN 0 THEN '임대차 분쟁' WHEN 1 THEN '매매 분쟁' ELSE '기타' END"
-    files = table(spark, sf, "supplier").select(
+    cases = table(spark, sf, "supplier").select(
         F.struct(
             F.expr(name).alias("caseNm"), F.col("s_suppkey").cast("string").alias("caseNo"),
             F.col("s_name").alias("courtNm"), F.array(F.lit("상법")).alias("relateLaword"),
@@ -207,7 +211,12 @@ def labelled_counts(spark, sf):
         F.when(F.col("s_suppkey") % 2 == 0, fv.CIVIL_DIR).otherwise("형사").alias("kind"),
         F.col("s_suppkey").alias("file"),
     )
-    files.write.partitionBy("kind", "file").json(place)
+    # a file holds one object, so a key that repeats has one
+    files = cases.groupBy("kind", "file").agg(F.min(F.struct("info", "facts", "dcss")).alias("case")).select("kind", "case.*")
+    pieces = files.repartition(max(spark.sparkContext.defaultParallelism, -(-cases.count() // FILES_PER_TASK)))
+    # the rows of a task go to a file each in two folders, and tasks put them in place: the driver would move one after another
+    writer = pieces.write.partitionBy("kind").option("maxRecordsPerFile", 1)
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(place)
     rows = kb_build.collect_sources(spark, labelled=place)
     return rows.groupBy("contract_type").agg(F.count("*").alias("n"))
 
