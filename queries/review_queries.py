@@ -10,7 +10,7 @@ from clausewise.operators import analysis, evaluation, exchange, rollups
 from clausewise.plans import accuracy
 from clausewise.session import write_shared
 from clausewise.sources import stores
-from queries.base import CLAUSES_CTE, RULED_CTE, query, quote, sql_map, table
+from queries.base import CLAUSES_CTE, ROWS_PER_TASK, RULED_CTE, query, quote, sql_map, table
 from queries.clause_queries import ruled, split
 
 # --- responses: two attempts per order, ten kinds of answer --------------------------------
@@ -31,7 +31,7 @@ RESPONSES = [
 
 
 def responses(spark, sf):
-    twice = table(spark, sf, "orders", deal=True).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
+    twice = table(spark, sf, "orders", deal=True, rows_per_task=ROWS_PER_TASK).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt"))
     return twice.selectExpr(*RESPONSES)
 
 
