@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewise.functions.text import let
 from clausewise.llm.common import staged
 
 CRLF = "\r\n"
@@ -28,15 +29,14 @@ class Archive:
 
 def base32_sha1(data: Column) -> Column:
     """Bare upper-case base32 of the SHA-1: every five hex digits are four letters."""
-    hexed = F.sha1(data)
-
-    def letters(group: Column) -> Column:
+    def letters(hexed: Column, group: Column) -> Column:
         bits = F.conv(F.substring(hexed, group * 5 + 1, 5), 16, 10).cast("int")
         return F.concat(
             *[F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, 1) for s in (15, 10, 5, 0)]
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
+    # the digest is bound first: a column named inside the groups would be digested for each of them
+    return let(F.sha1(data), lambda hexed: F.concat(*[letters(hexed, F.lit(group)) for group in range(8)]))
 
 
 def _one_line(value: Column) -> Column:
