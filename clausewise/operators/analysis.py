@@ -18,7 +18,7 @@ from clausewise.session import write_shared
 def attach_verdicts(clauses: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Every clause with its verdict; a clause nothing was said about is medium, 'missing'."""
     fields = ["risk_level", "confidence", "risks", "explanation", "analysis_status"]
-    joined = clauses.join(verdicts.select(*KEYS, *fields, F.lit(True).alias("_known")), KEYS, "left")
+    joined = clauses.join(verdicts.select(*KEYS, *fields, F.lit(True).alias("_known")).hint("merge"), KEYS, "left")
     known = F.col("_known").isNotNull()
     return (
         joined.withColumn("risk_level", F.when(known, R.risk_level(F.coalesce("risk_level", F.lit("safe")))).otherwise("medium"))
@@ -202,7 +202,7 @@ def attach_references(clauses: DataFrame, details: DataFrame) -> DataFrame:
     empty = F.array()
     item = "array<struct<text:string,source:string,category:string,similarity:double,article:string>>"
     return (
-        clauses.join(rows, KEYS, "left")
+        clauses.join(rows.hint("merge"), KEYS, "left")
         .withColumn(
             "similar_references",
             F.coalesce(F.transform("_refs", lambda r: r["line"]), empty.cast("array<string>")),
