@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clausewise import fixed_values as fv
 from clausewise.functions import responses as R
-from clausewise.operators import analysis, evaluation, exchange, rollups
+from clausewise.operators import analysis, evaluation, exchange, rollups, rules
 from clausewise.plans import accuracy
 from clausewise.session import write_shared
 from clausewise.sources import stores
@@ -90,7 +90,7 @@ folded AS (SELECT document_id, clause_pos, CASE decided WHEN 'high' THEN 'high'
 @query("r4_r5_fold_responses", f"WITH {_FOLDED_CTE} SELECT document_id, clause_pos, risk_level, confidence, explanation, analysis_status FROM folded")
 def fold_responses(spark, sf):
     best = exchange.best_attempts(exchange.parse_responses(responses(spark, sf)))
-    second = ruled(spark, sf).filter(F.col("clause_pos") == 2)
+    second = rules.apply_rules(split(spark, sf).filter(F.col("clause_pos") == 2))
     return exchange.fold_responses(second, best).select(
         "document_id", "clause_pos", "risk_level", "confidence", "explanation", "analysis_status"
     )
@@ -299,7 +299,7 @@ def top_references(spark, sf):
     SELECT c.document_id, c.clause_pos, coalesce(string_agg('글 ' || s.pos || '... (유사도: ' || printf('%.2f', similarity) || ')', '|' ORDER BY similarity DESC, s.pos), '') AS refs
     FROM clauses c LEFT JOIN s ON s.document_id = c.document_id AND s.clause_pos = c.clause_pos GROUP BY 1, 2""")
 def attach_references(spark, sf):
-    clauses = split(spark, sf).select("document_id", "clause_pos")
+    clauses = write_shared(split(spark, sf).select("document_id", "clause_pos"), "clause-keys")
     hits = clauses.filter(F.col("clause_pos") != 3).select(
         "document_id", "clause_pos", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("pos")
     )

@@ -6,10 +6,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from clausewise.llm import warc
 from clausewise.operators import expansion, rules
 from clausewise.plans import kb_build
 from clausewise.session import spread
-from queries import base, clause_queries, kb_queries, search_queries, source_queries
+from clausewise.sources import stores
+from queries import base, clause_queries, kb_queries, review_queries, search_queries, source_queries
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double"
 PARTS = "p_partkey long, p_name string, p_brand string, p_type string"
@@ -24,7 +26,7 @@ def tables(spark, tmp_path, monkeypatch):
     suppliers = [(i, f"Supplier {i}", i % 25) for i in range(40)]
     for name, rows, schema in (("orders", orders, ORDERS), ("part", parts, PARTS), ("supplier", suppliers, SUPPLIERS)):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
-    for module in (base, search_queries, source_queries):
+    for module in (base, review_queries, search_queries, source_queries):
         monkeypatch.setattr(module, "ROWS_PER_TASK", 5, raising=False)
     return str(tmp_path)
 
@@ -87,3 +89,35 @@ def test_items_and_extra_words_are_looked_for_once(spark):
     assert [r.text for r in asked.filter("document_id = 3").collect()] == [None]
     plan = asked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("size(regexp_extract_all(") == 2
+
+
+def test_payloads_are_digested_once(spark):
+    pages = spark.createDataFrame([(b"abc",), (None,)], "payload binary").select(warc.base32_sha1(F.col("payload")).alias("d"))
+    # RFC 4648 letters of the SHA-1 of "abc"
+    assert [r.d for r in pages.collect()] == ["VGMT4NSHA2AWVOR6EVYXQUGCNSONBWE5", None]
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha1(") == 1 and plan.index("array(sha1(") > 0
+
+
+def test_any_number_of_analyses_is_looked_up(spark, tmp_path):
+    place = str(tmp_path / "store")
+    rows = spark.range(1, 2001).withColumnRenamed("id", "document_id")
+    stores.write_analyses(rows.withColumn("verdict", F.lit("first")), place, "1", shards=4)
+    stores.write_analyses(rows.filter("document_id % 2 = 0").withColumn("verdict", F.lit("second")), place, "2", shards=4)
+    asked = rows.filter("document_id % 3 = 0").unionByName(rows.filter("document_id = 3"))
+    found = stores.lookup_analyses(spark, place, asked, shards=4)
+    assert {r.document_id: r.verdict for r in found.collect()} == {i: "second" if i % 2 == 0 else "first" for i in range(3, 2001, 3)}
+    assert found.count() == len(range(3, 2001, 3))
+
+
+def test_tables_as_long_as_the_clauses_are_not_sent_to_the_driver(spark, tables):
+    requests = clause_queries.model_requests(spark, tables)
+    assert "Broadcast" not in requests._jdf.queryExecution().executedPlan().toString()
+    attached = review_queries.attach_references(spark, tables)
+    assert "Broadcast" not in attached._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_the_answered_clause_is_judged(spark, tables):
+    plan = review_queries.fold_responses(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    rules_at, filter_at = plan.index("_rules"), [m.start() for m in re.finditer(r"Filter \(+\w*clause_pos#\d+ = 2|Filter .*\+ 1\) = 2", plan)]
+    assert filter_at and max(filter_at) > rules_at
