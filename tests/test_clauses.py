@@ -61,3 +61,25 @@ def test_rejects(spark):
 
 def test_markers_in_the_text_do_no_harm(spark):
     assert [g[3] for g in split(spark, "제1조 (가)\n\u0001본\u0002문\n제2조 나")] == ["제1조 (가)", "제2조"]
+
+
+def test_split_names_a_text_once(spark):
+    """Inside a transform a text that is named twice is searched twice: one marking and one splitting for each pass."""
+    from pyspark.sql import functions as F
+    from clausewise.operators import clauses as C
+
+    df = spark.createDataFrame([("제1조 (가)\n나",)], "text string")
+    plan = df.select(C.headed_clauses(F.col("text")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("regexp_extract(") == 1
+
+
+def test_strip_trims_every_kind_of_white_space(spark):
+    from pyspark.sql import functions as F
+    from clausewise.functions import text as X
+
+    texts = ["", " ", "가", *[w + "가" + w + "나" + w for w in X.WHITESPACE], X.WHITESPACE + "가", "가" + X.WHITESPACE, X.WHITESPACE, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", X.strip(F.col("t")).alias("s"), X.collapse(F.col("t")).alias("c")).orderBy("i").collect()
+    old = F.trim(F.regexp_replace("t", X.UNI + r"\s+", " "), F.lit(X.WHITESPACE))
+    plain = df.select("i", F.trim(F.col("t"), F.lit(X.WHITESPACE)).alias("s"), old.alias("c")).orderBy("i").collect()
+    assert got == plain
