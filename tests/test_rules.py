@@ -132,3 +132,21 @@ def test_a_match_holds_what_its_pattern_needs(rule):
             matched += 1
             assert all(any(w in text for w in words) for words in rules.needed(rule[1])), text
     assert matched
+
+
+def test_first_look_passes_every_text_that_matches_and_sets_others_aside():
+    import re
+
+    for listed, hits in ((dims.safe_rules(), SAFE_HITS), (dims.high_rules(), HIGH_HITS)):
+        for rule, text in zip(listed, hits):
+            look = rules.any_needed([r.pattern for r in listed if r.contract_type == rule.contract_type])
+            assert re.search(look, text)
+            assert not re.search(look, "아무 관계도 없는 글")
+    assert rules.any_needed(["갑을", r"\d+"]) is None
+
+
+def test_vetoes_are_looked_for_after_a_rule_matched(spark):
+    """A clause without a match is settled by one pattern: neither rules nor vetoes are tried on it."""
+    df = spark.createDataFrame([("lease", "글")], "contract_type string, body string")
+    text = df.select(rules.safe_rule(F.col("body"), F.col("contract_type")))._jdf.queryExecution().analyzed().toString()
+    assert 0 < text.index("RLIKE") < text.index("CONTAINS" if "CONTAINS" in text else "Contains(")
