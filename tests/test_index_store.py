@@ -114,3 +114,12 @@ def test_blocks_are_left_out(spark, asked):
 @pytest.mark.parametrize("length,step", [(0, 0), (8, 0), (9, 1), (64, 3), (65, 4), (1024, 7), (4096, 8), (4097, 9)])
 def test_steps(spark, length, step):
     assert spark.range(1).select(bm25.step_of(F.lit(length))).first()[0] == step
+
+
+def test_postings_are_written_in_bounded_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bm25, "POSTINGS_PER_TASK", 40, raising=False)
+    path = str(tmp_path / "index")
+    index_store.create(spark.createDataFrame(corpus(4, 80), KB), path, TYPES)
+    written = spark.read.parquet(f"{path}/postings")
+    pieces = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
+    assert sum(pieces) > 1000 and max(pieces) <= 120

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -84,6 +85,52 @@ def test_pruned_search_without_bounds(spark, corpus):
     assert {(r.query_id, r.id, round(r.score, 5), r.pos) for r in rows} == loop_bm25(kb, asked, 5)
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_scores_are_added_up_where_a_document_lies(spark, corpus, monkeypatch):
+    kb, asked, kb_df, asked_df, _ = corpus
+    monkeypatch.setattr(bm25, "MATCHES_PER_TASK", 40, raising=False)
+    found = bm25.search(asked_df, bm25.build_index(kb_df, types=TYPES), 5)
+    # a task holds the scores of its documents, not those of a common term in all of them
+    assert not re.search(r"hashpartitioning\(query_id#\d+, id#\d+", plan(found))
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(id#\d+, (\d+)\)", plan(found))]
+    assert tasks and min(tasks) > spark.sparkContext.defaultParallelism
+    assert {(r.query_id, r.id, round(r.score, 5), r.pos) for r in found.collect()} == loop_bm25(kb, asked, 5)
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "pruned"])
+def test_candidates_are_completed_from_their_documents(spark, corpus, strategy, monkeypatch):
+    kb, asked, _, asked_df, index = corpus
+    rows = bm25.search(asked_df, replace(index, postings=None), 5, strategy=strategy).collect()
+    assert {(r.query_id, r.id, round(r.score, 5), r.pos) for r in rows} == loop_bm25(kb, asked, 5)
+    # without documents, and with more candidates than are sent to every task
+    rows = bm25.search(asked_df, replace(index, docs=None), 5, strategy=strategy).collect()
+    assert {(r.query_id, r.id, round(r.score, 5), r.pos) for r in rows} == loop_bm25(kb, asked, 5)
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 3)
+    rows = bm25.search(asked_df, index, 5, strategy=strategy).collect()
+    assert {(r.query_id, r.id, round(r.score, 5), r.pos) for r in rows} == loop_bm25(kb, asked, 5)
+
+
+def test_repeated_rows_count_as_often_whichever_way_candidates_are_completed(spark, corpus):
+    _, _, kb_df, asked_df, _ = corpus
+    index = bm25.build_index(kb_df.unionByName(kb_df.filter("id < 'd040'")), types=TYPES, blocks=True)
+    twice = asked_df.unionByName(asked_df.filter("query_id < 'q12'")).unionByName(
+        asked_df.filter("query_id = 'q1'").withColumn("contract_type", F.lit("sales"))
+    )
+    both = [
+        sorted((r.query_id, r.id, round(r.score, 5), r.pos) for r in bm25.search(twice, i, 5).collect())
+        for i in (index, replace(index, docs=None))
+    ]
+    assert both[0] == both[1]
+
+
+def test_frequencies_are_counted_once(spark, corpus):
+    _, _, kb_df, _, _ = corpus
+    assert "Generate" not in plan(bm25.build_index(kb_df, types=TYPES).terms)
+
+
 def test_bm25_batch_equals_single(spark, corpus):
     _, asked, _, asked_df, index = corpus
     batch = {(r.query_id, r.id, r.pos) for r in bm25.search(asked_df, index, 3).collect()}
