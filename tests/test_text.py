@@ -23,6 +23,12 @@ def test_tokens_keep_word_and_stem_once(spark):
     assert got[2] == ["은는"]  # the stem would be one character
 
 
+def test_particles_are_looked_for_by_plain_searches(spark):
+    df = spark.createDataFrame([("법은 the law",)], "t string").select(X.tokenize(F.col("t")).alias("v"))
+    assert "rlike" not in df._jdf.queryExecution().toString().lower()
+    assert sorted(df.first().v) == sorted(["법은", "the", "law"])
+
+
 def test_longest_particle_wins(spark):
     assert values(spark, ["학교에서는 물건이", "보증금으로써", "나에게"], X.strip_particles) == ["학교 물건", "보증금", "나에게"]
 
