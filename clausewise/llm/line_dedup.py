@@ -2,20 +2,24 @@
 
 A line goes when an earlier line (by doc_id, then line number) has a token set with Jaccard
 similarity of at least ``percent`` / 100. Equal lines are settled by a grouped minimum. For the rest,
-tokens are ordered from rare to common; two similar lines share a token of their first few, so
-these prefixes are joined, and length, position and a bitmap of the set rule most pairs out
-before the sets are compared.
+a set's tokens are ordered from long to short, which is mostly from rare to common. A token that only one
+of two sets has parts at most two pairs of neighbours in its own set and one in the other, so similar sets
+share a pair of neighbours, one of the first few of both: these pairs are joined, and length and a
+bitmap of the set rule most candidates out before the sets are compared.
 
 In a crowd of near copies all pairs would be too many, and one earlier line is enough. So each
-prefix row first meets the earliest and the previous line of its token and length; where
+row first meets the earliest and the previous line of its pair and length; where
 one of them looks similar, the row is not joined further. Of every line the likeliest earlier
 one is confirmed first; only lines for which that fails are compared with all that may match.
+
+Texts are moved as little as that allows: a line is cut out where its text lies, and only lines that a bitmap of the
+wanted ones lets through are sent on. Words are compared by 64-bit hashes, equal lines by 128 bits.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,106 +31,101 @@ from clausewise.session import scratch_dir
 PERCENT = 80
 # every line with a word takes part; callers may leave shorter lines alone
 MIN_WORDS = 1
-# places of the frequency sketch and bits of the membership bitmaps, whatever the input; a power of two
+# bits of a membership bitmap at least, and at most; powers of two
 SLOTS = 1 << 20
-# a token in more lines than this is dealt over several tasks
+MOST_SLOTS = 1 << 28
+# a key that more lines have is dealt over several tasks
 SPLIT_LINES = 1 << 20
-# frequency classes are quarters of a power of two
-_STEPS = 4
-_ROW = ("doc_id", "line_no", "size", "pos", "bits")
+# at this or less, short sets that are similar may share no neighbours
+_SINGLE_PERCENT = 75
+# bits of a key, and the largest size of a set that is told apart from larger ones
+_KEY_BITS = 48
+_MOST_SIZE = (1 << 16) - 1
+_ROW = ("doc_id", "line_no", "size", "bits")
+_LINE = ["doc_id", "line_no"]
 
 
-def _plain(line: Column) -> Column:
-    return F.btrim(F.lower(line), F.lit(SPACE))
+def _spaced(text: Column) -> Column:
+    """``text`` with spaces for all other white space that parts words; line feeds stay."""
+    odd = SPACE.replace(" ", "").replace("\n", "")
+    return F.when(text.rlike(f"[{odd}]"), F.translate(text, odd, " " * len(odd))).otherwise(text)
 
 
 def _wordy(line: Column, min_words: int) -> Column:
     """Whether a trimmed line has that many words."""
+    if min_words == 1:
+        return F.length(line) > 0
     return line.rlike(rf"^[^\x20\x09-\x0D]+({SPACE_CLASS}+[^\x20\x09-\x0D]+){{{min_words - 1}}}")
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, line_no (from 0), line: the lines that count, lower-cased and trimmed."""
-    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return cut.select("doc_id", "line_no", _plain(F.col("line")).alias("line")).filter(_wordy(F.col("line"), min_words))
-
+    low = docs.select("doc_id", once(low=F.lower("text")))
+    cut = low.select("doc_id", F.posexplode(F.split(_spaced(F.col("low")), "\n")).alias("line_no", "line"))
+    return cut.select("doc_id", "line_no", F.trim("line").alias("line")).filter(_wordy(F.col("line"), min_words))
 
-def _chosen(docs: DataFrame, numbers: Column, min_words: int) -> DataFrame:
-    """As ``_lines``, of the lines with the given numbers."""
-    cut = docs.select("doc_id", once(parts=F.split("text", "\n"), numbers=numbers))
-    told = F.transform("numbers", lambda i: F.struct(i.alias("line_no"), _plain(F.get("parts", i)).alias("line")))
-    return cut.select("doc_id", F.inline(told)).filter(_wordy(F.col("line"), min_words))
 
+def _line_hashes(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, line_no, a, b): 128 bits of every line that counts; lines that differ in white space only may differ."""
+    low = docs.select("doc_id", once(low=F.lower("text")))
+    cut = low.select("doc_id", F.posexplode(F.split("low", "\n")).alias("line_no", "line"))
+    cut = cut.select(*_LINE, F.trim("line").alias("line"))
+    # other white space that a line begins with sorts before any printed character
+    cut = cut.select(*_LINE, F.when(F.col("line") < "!", F.btrim("line", F.lit(SPACE))).otherwise(F.col("line")).alias("line"))
+    cut = cut.filter(_wordy(F.col("line"), min_words))
+    return cut.select(*_LINE, F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"))
 
-def _all_numbers() -> Column:
-    return F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1)
 
+def _words(line: Column, number: Callable[[Column], Column]) -> Column:
+    """The distinct numbers of a line's words."""
+    found = F.array_distinct(F.transform(F.split(line, " "), number))
+    return F.array_remove(found, number(F.lit("")))
 
-def _tokens(line: Column) -> Column:
-    return F.array_distinct(F.split(line, SPACE_CLASS + "+"))
 
-
-# slots of the sketch that are put together in one row before the rows are
+# words of a bitmap that are put together in one row before the rows are
 _STRETCH = 1024
 
 
-def _sketch(marks: DataFrame, slots: int) -> Column:
-    """An array of ``slots`` numbers from (slot, level), 0 where a slot is missing. One row, of fixed size."""
-    filled = marks.sparkSession.range(slots).select(F.col("id").alias("slot")).join(marks, "slot", "left")
-    level = F.coalesce("level", F.lit(0)).alias("level")
-    stretches = filled.select((F.col("slot") / _STRETCH).cast("int").alias("at"), F.struct("slot", level).alias("x"))
-    stretches = stretches.groupBy("at").agg(
-        F.transform(F.sort_array(F.collect_list("x")), lambda x: x["level"]).alias("levels")
-    )
-    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "levels"))), lambda x: x["levels"]))
-    return staged(stretches.agg(whole.alias("levels")), "lines-sketch").scalar()
-
+def _hashed(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(F.xxhash64(*keys).alias("hash"))
 
-def _slot(hashed: Column, slots: int) -> Column:
-    return F.pmod(hashed, F.lit(slots)).cast("int")
 
-
-def _rarity(docs: DataFrame, slots: int) -> DataFrame:
-    """(slot, level): the frequency class of the tokens of all texts; tokens of one slot count together."""
-    return staged(
-        docs.select(F.explode(F.split(F.lower("text"), SPACE_CLASS + "+")).alias("token"))
-        .groupBy(_slot(F.xxhash64("token"), slots).cast("long").alias("slot"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("slot", F.least(F.round(F.log2(F.col("n") + 1) * _STEPS), F.lit(127)).cast("int").alias("level")),
-        "lines-rarity",
-    )
+def _slots(hashed: Column, slots: int) -> list[Column]:
+    return [h.bitwiseAND(F.lit(slots - 1)) for h in (hashed, F.shiftrightunsigned(hashed, 32))]
 
 
-# the frequency class of a single occurrence
-_ONCE = round(math.log2(2) * _STEPS)
-# bits in one bitmap of Spark's bitmap functions
-_BITMAP = 32_768
+def _bit(slot: Column) -> Column:
+    return slot.bitwiseAND(F.lit(63)).cast("int")
 
 
-def _members(ids: DataFrame, slots: int) -> Column:
-    """Bitmap of a set of documents: a bit is set where a doc_id of ``ids`` falls. One row, of ``slots`` bits."""
-    slot = _slot(F.xxhash64("doc_id"), slots)
-    marks = ids.select((slot / _BITMAP).cast("int").alias("at"), (slot % _BITMAP).cast("long").alias("bit"))
-    maps = marks.groupBy("at").agg(F.bitmap_construct_agg("bit").alias("map"))
-    empty = F.lit(bytes(_BITMAP // 8))
-    filled = ids.sparkSession.range(-(-slots // _BITMAP)).select(F.col("id").cast("int").alias("at")).join(maps, "at", "left")
-    found = F.sort_array(F.collect_list(F.struct("at", F.hex(F.coalesce("map", empty)).alias("digits"))))
-    whole = F.unhex(F.array_join(F.transform(found, lambda x: x["digits"]), ""))
-    return staged(filled.agg(whole.alias("bytes")), "lines-members").scalar()
+def _members(hashes: DataFrame, slots: int) -> tuple[Column, int]:
+    """A bitmap of a staged set of hashes, an array of 64-bit words, and its bits. One row, of bounded size."""
+    slots = min(max(slots, 1 << (16 * hashes.count()).bit_length()), max(slots, MOST_SLOTS))
+    marks = hashes.select(F.explode(F.array(*_slots(F.col("hash"), slots))).alias("slot"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.col("slot")))
+    marks = marks.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(bit).alias("word"))
+    filled = hashes.sparkSession.range(slots // 64).join(marks, "id", "left")
+    word = F.coalesce("word", F.lit(0).cast("long")).alias("word")
+    stretches = filled.select((F.col("id") / _STRETCH).cast("int").alias("at"), F.struct("id", word).alias("x"))
+    stretches = stretches.groupBy("at").agg(
+        F.transform(F.sort_array(F.collect_list("x")), lambda x: x["word"]).alias("words")
+    )
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]))
+    return staged(stretches.agg(whole.alias("words")), "lines-members").scalar(), slots
 
 
-def _inside(doc_id: Column, members: Column, slots: int) -> Column:
-    """Whether the bitmap may hold a document; false is certain."""
-    slot = _slot(F.xxhash64(doc_id), slots)
-    byte = F.conv(F.hex(F.substring(members, F.shiftright(slot, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, slot.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+def _inside(hashed: Column, members: tuple[Column, int]) -> Column:
+    """Whether the bitmap may hold a hash; false is certain."""
+    words, slots = members
+    a, b = (
+        F.call_function("shiftright", F.get(words, F.shiftright(slot, 6).cast("int")), _bit(slot)).bitwiseAND(F.lit(1)) == 1
+        for slot in _slots(hashed, slots)
+    )
+    return a & b
 
 
-def _copies(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, lines): numbers of the lines that equal an earlier line."""
-    keyed = _lines(docs, min_words).select(
-        "doc_id", "line_no", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b")
-    )
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(doc_id, line_no): the lines that equal an earlier line."""
     first = keyed.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = staged(first.filter("n > 1"), "lines-first")
     # a line that makes up a large share of all copies is dealt over several tasks
@@ -134,77 +133,90 @@ def _copies(docs: DataFrame, min_words: int) -> DataFrame:
     later = salted_join(keyed, first.select("a", "b", "first"), ["a", "b"], hot, ["doc_id", "line_no"]).filter(
         F.struct("doc_id", "line_no") > F.col("first")
     )
-    return later.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
+    return later.select("doc_id", "line_no").distinct()
 
 
-def _prefixes(
-    docs: DataFrame, copies: DataFrame, rarity: DataFrame, percent: int, min_words: int, slots: int, split_lines: int
-) -> DataFrame:
-    """(token, part, parts, doc_id, line_no, size, pos, bits): the rarest tokens of every line that is no copy.
+def _fresh(docs: DataFrame, keyed: DataFrame, copies: DataFrame, min_words: int, slots: int) -> DataFrame:
+    """As ``_lines``, without the copies but for a few.
 
-    ``size`` is that of the token set, ``pos`` the token's place in the order from rare to common, ``bits`` the
-    parity of the set's hashes by their last six bits. A token of very many lines is dealt over ``parts``.
+    Lines outside the bitmap of the copies are none. The others that are none have a bitmap of their own; the few
+    copies that it lets through too only take part in vain.
     """
-    held = _members(copies, slots)
-    inside = _inside(F.col("doc_id"), held, slots)
-    maybe = docs.filter(inside).join(copies.hint("shuffle_hash"), "doc_id", "left")
-    never = docs.filter(~inside).withColumn("lines", F.lit(None).cast("array<int>"))
-    none = F.array().cast("array<int>")
-    fresh = _chosen(
-        maybe.unionByName(never), F.array_except(_all_numbers(), F.coalesce("lines", none)), min_words
-    )
-    # a token's number: seven bits of frequency class, then 55 bits of hash; numbers sort from rare to common
-    hashed = fresh.select(
-        "doc_id",
-        "line_no",
-        F.array_distinct(F.transform(F.split("line", SPACE_CLASS + "+"), lambda t: F.xxhash64(t))).alias("hashes"),
-    )
-    number = lambda h: F.shiftleft(
-        F.get("sketch", h.bitwiseAND(F.lit(slots - 1)).cast("int")).cast("long"), 55
-    ).bitwiseOR(F.shiftrightunsigned(h, 9))
-    numbered = hashed.withColumn("sketch", _sketch(rarity, slots)).select(
-        "doc_id", "line_no", F.sort_array(F.transform("hashes", number)).alias("ids")
+    here = F.xxhash64(*_LINE)
+    copied = _members(_hashed(copies, *_LINE), slots)
+    beyond = keyed.filter(_inside(here, copied)).select(*_LINE).join(copies, _LINE, "left_anti")
+    spared = _members(_hashed(staged(beyond.distinct(), "lines-spared"), *_LINE), slots)
+    return _lines(docs, min_words).filter(~_inside(here, copied) | _inside(here, spared))
+
+
+def _keyed_rows(lines: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, tag, line_no, bits): a row for each of the first pairs of neighbours of every line's token set.
+
+    ``tag`` is the size of the set above the pair's hash, ``bits`` the parity of the set's hashes by their last six bits.
+    """
+    # a token's number: longer tokens first (of 256 bytes and more anywhere, but always at one place), then by hash
+    number = lambda t: F.bitwise_not(
+        F.shiftleft(F.octet_length(t).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 9))
     )
-    one = F.lit(1).cast("long")
+    numbered = lines.select(*_LINE, once(ids=F.sort_array(_words(F.col("line"), number))))
     flip = F.aggregate(
         "ids",
         F.lit(0).cast("long"),
-        lambda acc, i: acc.bitwiseXOR(F.call_function("shiftleft", one, i.bitwiseAND(F.lit(63)).cast("int"))),
+        lambda acc, i: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(i))),
     )
     size = F.size("ids")
-    length = size - F.ceil(size * percent / 100).cast("int") + 1
-    rows = numbered.select("doc_id", "line_no", once(size=size, bits=flip, prefix=F.slice("ids", 1, length)))
-    out = rows.select("doc_id", "line_no", "size", "bits", F.posexplode("prefix").alias("pos", "id"))
-    level = F.shiftrightunsigned("id", 55)
-    # a token that stands once in all texts, alone in its slot, has no other line to be joined with
-    out = out.filter(level != _ONCE)
-    parts = F.when(level <= _last_whole(split_lines), 1).otherwise(
-        F.ceil(F.pow(F.lit(2.0), level / _STEPS) / split_lines).cast("int")
+    if percent > _SINGLE_PERCENT:
+        # with sizes s >= t and an overlap of o, 2 (s - o) + (t - o) pairs of the larger set are not in the other
+        n = F.floor(size * (2 * (100 - percent)) / 100).cast("int") + 1
+        grams = F.zip_with(F.slice("ids", 1, n), F.slice("ids", 2, n), lambda x, y: F.xxhash64(x, y))
+    else:
+        grams = F.transform(F.slice("ids", 1, F.floor(size * (100 - percent) / 100).cast("int") + 1), lambda x: F.xxhash64(x))
+    above = F.shiftleft(F.least(size, F.lit(_MOST_SIZE)).cast("long"), _KEY_BITS)
+    rows = numbered.select(*_LINE, once(above=above, bits=flip, grams=grams)).select(
+        *_LINE, "above", "bits", F.explode("grams").alias("gram")
     )
-    found = {
-        "token": (F.shiftrightunsigned("id", 10).bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"),
-        "part": F.when(parts > 1, F.pmod(F.xxhash64("doc_id", "line_no"), parts).cast("int")).otherwise(0),
-        "parts": parts,
-        **{name: F.col(name) for name in _ROW},
-    }
-    return out.select(*[c.alias(name) for name, c in found.items()])
+    tag = F.col("above").bitwiseOR(F.shiftrightunsigned("gram", 64 - _KEY_BITS))
+    return rows.select("doc_id", tag.alias("tag"), "bits", "line_no")
+
+
+def _key() -> Column:
+    return F.col("tag").bitwiseAND(F.lit((1 << _KEY_BITS) - 1))
+
 
+def _similar_length(percent: int, a: Column, b: Column) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-def _last_whole(split_lines: int) -> int:
-    """The highest frequency class that is not dealt over several tasks."""
-    return math.floor(math.log2(split_lines) * _STEPS)
+
+def _few_apart(percent: int, apart: Column, total: Column) -> Column:
+    return apart * (100 + percent) <= total * (100 - percent)
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, n, doc_id, line_no, size, bits): the rows whose key another line has that may be similar.
+
+    ``n`` is the number of rows of the key. Most keys have one row, most others two that the aggregates rule out.
+    """
+    size = F.shiftrightunsigned("tag", _KEY_BITS).cast("int")
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), _key())
+    keys = dealt.groupBy(_key().alias("key")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(size).alias("total"),
+        F.bit_xor("bits").alias("flips"),
+        F.bit_xor("doc_id").alias("doc"),
+        F.bit_xor("line_no").alias("line"),
+    )
+    # of two rows the exclusive or tells in how many bits their sets differ, and whether both are of one line
+    two = _few_apart(percent, F.bit_count("flips"), F.col("total")) & ((F.col("doc") != 0) | (F.col("line") != 0))
+    shared = keys.filter((F.col("n") > 2) | ((F.col("n") == 2) & two)).select("key", "n")
+    told = dealt.select(_key().alias("key"), *_LINE, size.alias("size"), "bits")
+    return told.join(shared.hint("shuffle_hash"), "key")
 
 
 def _may_match(percent: int, a: str, b: str) -> Column:
-    """Length, position and bitmap filters between two prefix rows that share a token."""
+    """Length and bitmap filters between two rows that share a key."""
     ca, cb = (lambda n: F.col(f"{a}{n}")), (lambda n: F.col(f"{b}{n}"))
     total = ca("size") + cb("size")
-    length = F.least(ca("size"), cb("size")) * 100 >= F.greatest(ca("size"), cb("size")) * percent
-    # at the first common token nothing before it is shared, so this and what follows must suffice
-    reach = F.least(ca("size") - ca("pos"), cb("size") - cb("pos"))
-    position = reach * (100 + percent) >= total * percent
-    apart = F.bit_count(ca("bits").bitwiseXOR(cb("bits")))
-    return length & position & (apart * (100 + percent) <= total * (100 - percent))
+    return _similar_length(percent, ca("size"), cb("size")) & _few_apart(percent, _apart(a, b), total)
 
 
 def _apart(a: str, b: str) -> Column:
@@ -226,23 +238,34 @@ def _named(rows: DataFrame, start: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{start}{c}") if c in _ROW else F.col(c) for c in rows.columns])
 
 
-def _stored_prefixes(prefixes: DataFrame, percent: int) -> str:
-    """Name of a stored table of the prefix rows of tokens that several lines have, bucketed by token.
+def _token(key: Column, part: Column, parts: Column) -> Column:
+    return F.when(parts > 1, F.xxhash64(key, part)).otherwise(key)
+
+
+def _stored_rows(met: DataFrame, percent: int, split_lines: int) -> str:
+    """Name of a stored table of the rows that share a key, bucketed by ``token``.
 
-    ``best`` is the likeliest of three nearby lines (the first of the same token and size, the two before) that looks
-    similar. Joins on the token need no shuffle.
+    A token is a key, or where that has very many lines the key and one of its ``parts``. ``best`` is the likeliest of
+    three nearby lines (the first of the same token and size, the two before) that looks similar. Rows that have no
+    line of a similar length beside them are left out. Joins on the token need no shuffle.
     """
-    spark = prefixes.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefixes.repartition(buckets, "token", "part")
-    group = Window.partitionBy("token", "part", "size").orderBy("doc_id", "line_no")
-    whole = Window.partitionBy("token", "part")
+    spark = met.sparkSession
+    parts = F.ceil(F.col("n") / split_lines).cast("int")
+    dealt = met.select("key", *_ROW, parts.alias("parts")).withColumn(
+        "part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64(*_LINE), F.col("parts")).cast("int")).otherwise(0)
+    )
+    group = Window.partitionBy("key", "part", "size").orderBy(*_LINE)
+    sizes = Window.partitionBy("key").orderBy("part", "size", *_LINE)
     row = F.struct(*_ROW)
+    dealt = dealt.select("*", F.lag("size").over(sizes).alias("under"), F.lead("size").over(sizes).alias("over"))
+    beside = [F.coalesce(_similar_length(percent, F.col(c), F.col("size")), F.lit(False)) for c in ("under", "over")]
+    # a key that is dealt over parts may have its other lines elsewhere
+    dealt = dealt.filter((F.col("parts") > 1) | beside[0] | beside[1]).drop("under", "over")
     near = dealt.select(
         "*", F.first(row).over(group).alias("f"), F.lag(row).over(group).alias("l"), F.lag(row, 2).over(group).alias("m")
     )
     flat = near.select(
-        "token", "part", "parts", *_ROW, *[F.col(f"{w}.{c}").alias(f"{w}_{c}") for w in "flm" for c in _ROW]
+        "key", "part", "parts", *_ROW, *[F.col(f"{w}.{c}").alias(f"{w}_{c}") for w in "flm" for c in _ROW]
     )
 
     def offer(start: str) -> Column:
@@ -255,17 +278,19 @@ def _stored_prefixes(prefixes: DataFrame, percent: int) -> str:
         offers[0].isNotNull() | offers[1].isNotNull() | offers[2].isNotNull(),
         F.array_min(F.filter(F.array(*offers), lambda o: o.isNotNull())),
     )
-    offered = flat.select("token", "part", "parts", *_ROW, best.alias("best")).select(
-        "*", F.count(F.lit(1)).over(whole).alias("n")
-    )
     name = f"lines_{uuid.uuid4().hex}"
     (
-        # a token that is dealt over parts may have its other lines elsewhere
-        offered.filter("n > 1 or parts > 1")
-        .drop("n")
+        flat.select(
+            _token(F.col("key"), F.col("part"), F.col("parts")).alias("token"),
+            F.when(F.col("parts") > 1, F.col("key")).alias("key"),
+            "part",
+            "parts",
+            *_ROW,
+            best.alias("best"),
+        )
         .write.option("path", f"{scratch_dir(spark).rstrip('/')}/llm-{name}")
-        .bucketBy(buckets, "token", "part")
-        .sortBy("token", "part")
+        .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+        .sortBy("token")
         .saveAsTable(name)
     )
     return name
@@ -274,31 +299,33 @@ def _stored_prefixes(prefixes: DataFrame, percent: int) -> str:
 def _pairs(rows: DataFrame, stored: DataFrame, percent: int, dealt: bool) -> DataFrame:
     """(doc_id, line_no, y_doc_id, y_line_no, apart): the earlier lines that may match, by the tokens of ``rows``.
 
-    ``dealt`` tells whether any token is dealt over parts; its rows then visit them all.
+    ``dealt`` tells whether any key is dealt over parts; its rows then visit them all.
     """
-    others = _named(stored.select("token", "part", *_ROW), "y_")
+    others = _named(stored.select("token", *_ROW), "y_")
     fits = _before("y_", "") & _may_match(percent, "y_", "")
-    met = rows.select("token", "part", *_ROW).join(others, ["token", "part"]).filter(fits)
+    met = rows.select("token", *_ROW).join(others, "token").filter(fits)
     if dealt:
         there = rows.filter("parts > 1").withColumn("home", F.col("part"))
         there = there.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part <> home")
-        met = met.unionByName(there.select("token", "part", *_ROW).join(others, ["token", "part"]).filter(fits))
+        there = there.select(_token(F.col("key"), F.col("part"), F.col("parts")).alias("token"), *_ROW)
+        met = met.unionByName(there.join(others, "token").filter(fits))
     return met.select(*_PAIR, _apart("y_", "").alias("apart")).distinct()
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int, slots: int) -> DataFrame:
     """(doc_id, line_no) of the later lines of pairs whose token sets are similar enough."""
-    ends = pairs.select("doc_id", "line_no").unionByName(
+    ends = pairs.select(*_LINE).unionByName(
         pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_line_no").alias("line_no"))
     )
-    wanted = staged(ends.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "lines-wanted")
-    held = docs.filter(_inside(F.col("doc_id"), _members(wanted, slots), slots)).join(wanted.hint("shuffle_hash"), "doc_id")
-    lines = _chosen(held, F.col("wanted"), min_words)
-    other = lines.select(F.col("doc_id").alias("y_doc_id"), F.col("line_no").alias("y_line_no"), F.col("line").alias("y_line"))
-    both = pairs.join(lines, ["doc_id", "line_no"]).join(other, ["y_doc_id", "y_line_no"])
-    sets = both.select("doc_id", "line_no", once(a=_tokens(F.col("line")), b=_tokens(F.col("y_line")))).select(
-        "doc_id", "line_no", once(n=F.size("a") + F.size("b"), shared=F.size(F.array_intersect("a", "b")))
-    )
+    wanted = _members(staged(_hashed(ends, *_LINE).distinct(), "lines-wanted"), slots)
+    cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = cut.filter(_inside(F.xxhash64(*_LINE), wanted)).select(*_LINE, F.trim(_spaced(F.lower("line"))).alias("line"))
+    lines = lines.filter(_wordy(F.col("line"), min_words))
+    lines = staged(lines.select(*_LINE, _words(F.col("line"), lambda t: F.xxhash64(t)).alias("words")), "lines-words")
+    other = lines.select(F.col("doc_id").alias("y_doc_id"), F.col("line_no").alias("y_line_no"), F.col("words").alias("y_words"))
+    both = pairs.select(*_PAIR).join(lines, _LINE).join(other, ["y_doc_id", "y_line_no"])
+    n, shared = F.size("words") + F.size("y_words"), F.size(F.array_intersect("words", "y_words"))
+    sets = both.select("doc_id", "line_no", once(n=n, shared=shared))
     return sets.filter(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select("doc_id", "line_no").distinct()
 
 
@@ -321,29 +348,29 @@ def removals(
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(
         "doc_id is not null and text is not null"
     )
-    copies = staged(_copies(docs, min_words), "lines-copies")
-    rarity = _rarity(docs, slots)
-    dealt = not rarity.filter(F.col("level") > _last_whole(split_lines)).isEmpty()
-    name = _stored_prefixes(_prefixes(docs, copies, rarity, percent, min_words, slots, split_lines), percent)
+    keyed = staged(_line_hashes(docs, min_words), "lines-keyed")
+    copies = staged(_copies(keyed), "lines-copies")
+    rows = _keyed_rows(_fresh(docs, keyed, copies, min_words, slots), percent)
+    name = _stored_rows(_met(rows, percent), percent, split_lines)
     stored = docs.sparkSession.table(name)
+    dealt = not stored.filter("parts > 1").isEmpty()
     plain = staged(_pairs(stored.filter("best is null"), stored, percent, dealt), "lines-pairs")
     waiting = stored.filter("best is not null")
-    line = ["doc_id", "line_no"]
     # one earlier line is enough, so the likeliest of all is tried first
-    offers = plain.select(*line, F.struct("apart", "y_doc_id", "y_line_no").cast(_OFFER).alias("best"))
-    likeliest = offers.unionByName(waiting.select(*line, "best")).groupBy(*line).agg(F.min("best").alias("best"))
-    likeliest = staged(likeliest.select(*line, "best.y_doc_id", "best.y_line_no"), "lines-likeliest")
+    offers = plain.select(*_LINE, F.struct("apart", "y_doc_id", "y_line_no").cast(_OFFER).alias("best"))
+    likeliest = offers.unionByName(waiting.select(*_LINE, "best")).groupBy(*_LINE).agg(F.min("best").alias("best"))
+    likeliest = staged(likeliest.select(*_LINE, "best.y_doc_id", "best.y_line_no"), "lines-likeliest")
     settled = staged(_confirmed(docs, likeliest, percent, min_words, slots), "lines-settled")
     # where it failed, all others that may match, those of the rows that were not joined yet included
-    failed = staged(likeliest.select(*line).join(settled, line, "left_anti"), "lines-failed")
-    more = plain.join(failed, line, "left_semi").unionByName(
-        _pairs(waiting.join(failed, line, "left_semi"), stored, percent, dealt)
+    failed = staged(likeliest.select(*_LINE).join(settled, _LINE, "left_anti"), "lines-failed")
+    more = plain.join(failed, _LINE, "left_semi").unionByName(
+        _pairs(waiting.join(failed, _LINE, "left_semi"), stored, percent, dealt)
     )
     more = staged(more.select(*_PAIR).distinct().join(likeliest, [*_PAIR], "left_anti"), "lines-more")
     docs.sparkSession.sql(f"DROP TABLE {name}")  # from the catalogue; the files stay with the other shared tables
-    late = _confirmed(docs, more, percent, min_words, slots)
-    copied = copies.select("doc_id", F.explode("lines").alias("line_no"))
-    gone = settled.unionByName(late).unionByName(copied)
+    gone = settled.unionByName(copies)
+    if not more.isEmpty():
+        gone = gone.unionByName(_confirmed(docs, more, percent, min_words, slots))
     return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines"))
 
 
@@ -366,7 +393,7 @@ def deduplicate(
     n_name, left_name = free_name("n_removed", names), free_name("has_lines", names)
     gone = staged(removals(documents, doc_id, text, percent, min_words, slots, split_lines), "lines-gone")
     key = F.col(doc_id).cast("long")
-    inside = key.isNotNull() & _inside(key, _members(gone, slots), slots)
+    inside = key.isNotNull() & _inside(F.xxhash64(key), _members(_hashed(gone, "doc_id"), slots))
     named = gone.select(F.col("doc_id").alias(id_name), F.col("lines").alias(gone_name))
     touched = documents.filter(inside).join(named.hint("shuffle_hash"), key == F.col(id_name), "left")
     parts_name, kept_name = free_name("parts", names), free_name("kept_lines", names)
@@ -378,7 +405,7 @@ def deduplicate(
     rebuilt = cut.select(
         *[(F.when(is_gone, F.array_join(kept_name, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c)) for c in names],
         F.when(is_gone, F.size(F.col(gone_name))).otherwise(0).alias(n_name),
-        F.when(is_gone, F.exists(kept_name, lambda x: _wordy(_plain(x), min_words))).otherwise(True).alias(left_name),
+        F.when(is_gone, F.exists(kept_name, lambda x: _wordy(F.trim(_spaced(F.lower(x))), min_words))).otherwise(True).alias(left_name),
     )
     untouched = documents.filter(~inside).select(
         *names, F.lit(0).alias(n_name), F.lit(True).alias(left_name)

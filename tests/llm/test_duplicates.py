@@ -65,6 +65,26 @@ def test_line_removals(spark, docs, line_rows, split_lines):
     assert {r["doc_id"]: r["lines"] for r in found} == plain_removals(line_rows)
 
 
+@pytest.mark.parametrize("percent", [50, 76, 95])
+def test_line_removals_at_other_thresholds(spark, docs, line_rows, percent):
+    rows = [*line_rows, (300, "Tab\there and\r there\n\t\n\x0b \r\n\ttab here there and"), (301, "tab HERE and there\n\t")]
+    found = line_dedup.removals(docs(rows), percent=percent, slots=1 << 15).collect()
+    assert {r["doc_id"]: r["lines"] for r in found} == plain_removals(rows, percent)
+
+
+def test_lines_of_common_words_are_not_joined(spark, docs):
+    """Nearly all words are in several lines, few neighbours of the ordered sets are."""
+    rng = random.Random(8)
+    vocabulary = [f"w{'o' * (i % 7)}{i}" for i in range(2000)]
+    rows = [(i, "\n".join(" ".join(rng.sample(vocabulary, 25)) for _ in range(5))) for i in range(60)]
+    lines = line_dedup._lines(docs(rows), 1)
+    keyed = line_dedup._keyed_rows(lines, 80)
+    assert keyed.count() == 300 * (2 * 25 * 20 // 100 + 1)
+    name = line_dedup._stored_rows(line_dedup._met(keyed, 80), 80, 1 << 20)
+    assert spark.table(name).count() < keyed.count() / 10
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_deduplicated_texts(spark, docs, line_rows):
     table = docs(line_rows, True)
     found, n_removed, has_lines = line_dedup.deduplicate(table, slots=1 << 15)
