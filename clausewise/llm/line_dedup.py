@@ -312,21 +312,52 @@ def _pairs(rows: DataFrame, stored: DataFrame, percent: int, dealt: bool) -> Dat
     return met.select(*_PAIR, _apart("y_", "").alias("apart")).distinct()
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int, slots: int) -> DataFrame:
-    """(doc_id, line_no) of the later lines of pairs whose token sets are similar enough."""
-    ends = pairs.select(*_LINE).unionByName(
-        pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_line_no").alias("line_no"))
+def _parity(words: str, shift: int) -> Column:
+    """The parity of a set's hashes by six of their bits."""
+    return F.aggregate(
+        words,
+        F.lit(0).cast("long"),
+        lambda acc, h: acc.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.shiftrightunsigned(h, shift)))
+        ),
     )
-    wanted = _members(staged(_hashed(ends, *_LINE).distinct(), "lines-wanted"), slots)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    others = pairs.select(F.col("y_doc_id").alias("doc_id"), F.col("y_line_no").alias("line_no"))
+    return staged(_hashed(pairs.select(*_LINE).unionByName(others), *_LINE).distinct(), "lines-wanted")
+
+
+def _both(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs with the other columns of ``lines`` for both ends, with y_ before those of the earlier line."""
+    others = lines.select(*[F.col(c).alias(f"y_{c}") for c in lines.columns])
+    return pairs.select(*_PAIR).join(lines, _LINE).join(others, ["y_doc_id", "y_line_no"])
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int, slots: int) -> DataFrame:
+    """(doc_id, line_no) of the later lines of pairs whose token sets are similar enough.
+
+    The lines are cut out once. Two more bitmaps of their sets rule most other pairs out before any line is moved.
+    """
+    number = lambda t: F.xxhash64(t)
+    wanted = _members(_ends(pairs), slots)
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = cut.filter(_inside(F.xxhash64(*_LINE), wanted)).select(*_LINE, F.trim(_spaced(F.lower("line"))).alias("line"))
-    lines = lines.filter(_wordy(F.col("line"), min_words))
-    lines = staged(lines.select(*_LINE, _words(F.col("line"), lambda t: F.xxhash64(t)).alias("words")), "lines-words")
-    other = lines.select(F.col("doc_id").alias("y_doc_id"), F.col("line_no").alias("y_line_no"), F.col("words").alias("y_words"))
-    both = pairs.select(*_PAIR).join(lines, _LINE).join(other, ["y_doc_id", "y_line_no"])
-    n, shared = F.size("words") + F.size("y_words"), F.size(F.array_intersect("words", "y_words"))
-    sets = both.select("doc_id", "line_no", once(n=n, shared=shared))
-    return sets.filter(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select("doc_id", "line_no").distinct()
+    lines = lines.filter(_wordy(F.col("line"), min_words)).select(*_LINE, "line", once(words=_words(F.col("line"), number)))
+    told = {"size": F.size("words"), "bits": _parity("words", 32), "more": _parity("words", 40)}
+    lines = staged(lines.select(*_LINE, "line", *[c.alias(name) for name, c in told.items()]), "lines-texts")
+    few = [
+        _few_apart(percent, F.bit_count(F.col(c).bitwiseXOR(F.col(f"y_{c}"))), F.col("size") + F.col("y_size"))
+        for c in ("bits", "more")
+    ]
+    close = _both(pairs, lines.drop("line")).filter(few[0] & few[1]).select(*_PAIR).distinct()
+    close = staged(close, "lines-close")
+    needed = _members(_ends(close), slots)
+    both = _both(close, lines.filter(_inside(F.xxhash64(*_LINE), needed)).select(*_LINE, "line"))
+    sets = both.select(*_LINE, once(a=_words(F.col("line"), number), b=_words(F.col("y_line"), number))).select(
+        *_LINE, once(n=F.size("a") + F.size("b"), shared=F.size(F.array_intersect("a", "b")))
+    )
+    return sets.filter(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select(*_LINE).distinct()
 
 
 def removals(
