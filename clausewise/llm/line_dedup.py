@@ -5,7 +5,10 @@ similarity of at least ``percent`` / 100. Equal lines are settled by a grouped m
 a set's tokens are ordered from long to short, which is mostly from rare to common. A token that only one
 of two sets has parts at most two pairs of neighbours in its own set and one in the other, so similar sets
 share a pair of neighbours, one of the first few of both: these pairs are joined, and length and a
-bitmap of the set rule most candidates out before the sets are compared.
+bitmap of the set, wider for longer sets, rule most candidates out before the sets are compared.
+
+Pairs of neighbours are many times the lines. They are kept with their line and dealt out in a few passes, a
+part of the keys in each: what a pass moved and stored goes when it ends.
 
 In a crowd of near copies all pairs would be too many, and one earlier line is enough. So each
 row first meets the earliest and the previous line of its pair and length; where
@@ -20,11 +23,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clausewise.llm.common import SPACE, SPACE_CLASS, free_name, once, staged
+from clausewise.llm.common import SPACE, SPACE_CLASS, free_name, once, remove_shared, shuffles_dropped, staged
 from clausewise.operators.skew import hot_keys, salted_join
 from clausewise.session import scratch_dir
 
@@ -41,7 +45,16 @@ _SINGLE_PERCENT = 75
 # bits of a key, and the largest size of a set that is told apart from larger ones
 _KEY_BITS = 48
 _MOST_SIZE = (1 << 16) - 1
-_ROW = ("doc_id", "line_no", "size", "bits")
+# sets of these sizes and more have two and four words of bitmap; one word has as many bits set for any two long sets
+_WIDE = (72, 160)
+_BITS = ("bits", "bits1", "bits2", "bits3")
+_ROW = ("doc_id", "line_no", "size", *_BITS)
+# most words of the bitmap that rules pairs out before lines are moved, and tokens to a word up to there
+_MOST_WORDS = 64
+_WORD_TOKENS = 16
+# most parts in which the keys are dealt out one after the other, and keys that are worth a part of their own
+PASSES = 4
+PASS_KEYS = 1 << 20
 _LINE = ["doc_id", "line_no"]
 
 
@@ -149,21 +162,35 @@ def _fresh(docs: DataFrame, keyed: DataFrame, copies: DataFrame, min_words: int,
     return _lines(docs, min_words).filter(~_inside(here, copied) | _inside(here, spared))
 
 
-def _keyed_rows(lines: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, tag, line_no, bits): a row for each of the first pairs of neighbours of every line's token set.
+def _flipped(ids: Column) -> Column:
+    """The parity of hashes by their last six bits."""
+    return F.aggregate(
+        ids,
+        F.lit(0).cast("long"),
+        lambda acc, i: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(i))),
+    )
+
 
-    ``tag`` is the size of the set above the pair's hash, ``bits`` the parity of the set's hashes by their last six bits.
+def _keyed_lines(lines: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line_no, size, bits, bits1, bits2, bits3, keys): the hashes of the first pairs of neighbours of every line's token set.
+
+    ``bits`` is the parity of the set's hashes by their last six bits; ``bits1`` is that of every second hash by the seventh
+    bit, ``bits2`` and ``bits3`` are those of every fourth, null for smaller sets (``_WIDE``). See ``_apart``.
     """
     # a token's number: longer tokens first (of 256 bytes and more anywhere, but always at one place), then by hash
     number = lambda t: F.bitwise_not(
         F.shiftleft(F.octet_length(t).cast("long"), 55).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 9))
     )
     numbered = lines.select(*_LINE, once(ids=F.sort_array(_words(F.col("line"), number))))
-    flip = F.aggregate(
-        "ids",
-        F.lit(0).cast("long"),
-        lambda acc, i: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), _bit(i))),
-    )
+    # the two bits above those of a bitmap's word tell one word of four from the others
+    above = lambda i, mask: F.shiftrightunsigned(i, 6).bitwiseAND(F.lit(mask))
+    some = lambda mask, n: _flipped(F.filter("ids", lambda i: above(i, mask) == n))
+    bits = {
+        "bits": _flipped(F.col("ids")),
+        "bits1": F.when(F.size("ids") >= _WIDE[0], some(1, 1)),
+        "bits2": F.when(F.size("ids") >= _WIDE[1], some(3, 2)),
+        "bits3": F.when(F.size("ids") >= _WIDE[1], some(3, 3)),
+    }
     size = F.size("ids")
     if percent > _SINGLE_PERCENT:
         # with sizes s >= t and an overlap of o, 2 (s - o) + (t - o) pairs of the larger set are not in the other
@@ -171,12 +198,21 @@ def _keyed_rows(lines: DataFrame, percent: int) -> DataFrame:
         grams = F.zip_with(F.slice("ids", 1, n), F.slice("ids", 2, n), lambda x, y: F.xxhash64(x, y))
     else:
         grams = F.transform(F.slice("ids", 1, F.floor(size * (100 - percent) / 100).cast("int") + 1), lambda x: F.xxhash64(x))
-    above = F.shiftleft(F.least(size, F.lit(_MOST_SIZE)).cast("long"), _KEY_BITS)
-    rows = numbered.select(*_LINE, once(above=above, bits=flip, grams=grams)).select(
-        *_LINE, "above", "bits", F.explode("grams").alias("gram")
-    )
-    tag = F.col("above").bitwiseOR(F.shiftrightunsigned("gram", 64 - _KEY_BITS))
-    return rows.select("doc_id", tag.alias("tag"), "bits", "line_no")
+    keys = F.transform(grams, lambda g: F.shiftrightunsigned(g, 64 - _KEY_BITS))
+    told = numbered.select(*_LINE, once(size=F.least(size, F.lit(_MOST_SIZE)), keys=keys, **bits))
+    return told.select(*_ROW, "keys")
+
+
+def _exploded(keyed_lines: DataFrame) -> DataFrame:
+    """(doc_id, tag, line_no and bitmap): a row for each key of a line, ``tag`` the size of the set above the key."""
+    rows = keyed_lines.select(*_ROW, F.explode("keys").alias("key"))
+    tag = F.shiftleft(F.col("size").cast("long"), _KEY_BITS).bitwiseOR(F.col("key"))
+    return rows.select("doc_id", tag.alias("tag"), *_BITS, "line_no")
+
+
+def _keyed_rows(lines: DataFrame, percent: int) -> DataFrame:
+    """A row for each of the first pairs of neighbours of every line's token set."""
+    return _exploded(_keyed_lines(lines, percent))
 
 
 def _key() -> Column:
@@ -192,7 +228,7 @@ def _few_apart(percent: int, apart: Column, total: Column) -> Column:
 
 
 def _met(rows: DataFrame, percent: int) -> DataFrame:
-    """(key, n, doc_id, line_no, size, bits): the rows whose key another line has that may be similar.
+    """(key, n, doc_id, line_no, size and bitmap): the rows whose key another line has that may be similar.
 
     ``n`` is the number of rows of the key. Most keys have one row, most others two that the aggregates rule out.
     """
@@ -201,14 +237,15 @@ def _met(rows: DataFrame, percent: int) -> DataFrame:
     keys = dealt.groupBy(_key().alias("key")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(size).alias("total"),
-        F.bit_xor("bits").alias("flips"),
+        *[F.when(F.count(c) != 1, F.bit_xor(c)).alias(c) for c in _BITS],
         F.bit_xor("doc_id").alias("doc"),
         F.bit_xor("line_no").alias("line"),
     )
     # of two rows the exclusive or tells in how many bits their sets differ, and whether both are of one line
-    two = _few_apart(percent, F.bit_count("flips"), F.col("total")) & ((F.col("doc") != 0) | (F.col("line") != 0))
+    apart = _bits_set(*[F.col(c) for c in _BITS])
+    two = _few_apart(percent, apart, F.col("total")) & ((F.col("doc") != 0) | (F.col("line") != 0))
     shared = keys.filter((F.col("n") > 2) | ((F.col("n") == 2) & two)).select("key", "n")
-    told = dealt.select(_key().alias("key"), *_LINE, size.alias("size"), "bits")
+    told = dealt.select(_key().alias("key"), *_LINE, size.alias("size"), *_BITS)
     return told.join(shared.hint("shuffle_hash"), "key")
 
 
@@ -219,8 +256,17 @@ def _may_match(percent: int, a: str, b: str) -> Column:
     return _similar_length(percent, ca("size"), cb("size")) & _few_apart(percent, _apart(a, b), total)
 
 
+def _bits_set(x: Column, x1: Column, x2: Column, x3: Column) -> Column:
+    """Bits set in the bitmap that ``_BITS`` tell, of as many words as are not null."""
+    two = F.bit_count(x.bitwiseXOR(x1)) + F.bit_count(x1)
+    # of four words the first two are the words of two without the third and the fourth
+    four = F.bit_count(x.bitwiseXOR(x1).bitwiseXOR(x2)) + F.bit_count(x1.bitwiseXOR(x3)) + F.bit_count(x2) + F.bit_count(x3)
+    return F.coalesce(four, two, F.bit_count(x))
+
+
 def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits")))
+    """In how many bits two bitmaps differ, in as many words as the smaller has."""
+    return _bits_set(*[F.col(f"{a}{n}").bitwiseXOR(F.col(f"{b}{n}")) for n in _BITS])
 
 
 def _before(a: str, b: str) -> Column:
@@ -279,25 +325,36 @@ def _stored_rows(met: DataFrame, percent: int, split_lines: int) -> str:
         F.array_min(F.filter(F.array(*offers), lambda o: o.isNotNull())),
     )
     name = f"lines_{uuid.uuid4().hex}"
-    (
-        flat.select(
-            _token(F.col("key"), F.col("part"), F.col("parts")).alias("token"),
-            F.when(F.col("parts") > 1, F.col("key")).alias("key"),
-            "part",
-            "parts",
-            *_ROW,
-            best.alias("best"),
+    with shuffles_dropped(spark):
+        (
+            flat.select(
+                _token(F.col("key"), F.col("part"), F.col("parts")).alias("token"),
+                F.when(F.col("parts") > 1, F.col("key")).alias("key"),
+                "part",
+                "parts",
+                *_ROW,
+                best.alias("best"),
+            )
+            .write.option("path", _path_of(spark, name))
+            .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+            .sortBy("token")
+            .saveAsTable(name)
         )
-        .write.option("path", f"{scratch_dir(spark).rstrip('/')}/llm-{name}")
-        .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-        .sortBy("token")
-        .saveAsTable(name)
-    )
     return name
 
 
+def _path_of(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/llm-{name}"
+
+
+def _dropped(spark: SparkSession, name: str) -> None:
+    """Removes a table of ``_stored_rows``, its files included."""
+    spark.sql(f"DROP TABLE {name}")
+    remove_shared(spark, _path_of(spark, name))
+
+
 def _pairs(rows: DataFrame, stored: DataFrame, percent: int, dealt: bool) -> DataFrame:
-    """(doc_id, line_no, y_doc_id, y_line_no, apart): the earlier lines that may match, by the tokens of ``rows``.
+    """(doc_id, line_no, y_doc_id, y_line_no, apart): the earlier lines that may match, once for each common token of ``rows``.
 
     ``dealt`` tells whether any key is dealt over parts; its rows then visit them all.
     """
@@ -309,18 +366,67 @@ def _pairs(rows: DataFrame, stored: DataFrame, percent: int, dealt: bool) -> Dat
         there = there.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("part <> home")
         there = there.select(_token(F.col("key"), F.col("part"), F.col("parts")).alias("token"), *_ROW)
         met = met.unionByName(there.join(others, "token").filter(fits))
-    return met.select(*_PAIR, _apart("y_", "").alias("apart")).distinct()
+    return met.select(*_PAIR, _apart("y_", "").alias("apart"))
 
 
-def _parity(words: str, shift: int) -> Column:
-    """The parity of a set's hashes by six of their bits."""
-    return F.aggregate(
-        words,
-        F.lit(0).cast("long"),
-        lambda acc, h: acc.bitwiseXOR(
-            F.call_function("shiftleft", F.lit(1).cast("long"), _bit(F.shiftrightunsigned(h, shift)))
-        ),
-    )
+def _first_offers(keyed_lines: DataFrame, part: Column, percent: int, split_lines: int) -> DataFrame:
+    """(doc_id, line_no, best): the likeliest earlier line of every line that may have one, by the keys of one pass."""
+    spark = keyed_lines.sparkSession
+    rows = _exploded(keyed_lines).filter(part)
+    name = _stored_rows(_met(rows, percent), percent, split_lines)
+    stored = spark.table(name)
+    dealt = not stored.filter("parts > 1").isEmpty()
+    plain = _pairs(stored.filter("best is null"), stored, percent, dealt)
+    offers = plain.select(*_LINE, F.struct("apart", "y_doc_id", "y_line_no").cast(_OFFER).alias("best"))
+    waiting = stored.filter("best is not null").select(*_LINE, "best")
+    found = staged(offers.unionByName(waiting).groupBy(*_LINE).agg(F.min("best").alias("best")), "lines-offers")
+    _dropped(spark, name)
+    return found
+
+
+def _all_pairs(keyed_lines: DataFrame, asked: DataFrame, percent: int, split_lines: int, slots: int) -> DataFrame:
+    """(doc_id, line_no, y_doc_id, y_line_no): all earlier lines that the asked ones may match.
+
+    Only rows are dealt out whose key a bitmap of the asked lines' keys lets through.
+    """
+    spark = keyed_lines.sparkSession
+    # a few other lines that the bitmap lets through only take part in vain
+    these = _members(staged(_hashed(asked, *_LINE), "lines-wanted"), slots)
+    keys = keyed_lines.filter(_inside(F.xxhash64(*_LINE), these)).select(F.explode("keys").alias("key"))
+    wanted = _members(staged(_hashed(keys, "key").distinct(), "lines-wanted"), slots)
+    rows = _exploded(keyed_lines).filter(_inside(F.xxhash64(_key()), wanted))
+    name = _stored_rows(_met(rows, percent), percent, split_lines)
+    stored = spark.table(name)
+    dealt = not stored.filter("parts > 1").isEmpty()
+    pairs = _pairs(stored.join(asked, _LINE, "left_semi"), stored, percent, dealt)
+    found = staged(pairs.select(*_PAIR).distinct(), "lines-pairs")
+    _dropped(spark, name)
+    return found
+
+
+def _sketch_words(size: Column) -> Column:
+    """Words of the sketch of a set: a power of two, more for larger sets."""
+    wide = F.ceil(F.log2(F.greatest(size, F.lit(_WORD_TOKENS)) / _WORD_TOKENS)).cast("int")
+    return F.least(F.call_function("shiftleft", F.lit(1), F.least(wide, F.lit(30))), F.lit(_MOST_WORDS))
+
+
+def _sketch(high: Column, n: Column) -> Column:
+    """Parities, in ``n`` words, of a set's hashes by bits that ``_BITS`` do not use. Both arguments are plain columns."""
+    word = lambda j: F.filter(high, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(n - 1) == j)
+    return F.when(n == 1, F.array(_flipped(high))).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda j: _flipped(word(j))))
+
+
+def _sketches_apart(a: str, b: str) -> Column:
+    """In how many bits two sketches differ, in as many words as the smaller has."""
+    n = F.least(F.size(a), F.size(b))
+
+    def folded(x: str) -> Column:
+        every = lambda j: F.filter(x, lambda _, i: F.pmod(i, n) == j)
+        one = lambda j: F.aggregate(every(j), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(w))
+        return F.when(F.size(x) == n, F.col(x)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), one))
+
+    differing = F.zip_with(folded(a), folded(b), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(differing, F.lit(0), lambda acc, x: acc + x)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -337,20 +443,19 @@ def _both(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, min_words: int, slots: int) -> DataFrame:
     """(doc_id, line_no) of the later lines of pairs whose token sets are similar enough.
 
-    The lines are cut out once. Two more bitmaps of their sets rule most other pairs out before any line is moved.
+    The lines are cut out once. A bitmap that grows with their sets rules most other pairs out before any line is moved.
     """
     number = lambda t: F.xxhash64(t)
     wanted = _members(_ends(pairs), slots)
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = cut.filter(_inside(F.xxhash64(*_LINE), wanted)).select(*_LINE, F.trim(_spaced(F.lower("line"))).alias("line"))
     lines = lines.filter(_wordy(F.col("line"), min_words)).select(*_LINE, "line", once(words=_words(F.col("line"), number)))
-    told = {"size": F.size("words"), "bits": _parity("words", 32), "more": _parity("words", 40)}
-    lines = staged(lines.select(*_LINE, "line", *[c.alias(name) for name, c in told.items()]), "lines-texts")
-    few = [
-        _few_apart(percent, F.bit_count(F.col(c).bitwiseXOR(F.col(f"y_{c}"))), F.col("size") + F.col("y_size"))
-        for c in ("bits", "more")
-    ]
-    close = _both(pairs, lines.drop("line")).filter(few[0] & few[1]).select(*_PAIR).distinct()
+    high = F.transform("words", lambda h: F.shiftrightunsigned(h, 32))
+    told = lines.select(*_LINE, "line", once(high=high, size=F.size("words"), n=_sketch_words(F.size("words"))))
+    sketched = told.select(*_LINE, "line", "size", _sketch(F.col("high"), F.col("n")).alias("sketch"))
+    lines = staged(sketched, "lines-texts")
+    few = _few_apart(percent, _sketches_apart("sketch", "y_sketch"), F.col("size") + F.col("y_size"))
+    close = _both(pairs, lines.drop("line")).filter(few).select(*_PAIR).distinct()
     close = staged(close, "lines-close")
     needed = _members(_ends(close), slots)
     both = _both(close, lines.filter(_inside(F.xxhash64(*_LINE), needed)).select(*_LINE, "line"))
@@ -381,24 +486,24 @@ def removals(
     )
     keyed = staged(_line_hashes(docs, min_words), "lines-keyed")
     copies = staged(_copies(keyed), "lines-copies")
-    rows = _keyed_rows(_fresh(docs, keyed, copies, min_words, slots), percent)
-    name = _stored_rows(_met(rows, percent), percent, split_lines)
-    stored = docs.sparkSession.table(name)
-    dealt = not stored.filter("parts > 1").isEmpty()
-    plain = staged(_pairs(stored.filter("best is null"), stored, percent, dealt), "lines-pairs")
-    waiting = stored.filter("best is not null")
+    spark = docs.sparkSession
+    keyed_lines = staged(_keyed_lines(_fresh(docs, keyed, copies, min_words, slots), percent), "lines-sets")
+    n_keys = keyed_lines.agg(F.sum(F.size("keys"))).first()[0] or 0
+    passes = min(PASSES, 1 + n_keys // PASS_KEYS)
+    parts = [F.pmod(_key(), F.lit(passes)) == part for part in range(passes)]
+    found = [_first_offers(keyed_lines, part, percent, split_lines) for part in parts]
     # one earlier line is enough, so the likeliest of all is tried first
-    offers = plain.select(*_LINE, F.struct("apart", "y_doc_id", "y_line_no").cast(_OFFER).alias("best"))
-    likeliest = offers.unionByName(waiting.select(*_LINE, "best")).groupBy(*_LINE).agg(F.min("best").alias("best"))
-    likeliest = staged(likeliest.select(*_LINE, "best.y_doc_id", "best.y_line_no"), "lines-likeliest")
+    offers = reduce(DataFrame.unionByName, found).groupBy(*_LINE).agg(F.min("best").alias("best"))
+    likeliest = staged(offers.select(*_LINE, "best.y_doc_id", "best.y_line_no"), "lines-likeliest")
     settled = staged(_confirmed(docs, likeliest, percent, min_words, slots), "lines-settled")
-    # where it failed, all others that may match, those of the rows that were not joined yet included
+    # where it failed, all others that may match
     failed = staged(likeliest.select(*_LINE).join(settled, _LINE, "left_anti"), "lines-failed")
-    more = plain.join(failed, _LINE, "left_semi").unionByName(
-        _pairs(waiting.join(failed, _LINE, "left_semi"), stored, percent, dealt)
-    )
-    more = staged(more.select(*_PAIR).distinct().join(likeliest, [*_PAIR], "left_anti"), "lines-more")
-    docs.sparkSession.sql(f"DROP TABLE {name}")  # from the catalogue; the files stay with the other shared tables
+    if failed.isEmpty():
+        more = likeliest.limit(0)
+    else:
+        more = _all_pairs(keyed_lines, failed, percent, split_lines, slots)
+        more = staged(more.join(likeliest, [*_PAIR], "left_anti"), "lines-more")
+    remove_shared(spark, keyed_lines)
     gone = settled.unionByName(copies)
     if not more.isEmpty():
         gone = gone.unionByName(_confirmed(docs, more, percent, min_words, slots))

@@ -1,6 +1,7 @@
 """Line dedup, near duplicates, components and decontamination against plain Python."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -85,6 +86,43 @@ def test_lines_of_common_words_are_not_joined(spark, docs):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_long_lines_that_share_neighbours_are_ruled_out(spark, docs):
+    """Any two share their longest words and little else: one word of bitmap is as full for them as for similar sets."""
+    rng = random.Random(9)
+    common = [f"{'long' * 5}{i}" for i in range(8)]
+    rows = [(i, " ".join(common + [f"w{rng.randrange(10**6)}" for _ in range(90 + 12 * i)])) for i in range(20)]
+    lines = line_dedup._lines(docs(rows), 1)
+    name = line_dedup._stored_rows(line_dedup._met(line_dedup._keyed_rows(lines, 80), 80), 80, 1 << 20)
+    stored = spark.table(name)
+    assert stored.count() >= 20 and stored.filter("best is not null").count() == 0
+    assert line_dedup._pairs(stored, stored, 80, False).count() == 0
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_bitmaps_never_rule_out_similar_sets(spark, docs):
+    """Bitmaps differ in no more bits than the sets do in words, whatever the widths of the two."""
+    rows = []
+    for size in (30, 71, 72, 159, 160, 400):
+        own = [f"w{size}o{i}{'x' * (i % 5)}" for i in range(size)]
+        changed = own[: size - size // 9] + [f"new{size}o{i}" for i in range(size // 9)]
+        longer = own + [f"more{size}o{i}" for i in range(size // 4)]
+        rows += [(1000 * size + k, " ".join(x)) for k, x in enumerate([own, changed, own[: -(-size * 8 // 10)], longer])]
+    found = {r["doc_id"]: r["lines"] for r in line_dedup.removals(docs(rows)).collect()}
+    assert found == {i: [0] for i, _ in rows if i % 1000}
+
+
+def test_keys_dealt_out_in_passes(spark, docs, line_rows, monkeypatch):
+    """Four passes find what one finds, and leave none of the rows that they stored."""
+    monkeypatch.setattr(line_dedup, "PASS_KEYS", 100)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    found = line_dedup.removals(docs(line_rows, True), slots=1 << 15).collect()
+    assert {r["doc_id"]: r["lines"] for r in found} == plain_removals(line_rows)
+    kept = [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before]
+    assert kept.count("llm-lines-offers") == line_dedup.PASSES
+    assert not [x for x in kept if x.startswith(("llm-lines_", "llm-lines-sets")) or x == "llm"]
+
+
 def test_deduplicated_texts(spark, docs, line_rows):
     table = docs(line_rows, True)
     found, n_removed, has_lines = line_dedup.deduplicate(table, slots=1 << 15)
